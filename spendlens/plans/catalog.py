@@ -17,7 +17,7 @@ from pyspark.sql.types import (DateType, DecimalType, DoubleType, FloatType, Tim
 from .. import constants as K
 from ..operators import clean as C
 from ..operators import insights as I
-from ..sources.tables import TXN_CTE, table, txn
+from ..sources.tables import TXN_CTE, spread, table, txn
 from . import sqlfrag as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,7 +173,7 @@ def _txn_type(spark, d):
 
 register("extract_merchant", TXN_CTE + "SELECT txn_id, " + S.merchant("description")
          + " AS merchant FROM txn")(
-    lambda spark, d: C.add_merchant(txn(spark, d)).select("txn_id", "merchant"))
+    lambda spark, d: C.add_merchant(spread(txn(spark, d))).select("txn_id", "merchant"))
 
 register("transaction_mode", TXN_CTE + "SELECT txn_id, " + S.mode("description")
          + " AS transaction_mode FROM txn")(
@@ -191,12 +191,13 @@ register("drop_nulls", TXN_CTE + "SELECT txn_id, description, category FROM txn
 
 register("standardize_text", TXN_CTE + "SELECT txn_id, " + S.std_text("description")
          + " AS description FROM txn")(
-    lambda spark, d: C.standardize_description(txn(spark, d)).select("txn_id", "description"))
+    lambda spark, d: C.standardize_description(spread(txn(spark, d)))
+    .select("txn_id", "description"))
 
 register("relabel_keywords", TXN_CTE + ", s AS (SELECT txn_id, " + S.std_text("description")
          + " AS description, category FROM txn)\nSELECT txn_id, description, "
          + S.relabel("description", "category") + " AS category FROM s")(
-    lambda spark, d: C.relabel_keywords(C.standardize_description(txn(spark, d)))
+    lambda spark, d: C.relabel_keywords(C.standardize_description(spread(txn(spark, d))))
     .select("txn_id", "description", "category"))
 
 
@@ -419,3 +420,123 @@ SELECT category, {a} AS total_spent, {b} AS avg_transaction, n AS num_transactio
     d=R("CAST(s AS DOUBLE) / CAST(total AS DOUBLE) * 100")))
 def _clean_spend(spark, d):
     return rounded(I.spend_by_category(_cleaned(spark, d)))
+
+
+# =========================================================== labelling
+from ..operators import label as L  # noqa: E402
+from ..operators import profile as P  # noqa: E402
+
+
+def _labelled(spark, d) -> DataFrame:
+    """txn with a merchant name in map spelling (first letter upper-cased)."""
+    t = C.add_merchant(spread(txn(spark, d)))
+    return t.withColumn("merchant", F.concat(F.upper(F.substring("merchant", 1, 1)),
+                                             F.expr("substr(merchant, 2)")))
+
+
+_DESC_BEST, _DESC_SCORE = S.best(S.scores("lower(coalesce(description, 'nan'))",
+                                          K.CLEANER_KEYWORDS))
+LABEL_SQL = TXN_CTE + """, txl AS (SELECT txn_id, description, category,
+  concat(upper(substr(m, 1, 1)), substr(m, 2)) AS merchant FROM (SELECT *, {m} AS m FROM txn)),
+sc AS (SELECT txl.*, {b} AS desc_category, {s} AS desc_score FROM txl),
+lk AS (SELECT sc.*, mm.m_category AS merchant_category FROM sc LEFT JOIN {mm}
+  ON sc.merchant = mm.mname),
+rc AS (SELECT lk.*, CASE
+  WHEN merchant_category IS NOT NULL AND desc_category IS NOT NULL THEN
+    CASE WHEN merchant_category = desc_category THEN merchant_category
+         WHEN desc_score <= 1 THEN merchant_category ELSE desc_category END
+  WHEN merchant_category IS NOT NULL THEN merchant_category
+  WHEN desc_category IS NOT NULL AND desc_score >= 1 THEN desc_category END AS new_label FROM lk),
+fx AS (SELECT rc.*, coalesce(new_label IS NOT NULL AND new_label IS DISTINCT FROM category, false)
+  AS differs FROM rc)
+""".format(m=S.merchant("description"), b=_DESC_BEST, s=_DESC_SCORE, mm=S.MERCHANT_MAP_SQL)
+
+register("desc_category_score", LABEL_SQL + "SELECT txn_id, desc_category, desc_score FROM sc")(
+    lambda spark, d: L.desc_category_score(_labelled(spark, d))
+    .select("txn_id", "desc_category", "desc_score"))
+
+register("merchant_lookup", LABEL_SQL + "SELECT txn_id, merchant, merchant_category FROM lk")(
+    lambda spark, d: L.merchant_lookup(_labelled(spark, d))
+    .select("txn_id", "merchant", "merchant_category"))
+
+register("reconcile_labels", LABEL_SQL + "SELECT txn_id, new_label FROM rc")(
+    lambda spark, d: L.proposed_labels(_labelled(spark, d)).select("txn_id", "new_label"))
+
+register("repair_labels", LABEL_SQL + """SELECT txn_id,
+  CASE WHEN differs THEN new_label ELSE category END AS category, differs AS corrected FROM fx""")(
+    lambda spark, d: L.repair_labels(_labelled(spark, d)).select("txn_id", "category", "corrected"))
+
+register("repair_ratio_0", LABEL_SQL + "SELECT txn_id, category, false AS corrected FROM fx")(
+    lambda spark, d: L.repair_labels(_labelled(spark, d), fix_ratio=0.0)
+    .select("txn_id", "category", "corrected"))
+
+register("repair_ratio_1", LABEL_SQL + """SELECT count(*) AS rows,
+  CAST(sum(CASE WHEN differs THEN 1 ELSE 0 END) AS BIGINT) AS corrected FROM fx""")(
+    lambda spark, d: L.repair_summary(L.repair_labels(_labelled(spark, d), fix_ratio=1.0)))
+
+# Seeded partial repair (hash draw per row): checked by invariants, not SQL.
+register("repair_ratio_075")(
+    lambda spark, d: L.repair_summary(L.repair_labels(_labelled(spark, d), fix_ratio=0.75,
+                                                      key_col="txn_id")))
+
+register("label_distribution", LABEL_SQL + """SELECT stage, category, count(*) AS count FROM (
+  SELECT 'before' AS stage, category FROM fx UNION ALL
+  SELECT 'after' AS stage, CASE WHEN differs THEN new_label ELSE category END FROM fx)
+GROUP BY stage, category""")(
+    lambda spark, d: L.label_distribution(_labelled(spark, d),
+                                          L.repair_labels(_labelled(spark, d))))
+
+
+# =========================================================== chart data
+register("category_share", TXN_CTE + """SELECT category, count(*) AS count,
+  round(count(*) / sum(count(*)) OVER (), 6) AS share FROM txn WHERE category IS NOT NULL
+GROUP BY category""")(lambda spark, d: rounded(P.category_share(txn(spark, d))))
+
+register("amount_histogram", TXN_CTE + """, x AS (SELECT CAST(amount AS DOUBLE) AS x FROM txn
+  WHERE amount IS NOT NULL),
+b AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
+h AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / ((hi - lo) / 20)), 19) END
+  AS INTEGER) AS bin, lo, hi FROM x, b)
+SELECT bin, round(min(lo) + bin * (min(hi) - min(lo)) / 20, 6) AS bin_start, count(*) AS count
+FROM h GROUP BY bin""")(lambda spark, d: rounded(P.amount_histogram(txn(spark, d))))
+
+register("amount_box", TXN_CTE + """SELECT category, {mn} AS min,
+  {q1} AS q1, {q2} AS median, {q3} AS q3, {mx} AS max
+FROM txn WHERE category IS NOT NULL AND amount IS NOT NULL GROUP BY category""".format(
+    mn=R("min(amount)"), mx=R("max(amount)"),
+    q1=R("quantile_cont(CAST(amount AS DOUBLE), 0.25)"),
+    q2=R("quantile_cont(CAST(amount AS DOUBLE), 0.5)"),
+    q3=R("quantile_cont(CAST(amount AS DOUBLE), 0.75)")))(
+    lambda spark, d: rounded(P.amount_box(txn(spark, d))))
+
+CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _corr_sql() -> str:
+    parts = []
+    for a in CORR_COLS:
+        for b in CORR_COLS:
+            v = (f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6)" if a != b
+                 else "1.0")
+            src = "" if a == b else " FROM lineitem"
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {v} AS corr{src}")
+    return "\nUNION ALL\n".join(parts)
+
+
+register("correlation_matrix", _corr_sql())(
+    lambda spark, d: rounded(P.correlation_matrix(table(spark, d, "lineitem"), CORR_COLS)))
+
+register("monthly_trend", """SELECT strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS month,
+  round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 6) AS amount
+FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""")(
+    lambda spark, d: rounded(P.monthly_trend(
+        table(spark, d, "orders").select(F.col("o_orderdate").alias("date"),
+                                         F.col("o_totalprice").cast("decimal(18,2)")
+                                         .alias("amount")))))
+
+register("monthly_trend_txn", TXN_CTE + """SELECT strftime(date, '%Y-%m') AS month,
+  round(CAST(sum(amount) AS DOUBLE), 6) AS amount FROM txn WHERE date IS NOT NULL GROUP BY 1""")(
+    lambda spark, d: rounded(P.monthly_trend(txn(spark, d))))
+
+register("distinct_categories", TXN_CTE + "SELECT count(DISTINCT category) AS n_distinct FROM txn")(
+    lambda spark, d: P.distinct_count(txn(spark, d)))

@@ -19,6 +19,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot does not JIT methods above 8000 bytecodes; a whole-stage method
+    # past that (e.g. ~90 keyword ``contains``) would run interpreted, slower
+    # than the expression fallback this limit triggers.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

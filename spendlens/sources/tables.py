@@ -41,6 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over all task slots when it yields fewer partitions
+    than there are slots (a small single-row-group file).  A no-op on large
+    inputs, whose scans already split into many more partitions than slots;
+    used in front of CPU-heavy row-wise text work only."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def _pick(values: list[str], index: Column) -> Column:
     """Element ``index`` (0-based) of a literal array: a projection, no join."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
