@@ -52,3 +52,21 @@ def occurrences(text: Column, needle: str) -> Column:
 def tokens(c: Column) -> Column:
     """Word tokens of two or more word characters, on lower-cased text."""
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), 0)
+
+
+def english_stop_words() -> list[str]:
+    """Spark ML's default English stop-word list (the parameter value used for
+    the stop-word TF-IDF), read from the MLlib jar so that no JVM is needed."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    for jar in jars:
+        with zipfile.ZipFile(jar) as z:
+            name = "org/apache/spark/ml/feature/stopwords/english.txt"
+            if name in z.namelist():
+                return [w.strip() for w in z.read(name).decode("utf-8").splitlines() if w.strip()]
+    from pyspark.ml.feature import StopWordsRemover
+    return list(StopWordsRemover.loadDefaultStopWords("english"))

@@ -540,3 +540,177 @@ register("monthly_trend_txn", TXN_CTE + """SELECT strftime(date, '%Y-%m') AS mon
 
 register("distinct_categories", TXN_CTE + "SELECT count(DISTINCT category) AS n_distinct FROM txn")(
     lambda spark, d: P.distinct_count(txn(spark, d)))
+
+
+# =========================================================== features
+from ..functions.text import english_stop_words  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import tfidf as TF  # noqa: E402
+
+_T = "coalesce(description, 'nan')"
+_LOWT = f"lower({_T})"
+
+
+def _text_stats_sql() -> str:
+    ws = S.words(_T)
+    return TXN_CTE + f"""SELECT txn_id, {S.word_count(_T)} AS word_count,
+  length({_T}) AS char_count,
+  round(CASE WHEN len({ws}) > 0 THEN list_sum(list_transform({ws}, lambda w: length(w)))
+    / len({ws}) ELSE 0 END, 6) AS avg_word_length FROM txn"""
+
+
+def _flag_sql(kws) -> str:
+    return "greatest(" + ", ".join(f"CAST(contains({_LOWT}, {S.q(k)}) AS INTEGER)"
+                                   for k in kws) + ")"
+
+
+def _count_sql(kws) -> str:
+    return "(" + " + ".join(
+        f"CAST((length({_LOWT}) - length(replace({_LOWT}, {S.q(k)}, ''))) / {len(k)} AS INTEGER)"
+        for k in kws) + ")"
+
+
+register("text_stats", _text_stats_sql())(
+    lambda spark, d: rounded(FE.text_features(txn(spark, d)).select(
+        "txn_id", "word_count", "char_count", "avg_word_length")))
+
+register("keyword_flags", TXN_CTE + "SELECT txn_id, " + ", ".join(
+    f"{_flag_sql(v)} AS has_{c}_keyword" for c, v in K.FEATURE_KEYWORDS.items()) + " FROM txn")(
+    lambda spark, d: FE.text_features(spread(txn(spark, d))).select(
+        "txn_id", *[f"has_{c}_keyword" for c in K.FEATURE_KEYWORDS]))
+
+register("keyword_counts", TXN_CTE + "SELECT txn_id, " + ", ".join(
+    f"{_count_sql(v)} AS {c}_keyword_count" for c, v in K.FEATURE_KEYWORDS.items())
+    + " FROM txn")(
+    lambda spark, d: FE.text_features(spread(txn(spark, d))).select(
+        "txn_id", *[f"{c}_keyword_count" for c in K.FEATURE_KEYWORDS]))
+
+register("log_amount", TXN_CTE + "SELECT txn_id, round(coalesce(ln(1 + abs(CAST(amount AS DOUBLE)))"
+         ", 0), 6) AS log_amount FROM txn")(
+    lambda spark, d: rounded(txn(spark, d).select(
+        "txn_id", FE.log_amount(F.col("amount")).alias("log_amount"))))
+
+AMT_STATS_SQL = TXN_CTE + """, st AS (SELECT quantile_cont(CAST(amount AS DOUBLE), 0.5) AS med,
+  quantile_cont(CAST(amount AS DOUBLE), 0.75) AS q75, avg(CAST(amount AS DOUBLE)) AS mean,
+  stddev_pop(CAST(amount AS DOUBLE)) AS sd, min(CAST(amount AS DOUBLE)) AS mn,
+  max(CAST(amount AS DOUBLE)) AS mx FROM txn),
+ac AS (SELECT txn.*, CASE WHEN CAST(amount AS DOUBLE) <= med THEN 'small'
+  WHEN CAST(amount AS DOUBLE) <= q75 THEN 'medium' ELSE 'large' END AS amount_category
+  FROM txn, st)
+"""
+
+
+def _amount_cat(spark, d) -> DataFrame:
+    t = txn(spark, d)
+    st = FE.AmountStats.fit(t)
+    return t.withColumn("amount_category", FE.amount_category(F.col("amount"), st.median, st.q75))
+
+
+register("amount_category", AMT_STATS_SQL + "SELECT txn_id, amount_category FROM ac")(
+    lambda spark, d: _amount_cat(spark, d).select("txn_id", "amount_category"))
+
+register("amount_dummies", AMT_STATS_SQL + """SELECT txn_id,
+  CAST(amount_category = 'large' AS INTEGER) AS amount_large,
+  CAST(amount_category = 'medium' AS INTEGER) AS amount_medium,
+  CAST(amount_category = 'small' AS INTEGER) AS amount_small FROM ac""")(
+    lambda spark, d: _amount_cat(spark, d).select(
+        "txn_id", *[v.alias(k) for k, v in FE.amount_dummies(F.col("amount_category")).items()]))
+
+
+def _scaled(spark, d, how):
+    t = txn(spark, d)
+    st = FE.AmountStats.fit(t)
+    c = (FE.standard_scale(F.col("amount"), st.mean, st.std_pop) if how == "std"
+         else FE.minmax_scale(F.col("amount"), st.min, st.max))
+    return rounded(t.select("txn_id", c.alias("amount_scaled")))
+
+
+register("standard_scale", AMT_STATS_SQL + """SELECT txn_id,
+  round((CAST(amount AS DOUBLE) - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS amount_scaled
+FROM txn, st""")(lambda spark, d: _scaled(spark, d, "std"))
+
+register("minmax_scale", AMT_STATS_SQL + """SELECT txn_id,
+  round(CASE WHEN mx > mn THEN (CAST(amount AS DOUBLE) - mn) / (mx - mn) ELSE 0 END, 6)
+    AS amount_scaled FROM txn, st""")(lambda spark, d: _scaled(spark, d, "minmax"))
+
+register("fixed_bins", TXN_CTE + """, x AS (SELECT txn_id, coalesce(CAST(amount AS DOUBLE), 0) AS a
+  FROM txn)
+SELECT txn_id, CAST(a < 100 AS INTEGER) AS amt_small,
+  CAST(a >= 100 AND a < 500 AS INTEGER) AS amt_medium,
+  CAST(a >= 500 AND a < 1000 AS INTEGER) AS amt_large, CAST(a >= 1000 AS INTEGER) AS amt_xl
+FROM x""")(lambda spark, d: txn(spark, d).select(
+    "txn_id", *[v.alias(k) for k, v in FE.fixed_bins(F.col("amount")).items()]))
+
+
+def _merchant_onehot(spark, d):
+    t = C.add_merchant(spread(txn(spark, d)))
+    top = FE.top_values(t, "merchant", 15)
+    ranked = top.withColumn("onehot_index", F.row_number().over(
+        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(
+            F.desc("n"), F.asc("merchant"))) - 1).drop("n")
+    return t.join(F.broadcast(ranked), "merchant", "left").select(
+        "txn_id", "merchant",
+        F.coalesce(F.col("onehot_index").cast("long"), F.lit(-1).cast("long")).alias("onehot_index"))
+
+
+register("merchant_onehot", TXN_CTE + """, tm AS (SELECT txn_id, {m} AS merchant FROM txn),
+top AS (SELECT merchant, count(*) AS n FROM tm WHERE merchant IS NOT NULL GROUP BY merchant
+  ORDER BY n DESC, merchant LIMIT 15),
+rk AS (SELECT merchant, row_number() OVER (ORDER BY n DESC, merchant) - 1 AS onehot_index FROM top)
+SELECT tm.txn_id, tm.merchant, coalesce(rk.onehot_index, -1) AS onehot_index FROM tm LEFT JOIN rk
+  ON tm.merchant = rk.merchant""".format(m=S.merchant("description")))(_merchant_onehot)
+
+TFIDF_A = TF.TfidfParams(max_features=100, min_df=1, max_df=1.0, sublinear_tf=True)
+TFIDF_B = TF.TfidfParams(max_features=100, min_df=2, max_df=0.95, sublinear_tf=False,
+                         stop_words=tuple(english_stop_words()))
+
+
+def _tfidf_sql(p: TF.TfidfParams, final: str) -> str:
+    toks = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')"
+    if p.stop_words:
+        stop = "[" + ", ".join(S.q(w) for w in p.stop_words) + "]"
+        toks = f"list_filter({toks}, lambda w: NOT list_contains({stop}, w))"
+    lo = f"{int(p.min_df)}" if p.min_df >= 1 else f"{p.min_df} * n"
+    hi = f"{p.max_df} * n" if p.max_df <= 1.0 else f"{p.max_df}"
+    tf = "(1 + ln(c.tf))" if p.sublinear_tf else "CAST(c.tf AS DOUBLE)"
+    return f"""WITH toks AS (SELECT doc_id, {toks} AS t FROM documents),
+terms AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)),
+  lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM toks),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+nd AS (SELECT count(doc_id) AS n FROM documents),
+st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM counts GROUP BY term),
+kept AS (SELECT st.*, nd.n FROM st, nd WHERE df >= {lo} AND df <= {hi}
+  ORDER BY total DESC, term LIMIT {p.max_features}),
+vocab AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, df,
+  ln((1.0 + n) / (1.0 + df)) + 1 AS idf FROM kept),
+w AS (SELECT c.doc_id, c.term, v.idx, {tf} * v.idf AS w FROM counts c JOIN vocab v
+  ON c.term = v.term),
+wn AS (SELECT doc_id, term, idx, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)
+{final}"""
+
+
+def _docs(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
+register("tfidf_vocab", _tfidf_sql(TFIDF_A, "SELECT term, idx AS \"index\", df, round(idf, 6) AS idf "
+                                            "FROM vocab"))(
+    lambda spark, d: rounded(TF.fit_vocabulary(_docs(spark, d), "doc_id", "text", TFIDF_A)))
+
+
+def _weights(spark, d, p):
+    vocab, w = TF.tfidf_long(_docs(spark, d), "doc_id", "text", p)
+    return rounded(w.select(F.col("doc").alias("doc_id"), "term", "weight"))
+
+
+register("tfidf_weights_sublinear", _tfidf_sql(
+    TFIDF_A, "SELECT doc_id, term, round(weight, 6) AS weight FROM wn"))(
+    lambda spark, d: _weights(spark, d, TFIDF_A))
+
+register("tfidf_weights_df_filtered", _tfidf_sql(
+    TFIDF_B, "SELECT doc_id, term, round(weight, 6) AS weight FROM wn"))(
+    lambda spark, d: _weights(spark, d, TFIDF_B))
+
+register("tfidf_vocab_df_filtered", _tfidf_sql(
+    TFIDF_B, "SELECT term, idx AS \"index\", df, round(idf, 6) AS idf FROM vocab"))(
+    lambda spark, d: rounded(TF.fit_vocabulary(_docs(spark, d), "doc_id", "text", TFIDF_B)))
