@@ -714,3 +714,163 @@ register("tfidf_weights_df_filtered", _tfidf_sql(
 register("tfidf_vocab_df_filtered", _tfidf_sql(
     TFIDF_B, "SELECT term, idx AS \"index\", df, round(idf, 6) AS idf FROM vocab"))(
     lambda spark, d: rounded(TF.fit_vocabulary(_docs(spark, d), "doc_id", "text", TFIDF_B)))
+
+
+# =========================================================== split, metrics
+from ..operators import metrics as M  # noqa: E402
+from ..operators import split as SP  # noqa: E402
+
+CLASSES = sorted(K.FEATURE_KEYWORDS)   # alphabetical = label index order
+
+
+def _rule_predictions(spark, d) -> DataFrame:
+    """(txn_id, label, prediction, probability): a keyword-count model whose
+    class probabilities are (count + 1) / (total + K), argmax first in index
+    order.  Deterministic, so metric queries have an exact SQL oracle."""
+    t = FE.text_features(spread(txn(spark, d)))
+    counts = [F.col(f"{c}_keyword_count") for c in CLASSES]
+    total = sum(counts, F.lit(0))
+    probs = F.array(*[(c + F.lit(1.0)) / (total + F.lit(float(len(CLASSES)))) for c in counts])
+    t = t.select("txn_id", F.col("category").alias("label"), probs.alias("probability"))
+    pos = F.array_position(F.col("probability"), F.array_max("probability"))
+    return t.withColumn("prediction", F.element_at(F.array(*[F.lit(c) for c in CLASSES]),
+                                                   pos.cast("int")))
+
+
+def _pred_sql() -> str:
+    cnt = {c: _count_sql(K.FEATURE_KEYWORDS[c]) for c in CLASSES}
+    total = " + ".join(f"c_{c}" for c in CLASSES)
+    probs = ", ".join(f"(c_{c} + 1.0) / ({total} + {float(len(CLASSES))}) AS p_{c}"
+                      for c in CLASSES)
+    g = "greatest(" + ", ".join(f"p_{c}" for c in CLASSES) + ")"
+    pred = "CASE " + " ".join(f"WHEN p_{c} = {g} THEN {S.q(c)}" for c in CLASSES) + " END"
+    return TXN_CTE + f""", cn AS (SELECT txn_id, category AS label, {", ".join(
+        f"{v} AS c_{c}" for c, v in cnt.items())} FROM txn),
+pp AS (SELECT txn_id, label, {probs} FROM cn),
+pred AS (SELECT *, {pred} AS prediction FROM pp)
+"""
+
+
+PRED_SQL = _pred_sql()
+
+register("label_index", TXN_CTE + """SELECT category, row_number() OVER (ORDER BY category) - 1
+  AS label_index FROM (SELECT DISTINCT category FROM txn WHERE category IS NOT NULL)""")(
+    lambda spark, d: SP.label_index(txn(spark, d)))
+
+SIZES_SQL = TXN_CTE + """, c AS (SELECT category, count(*) AS n FROM txn GROUP BY category),
+t AS (SELECT *, sum(n) OVER () AS nn, CAST(ceil(0.2 * sum(n) OVER ()) AS BIGINT) AS tt FROM c),
+e AS (SELECT *, n * tt / nn AS ex, CAST(floor(n * tt / nn) AS BIGINT) AS base FROM t),
+l AS (SELECT *, tt - sum(base) OVER () AS lft,
+  row_number() OVER (ORDER BY ex - base DESC, category) AS rk FROM e),
+sizes AS (SELECT category, n, base + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS n_test FROM l)
+"""
+
+register("stratified_sizes", SIZES_SQL + "SELECT category, n, n_test, n - n_test AS n_train FROM sizes")(
+    lambda spark, d: SP.stratified_sizes(txn(spark, d)))
+
+register("stratified_split", SIZES_SQL + """SELECT category, n_test AS test_rows,
+  n - n_test AS train_rows FROM sizes""")(
+    lambda spark, d: SP.stratified_split(txn(spark, d), "txn_id").groupBy("category").agg(
+        F.count_if(F.col("is_test")).alias("test_rows"),
+        F.count_if(~F.col("is_test")).alias("train_rows")))
+
+register("class_weights", TXN_CTE + """SELECT category, n, round(sum(n) OVER () / (count(*) OVER ()
+  * n), 6) AS weight FROM (SELECT category, count(*) AS n FROM txn GROUP BY category)""")(
+    lambda spark, d: rounded(SP.class_weights(txn(spark, d))))
+
+register("cv_fold_sizes", TXN_CTE + """, c AS (SELECT category, count(*) AS n FROM txn GROUP BY category)
+SELECT category, CAST(f AS INTEGER) AS fold, CAST((n + 5 - 1 - f) // 5 AS BIGINT) AS rows
+FROM c, range(0, 5) r(f) WHERE (n + 5 - 1 - f) // 5 > 0""")(
+    lambda spark, d: SP.with_folds(txn(spark, d), "txn_id").groupBy("category", "fold").agg(
+        F.count(F.lit(1)).alias("rows")))
+
+register("accuracy", PRED_SQL + """SELECT round(avg(CAST(label = prediction AS DOUBLE)), 6)
+  AS accuracy FROM pred""")(lambda spark, d: rounded(M.accuracy(_rule_predictions(spark, d))))
+
+PER_CLASS_SQL = PRED_SQL + """, pc AS (SELECT label, prediction, count(*) AS n FROM pred GROUP BY ALL),
+sup AS (SELECT label AS class, sum(n) AS support FROM pc GROUP BY 1),
+prd AS (SELECT prediction AS class, sum(n) AS predicted FROM pc GROUP BY 1),
+tp AS (SELECT label AS class, n AS tp FROM pc WHERE label = prediction),
+cls AS (SELECT coalesce(s.class, p.class) AS class, coalesce(s.support, 0) AS support,
+  coalesce(p.predicted, 0) AS predicted FROM sup s FULL JOIN prd p ON s.class = p.class),
+m0 AS (SELECT c.class, coalesce(tp.tp, 0) AS tp, support, predicted FROM cls c
+  LEFT JOIN tp ON c.class = tp.class),
+m1 AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision,
+  CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall FROM m0),
+m AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+  ELSE 0 END AS f1 FROM m1)
+"""
+
+register("weighted_prf", PER_CLASS_SQL + """SELECT
+  round(sum(precision * support) / sum(support), 6) AS precision,
+  round(sum(recall * support) / sum(support), 6) AS recall,
+  round(sum(f1 * support) / sum(support), 6) AS f1,
+  round(sum(tp) / sum(support), 6) AS accuracy FROM m""")(
+    lambda spark, d: rounded(M.weighted_prf(_rule_predictions(spark, d))))
+
+register("classification_report", PER_CLASS_SQL + """
+SELECT class AS "row", round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6),
+  CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+  CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+  CAST(sum(support) AS BIGINT) FROM m""")(
+    lambda spark, d: rounded(M.classification_report(_rule_predictions(spark, d))))
+
+register("confusion_matrix", PRED_SQL + """SELECT label AS true_label, prediction AS predicted_label,
+  count(*) AS count FROM pred WHERE prediction IN (SELECT DISTINCT label FROM pred)
+GROUP BY ALL""")(lambda spark, d: M.confusion_matrix(_rule_predictions(spark, d)))
+
+
+def _roc(spark, d):
+    p = _rule_predictions(spark, d)
+    z = p.select("label", F.explode(F.arrays_zip(
+        F.array(*[F.lit(c) for c in CLASSES]).alias("class"),
+        F.col("probability").alias("score"))).alias("z"))
+    rows = z.select(F.col("z.class").alias("class"),
+                    (F.col("label") == F.col("z.class")).cast("int").alias("label"),
+                    F.col("z.score").alias("score"))
+    return rounded(M.roc_auc(rows))
+
+
+register("roc_auc", PRED_SQL + """, rows AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS class, CAST(label = '{c}' AS INTEGER) AS y, p_{c} AS score FROM pred"
+    for c in CLASSES) + """),
+g AS (SELECT class, score, sum(y) AS pos, sum(1 - y) AS neg FROM rows GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM g
+  WINDOW w AS (PARTITION BY class ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c2 AS (SELECT *, coalesce(lag(tp) OVER (PARTITION BY class ORDER BY score DESC), 0) AS tp0,
+  coalesce(lag(fp) OVER (PARTITION BY class ORDER BY score DESC), 0) AS fp0 FROM c)
+SELECT class, round(sum((fp - fp0) * (tp + tp0) / 2.0) / (max(tp) * max(fp)), 6) AS auc,
+  CAST(max(tp) AS BIGINT) AS positives, CAST(max(fp) AS BIGINT) AS negatives
+FROM c2 GROUP BY class""")(_roc)
+
+MODEL_ORDER = ["keyword_features", "keyword_cleaner"]
+
+
+def _model_long(spark, d):
+    p = _rule_predictions(spark, d).select(F.lit("keyword_features").alias("model"), "txn_id",
+                                           "label", "prediction")
+    rc = L.desc_category_score(txn(spark, d)).select(
+        F.lit("keyword_cleaner").alias("model"), "txn_id", F.col("category").alias("label"),
+        F.coalesce("desc_category", F.lit("unknown")).alias("prediction"))
+    return p.unionByName(rc)
+
+
+MODELS_SQL = PRED_SQL + """, lng AS (SELECT 'keyword_features' AS model, label, prediction FROM pred
+  UNION ALL SELECT 'keyword_cleaner', category, coalesce({b}, 'unknown') FROM txn),
+cmp AS (SELECT model, avg(CAST(label = prediction AS DOUBLE)) AS accuracy,
+  CASE model WHEN 'keyword_features' THEN 1 ELSE 2 END AS train_order FROM lng GROUP BY model)
+""".format(b=_DESC_BEST)
+
+register("model_comparison", MODELS_SQL + """SELECT model, round(accuracy, 6) AS accuracy,
+  CAST(train_order AS BIGINT) AS train_order FROM cmp""")(
+    lambda spark, d: rounded(M.compare_models(_model_long(spark, d), MODEL_ORDER)))
+
+register("best_model", MODELS_SQL + """SELECT model, round(accuracy, 6) AS accuracy,
+  CAST(train_order AS BIGINT) AS train_order FROM cmp ORDER BY accuracy DESC, train_order
+LIMIT 1""")(lambda spark, d: rounded(M.best_model(M.compare_models(_model_long(spark, d),
+                                                                    MODEL_ORDER))))
