@@ -874,3 +874,146 @@ register("best_model", MODELS_SQL + """SELECT model, round(accuracy, 6) AS accur
   CAST(train_order AS BIGINT) AS train_order FROM cmp ORDER BY accuracy DESC, train_order
 LIMIT 1""")(lambda spark, d: rounded(M.best_model(M.compare_models(_model_long(spark, d),
                                                                     MODEL_ORDER))))
+
+
+# =========================================================== models (invariant checks)
+from pyspark.ml.functions import array_to_vector  # noqa: E402
+
+from . import models as MD  # noqa: E402
+
+
+def _embeddings(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>"))
+                    .alias("features"), F.col("label").cast("double").alias("label"),
+                    F.col("label").cast("string").alias("category"))
+
+
+def _emb_split(spark, d, nonneg: bool = False):
+    e = _embeddings(spark, d)
+    if nonneg:
+        from pyspark.ml.feature import MinMaxScaler
+        e = MinMaxScaler(inputCol="features", outputCol="scaled").fit(e).transform(e) \
+            .drop("features").withColumnRenamed("scaled", "features")
+    s = SP.with_class_weights(SP.stratified_split(e, "vec_id", "category"), "category")
+    # the fits iterate over the training rows: keep the split materialised
+    return s.where(~F.col("is_test")).cache(), s.where(F.col("is_test"))
+
+
+def _fit_predict(name: str, weighted: bool = False, nonneg: bool = False):
+    def q(spark, d):
+        train, test = _emb_split(spark, d, nonneg)
+        out = MD.fit_predict(train, test, name, weight_col="weight" if weighted else None)
+        return out.select("vec_id", "label", F.col("prediction").cast("double").alias("prediction"))
+    return q
+
+
+for _n, _name, _w, _nn in [("lr", "logistic_regression", True, False),
+                           ("rf", "random_forest", True, False),
+                           ("dt", "decision_tree", True, False),
+                           ("gbt", "gradient_boosting", False, False),
+                           ("nb", "naive_bayes", False, True),
+                           ("svm", "svm", True, False),
+                           ("ensemble", "ensemble", True, False)]:
+    register(f"fit_predict_{_n}")(_fit_predict(_name, _w, _nn))
+
+
+@register("train_all")
+def _train_all(spark, d):
+    """M13 + M28: the bake-off set fitted on one split, compared in one pass."""
+    train, test = _emb_split(spark, d)
+    train = train.cache()
+    n = train.count()
+    parts = []
+    for name in list(MD.BAKEOFF) + ["ensemble"]:
+        p = MD.fit_predict(train, test, name, weight_col="weight", n_rows=n)
+        parts.append(p.select(F.lit(name).alias("model"), "label",
+                              F.col("prediction").cast("double").alias("prediction")))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    return rounded(M.compare_models(long, list(MD.BAKEOFF) + ["ensemble"]))
+
+
+@register("cross_validate")
+def _cross_validate(spark, d):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    e = SP.with_folds(_embeddings(spark, d), "vec_id", "category", 5)
+    est = MD.make_estimator("logistic_regression", 500)
+    ev = MulticlassClassificationEvaluator(metricName="accuracy")
+    m = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
+                       numFolds=5, foldCol="fold", seed=MD.SEED).fit(e.cache())
+    return spark.createDataFrame([(float(m.avgMetrics[0]), 2 * float(m.stdMetrics[0]))],
+                                 "accuracy_mean double, accuracy_2std double")
+
+
+def _txn_model(spark, d, model="random_forest", top_merchants=0):
+    t = C.add_merchant(spread(txn(spark, d))).where(F.col("amount").isNotNull())
+    split = SP.stratified_split(t, "txn_id", "category")
+    train = split.where(~F.col("is_test")).cache()
+    n = train.count()
+    from .stages import TransactionFeatures
+    names = TransactionFeatures(topMerchants=top_merchants).fit(train).feature_names() \
+        if top_merchants else None
+    pipe = MD.transaction_pipeline(model, n, top_merchants=top_merchants, feature_names=names)
+    return pipe.fit(train), t
+
+
+@register("feature_importance")
+def _feature_importance(spark, d):
+    """The true top-20 importances with feature names."""
+    model, _ = _txn_model(spark, d)
+    names = model.stages[1].getInputCols()
+    imp = model.stages[3].featureImportances.toArray().tolist()
+    df = spark.createDataFrame(list(zip(names, [float(x) for x in imp])),
+                               "feature string, importance double")
+    return df.orderBy(F.desc("importance"), "feature").limit(20)
+
+
+@register("score_batch")
+def _score_batch(spark, d):
+    """P5: every input row scored (no row dropped)."""
+    model, t = _txn_model(spark, d)
+    return rounded(MD.score(model, t).select("txn_id", "predicted_category", "confidence"))
+
+
+@register("score_top3")
+def _score_top3(spark, d):
+    """Top-3 classes per row, long form (txn_id, rank, category, probability)."""
+    model, t = _txn_model(spark, d)
+    s = MD.score(model, t).select("txn_id", F.posexplode("top_3").alias("pos", "t"))
+    return rounded(s.select("txn_id", (F.col("pos") + 1).alias("rank"),
+                            F.col("t.category").alias("category"),
+                            F.col("t.probability").alias("probability")))
+
+
+@register("reload_model")
+def _reload_model(spark, d):
+    """Save the fitted PipelineModel in the shared checkpoint folder,
+    load it back and score: predictions must equal the in-memory model's."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    model, t = _txn_model(spark, d)
+    root = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    path = MD.save_model(model, root)
+    again = MD.load_model(path)
+    a = MD.score(model, t).select("txn_id", F.col("predicted_category").alias("before"))
+    b = MD.score(again, t).select("txn_id", F.col("predicted_category").alias("after"))
+    return a.join(b, "txn_id").select("txn_id", "before", "after",
+                                      (F.col("before") == F.col("after")).alias("same"))
+
+
+@register("pca_2d")
+def _pca(spark, d):
+    """Centred PCA to two components (signs are free)."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    e = _embeddings(spark, d)
+    c = StandardScaler(withMean=True, withStd=False, inputCol="features",
+                       outputCol="centred").fit(e).transform(e)
+    p = PCA(k=2, inputCol="centred", outputCol="pc").fit(c).transform(c)
+    arr = vector_to_array_col = __import__("pyspark.ml.functions", fromlist=["x"]) \
+        .vector_to_array(F.col("pc"))
+    return rounded(p.select("vec_id", arr[0].alias("pc1"), arr[1].alias("pc2"), "category"))
