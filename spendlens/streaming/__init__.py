@@ -1,0 +1 @@
+"""Structured Streaming entry points (stateless cleaning + watermark dedupe)."""
