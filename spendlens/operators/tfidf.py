@@ -46,7 +46,9 @@ def doc_terms(df: DataFrame, id_col: str, text_col: str, p: TfidfParams) -> Data
         bigrams = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))),
                               lambda x, i: F.concat(F.col("t")[i], F.lit(" "), x))
         terms = F.concat(F.col("t"), bigrams)
-    return d.select("doc", F.explode(terms).alias("term"))
+    # explicit (always true) filter: the join below infers it on one side only,
+    # which would make the two count subtrees differ and defeat exchange reuse
+    return d.select("doc", F.explode(terms).alias("term")).where(F.col("term").isNotNull())
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, p: TfidfParams) -> DataFrame:
