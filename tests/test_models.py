@@ -24,3 +24,17 @@ def test_unknown_model_raises():
 def test_reload_equality(spark, sf_dir):
     out = cat.QUERIES["reload_model"](spark, sf_dir)
     assert out.where(~F.col("same")).count() == 0
+
+
+def test_latest_model_registry(spark):
+    reg = spark.createDataFrame([("m/a", "20260101_000000"), ("m/b", "20260301_000000"),
+                                 ("m/c", "20260201_000000")], "path string, saved_at string")
+    r = M_latest(reg).first()
+    assert r["path"] == "m/b"
+    empty = M_latest(reg.where("false")).first()
+    assert empty["path"] is None
+
+
+def M_latest(df):
+    from spendlens.operators.metrics import latest_model
+    return latest_model(df)
