@@ -1017,3 +1017,33 @@ def _pca(spark, d):
     arr = vector_to_array_col = __import__("pyspark.ml.functions", fromlist=["x"]) \
         .vector_to_array(F.col("pc"))
     return rounded(p.select("vec_id", arr[0].alias("pc1"), arr[1].alias("pc2"), "category"))
+
+
+@register("create_features")
+def _create_features(spark, d):
+    """F16: the compact feature vector of every statement row."""
+    from pyspark.ml.functions import vector_to_array
+    t = C.add_merchant(spread(txn(spark, d)))
+    out, fitted = MD.create_features(t, "txn_id")
+    arr = vector_to_array(F.col("features"))
+    return out.select("txn_id", "category", F.size(arr).alias("n_features"),
+                      F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"))
+
+
+@register("training_run")
+def _training_run(spark, d):
+    """Split -> fit -> evaluate; one row of weighted metrics and sizes."""
+    t = C.add_merchant(txn(spark, d)).where(F.col("amount").isNotNull())
+    r = MD.run_training(t, "random_forest")
+    m = r["metrics"]
+    return rounded(spark.createDataFrame(
+        [(r["model_type"], float(m["accuracy"]), float(m["precision"]), float(m["recall"]),
+          float(m["f1"]), r["num_train"], r["num_test"], r["num_features"])],
+        "model_type string, accuracy double, precision double, recall double, f1 double, "
+        "num_train long, num_test long, num_features long"))
+
+
+@register("model_info")
+def _model_info(spark, d):
+    model, _ = _txn_model(spark, d)
+    return MD.model_info(spark, model)

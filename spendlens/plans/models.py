@@ -230,3 +230,50 @@ def model_registry(spark: SparkSession, model_dir: str) -> DataFrame:
     """Saved models as a table ``(path, saved_at)`` read from their metadata."""
     meta = spark.read.json(os.path.join(model_dir, "*_metadata"))
     return meta.select(F.col("model_path").alias("path"), "saved_at")
+
+
+# ------------------------------------------------------------------ F16
+def create_features(df: DataFrame, id_col: str = "txn_id", text_column: str = "description",
+                    max_features: int = 100, use_amount: bool = True, top_merchants: int = 15):
+    """F16: sublinear word 1-2-gram TF-IDF of the text (description, else
+    merchant) || min-max amount, log amount, four fixed amount bins || top
+    merchant one-hots, assembled into ``features``.  Returns (frame, fitted)
+    where ``fitted`` holds the vocabulary frame and the amount / merchant fit."""
+    from ..operators import features as FE
+    from ..operators import tfidf as TF
+    text = text_column if text_column in df.columns else (
+        "merchant" if "merchant" in df.columns else None)
+    if text is None:
+        raise ValueError("No text column (description or merchant) found in DataFrame")
+    p = TF.TfidfParams(max_features=max_features, min_df=1, max_df=1.0, sublinear_tf=True)
+    counts = TF.term_counts(df, id_col, text, p)
+    vocab = TF.fit_vocabulary(df, id_col, text, p, counts).cache()
+    size = vocab.count()                        # <= max_features
+    out = TF.to_vectors(df, TF.weights(counts, vocab, p), id_col, size, "tfidf")
+    cols = ["tfidf"]
+    fitted = {"vocabulary": vocab, "vocab_size": size}
+    if use_amount and "amount" in df.columns:
+        filled = df.select(F.coalesce(F.col("amount").cast("double"), F.lit(0.0)).alias("amount"))
+        st = FE.AmountStats.fit(filled)
+        out = FE.compact_amount_features(out, st)
+        cols += ["amount_scaled", "log_amount", "amt_small", "amt_medium", "amt_large", "amt_xl"]
+        fitted["amount"] = st
+    if "merchant" in df.columns and top_merchants:
+        ms = [r[0] for r in FE.top_values(df, "merchant", top_merchants).collect()]
+        out = out.withColumns(FE.merchant_onehot(F.col("merchant"), ms))
+        cols += [f"merchant_{m}" for m in ms]
+        fitted["merchants"] = ms
+    out = VectorAssembler(inputCols=cols, outputCol="features").transform(out)
+    fitted["feature_names"] = cols
+    return out, fitted
+
+
+def model_info(spark: SparkSession, model: PipelineModel, model_path: str | None = None) -> DataFrame:
+    """One-row description of a fitted transaction pipeline."""
+    clf = model.stages[-1]
+    labels = list(model.stages[2].labels)
+    n_feat = len(model.stages[1].getInputCols())
+    return spark.createDataFrame(
+        [(type(clf).__name__, len(labels), ",".join(labels), n_feat, model_path)],
+        "model_type string, num_classes int, class_names string, num_features int, "
+        "model_path string")
