@@ -25,7 +25,8 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    """Number of whitespace-separated words (a regex count, no lambda)."""
+    return F.regexp_count(c, F.lit(r"(?U)\S+"))
 
 
 def char_count(c: Column) -> Column:
@@ -33,9 +34,10 @@ def char_count(c: Column) -> Column:
 
 
 def avg_word_length(c: Column) -> Column:
-    ws = words(c)
-    total = F.aggregate(ws, F.lit(0), lambda acc, w: acc + F.char_length(w))
-    return F.when(F.size(ws) > 0, total / F.size(ws)).otherwise(F.lit(0.0))
+    """Mean word length = non-whitespace characters / words (0 without words)."""
+    n = word_count(c)
+    letters = F.char_length(F.regexp_replace(c, WHITESPACE_RUN, ""))
+    return F.when(n > 0, letters / n).otherwise(F.lit(0.0))
 
 
 def as_python_text(c: Column) -> Column:
@@ -44,9 +46,11 @@ def as_python_text(c: Column) -> Column:
 
 
 def occurrences(text: Column, needle: str) -> Column:
-    """Non-overlapping occurrences of a literal (``str.count``)."""
-    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(needle), F.lit(""))))
-            / F.lit(len(needle))).cast("int")
+    """Non-overlapping occurrences of a literal (``str.count``).  The
+    allocation-free ``contains`` gates the replace: most keywords are absent."""
+    removed = F.char_length(text) - F.char_length(F.replace(text, F.lit(needle), F.lit("")))
+    return F.when(text.contains(needle), (removed / F.lit(len(needle))).cast("int")) \
+        .otherwise(F.lit(0))
 
 
 def tokens(c: Column) -> Column:

@@ -24,15 +24,20 @@ def accuracy(pred: DataFrame, label: str = "label", prediction: str = "predictio
 
 
 def per_class(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Per class of label U prediction: tp, support, predicted, precision, recall, f1."""
+    """Per class of label U prediction: tp, support, predicted, precision, recall, f1.
+
+    One linear plan: every (label, prediction, n) cell becomes a label-side row
+    (support, tp) and a prediction-side row (predicted), summed by class; the
+    predictions are read once (no self-join, nothing to recompute)."""
     pc = pair_counts(pred, label, prediction)
-    sup = pc.groupBy(F.col("label").alias("class")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
-    prd = pc.groupBy(F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
-    t = (sup.join(prd, "class", "full")
-         .select("class", *[F.coalesce(F.col(c), F.lit(0)).alias(c)
-                            for c in ("tp", "support", "predicted")]))
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
+    sides = F.array(
+        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), hit.alias("tp"),
+                 F.lit(0).cast("long").alias("predicted")),
+        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("long").alias("support"),
+                 F.lit(0).cast("long").alias("tp"), F.col("n").alias("predicted")))
+    t = (pc.select(F.explode(sides).alias("s")).select("s.*").groupBy("class")
+         .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]))
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     t = t.withColumns({"precision": p, "recall": r})
@@ -53,21 +58,35 @@ def weighted_prf(pred: DataFrame, label: str = "label", prediction: str = "predi
 
 def classification_report(pred: DataFrame, label: str = "label",
                           prediction: str = "prediction") -> DataFrame:
-    """Per class rows plus ``accuracy``, ``macro avg``, ``weighted avg``."""
+    """Per class rows plus ``accuracy``, ``macro avg``, ``weighted avg``.
+    The summary figures are windows over the per-class table (K rows) and the
+    first class row also emits the three summary rows: one read of the input."""
     t = per_class(pred, label, prediction)
-    rows = t.select(F.col("class").alias("row"), "precision", "recall", "f1",
-                    F.col("support").cast("long").alias("support"))
-    tot = F.sum("support")
-    macro = t.agg(F.lit("macro avg").alias("row"), F.avg("precision").alias("precision"),
-                  F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-                  tot.cast("long").alias("support"))
-    weighted = t.agg(F.lit("weighted avg").alias("row"),
-                     *[(F.sum(F.col(m) * F.col("support")) / tot).alias(m)
-                       for m in ("precision", "recall", "f1")], tot.cast("long").alias("support"))
-    acc = t.agg(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                F.lit(None).cast("double").alias("recall"), (F.sum("tp") / tot).alias("f1"),
-                tot.cast("long").alias("support"))
-    return rows.unionByName(acc).unionByName(macro).unionByName(weighted)
+    every = Window.partitionBy(F.lit(1))
+    tot = F.sum("support").over(every)
+    t = t.withColumns({
+        "__tot": tot, "__acc": F.sum("tp").over(every) / tot,
+        "__mp": F.avg("precision").over(every), "__mr": F.avg("recall").over(every),
+        "__mf": F.avg("f1").over(every),
+        "__wp": F.sum(F.col("precision") * F.col("support")).over(every) / tot,
+        "__wr": F.sum(F.col("recall") * F.col("support")).over(every) / tot,
+        "__wf": F.sum(F.col("f1") * F.col("support")).over(every) / tot,
+        "__first": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("class")) == 1})
+
+    def row(name, p, r, f, n):
+        return F.struct(name.alias("row"), p.cast("double").alias("precision"),
+                        r.cast("double").alias("recall"), f.cast("double").alias("f1"),
+                        n.cast("long").alias("support"))
+    none = F.lit(None)
+    own = F.array(row(F.col("class"), F.col("precision"), F.col("recall"), F.col("f1"),
+                      F.col("support")))
+    summary = F.array(row(F.lit("accuracy"), none, none, F.col("__acc"), F.col("__tot")),
+                      row(F.lit("macro avg"), F.col("__mp"), F.col("__mr"), F.col("__mf"),
+                          F.col("__tot")),
+                      row(F.lit("weighted avg"), F.col("__wp"), F.col("__wr"), F.col("__wf"),
+                          F.col("__tot")))
+    rows = F.when(F.col("__first"), F.concat(own, summary)).otherwise(own)
+    return t.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -77,13 +96,15 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
     pivots to one column per class (the class list is the distinct true labels,
     bounded by the number of classes)."""
     pc = pair_counts(pred, label, prediction)
-    labels = pc.select(F.col("label").alias("prediction")).distinct()
-    cells = pc.join(labels, "prediction", "left_semi").select(
+    labels = F.collect_set("label").over(Window.partitionBy(F.lit(1)))   # K^2-row table
+    cells = pc.withColumn("__labels", labels).where(
+        F.array_contains("__labels", F.col("prediction"))).select(
         F.col("label").alias("true_label"), F.col("prediction").alias("predicted_label"),
         F.col("n").alias("count"))
     if not wide:
         return cells
-    names = sorted(r[0] for r in labels.collect() if r[0] is not None)
+    names = sorted(r[0] for r in cells.select("true_label").distinct().collect()
+                   if r[0] is not None)
     return (cells.groupBy("true_label").pivot("predicted_label", names).agg(F.sum("count"))
             .fillna(0).orderBy("true_label"))
 

@@ -46,10 +46,12 @@ def spread(df: DataFrame) -> DataFrame:
     than there are slots (a small single-row-group file).  A no-op on large
     inputs, whose scans already split into many more partitions than slots;
     used in front of CPU-heavy row-wise text work only."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no RDD API, leave as is
+        return df
+    return df.repartition(slots) if parts < slots else df
 
 
 def _pick(values: list[str], index: Column) -> Column:
