@@ -41,9 +41,9 @@ def text_features(df: DataFrame, text_col: str = "description",
 # ------------------------------------------------------------------ fitted stats
 @dataclass
 class AmountStats:
-    """Fitted amount statistics (one aggregate).  ``relative_error=0`` gives
-    exact quantiles (``percentile``: memory grows with the number of distinct
-    amounts, bounded for money with cents); >0 uses ``percentile_approx``."""
+    """Fitted amount statistics.  ``relative_error=0`` gives exact linearly
+    interpolated quantiles (``exact_quantiles``: bounded memory per task);
+    >0 uses one ``percentile_approx``."""
     median: float | None = None
     q75: float | None = None
     mean: float | None = None
@@ -55,17 +55,20 @@ class AmountStats:
     @classmethod
     def fit(cls, df: DataFrame, amount_col: str = "amount", relative_error: float = 0.0,
             merchant_col: str | None = None, top_k: int = 15) -> "AmountStats":
+        from .quantiles import exact_quantiles
         x = F.col(amount_col).cast("double")
+        r = df.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"),
+                   F.min(x).alias("mn"), F.max(x).alias("mx")).first()
         if relative_error > 0:
-            q = F.percentile_approx(x, [0.5, 0.75], int(1 / relative_error))
+            qr = df.agg(F.percentile_approx(x, [0.5, 0.75], int(1 / relative_error))
+                        .alias("q")).first()["q"]
         else:
-            q = F.percentile(x, F.array(F.lit(0.5), F.lit(0.75)))
-        r = df.agg(q.alias("q"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"),
-                   F.min(x).alias("mn"), F.max(x).alias("mx")).first()
+            row = exact_quantiles(df, amount_col, [0.5, 0.75]).first()
+            qr = [row["q0"], row["q1"]] if row else None
         top = []
         if merchant_col and merchant_col in df.columns:
             top = [row[0] for row in top_values(df, merchant_col, top_k).collect()]
-        qs = r["q"] or [None, None]
+        qs = qr or [None, None]
         return cls(qs[0], qs[1], r["mean"], r["sd"], r["mn"], r["mx"], top)
 
     def to_dict(self) -> dict:

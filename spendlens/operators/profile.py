@@ -84,18 +84,22 @@ def amount_histogram(df: DataFrame, column: str = "amount", bins: int = 20) -> D
 
 def amount_box(df: DataFrame, column: str = "amount", by: str = "category",
                exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """Min, q1, median, q3, max per group.  ``exact`` uses ``percentile``
-    (linear interpolation, like pandas); at scale ``exact=False`` switches to
-    ``percentile_approx``, whose memory is bounded per group."""
+    """Min, q1, median, q3, max per group.  ``exact`` gives the linearly
+    interpolated quantiles (like pandas) through ``exact_quantiles``, which
+    never buffers a whole group; ``exact=False`` is one ``percentile_approx``."""
+    from .quantiles import exact_quantiles
     x = F.col(column).cast("double")
+    rows = df.where(F.col(by).isNotNull() & x.isNotNull())
+    g = rows.groupBy(by).agg(F.min(x).alias("min"), F.max(x).alias("max"))
     if exact:
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = exact_quantiles(rows, column, [0.25, 0.5, 0.75], [by]).select(
+            by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     else:
-        q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
-    g = df.where(F.col(by).isNotNull() & x.isNotNull()).groupBy(by).agg(
-        F.min(x).alias("min"), q.alias("__q"), F.max(x).alias("max"))
-    return g.select(by, "min", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                    F.col("__q")[2].alias("q3"), "max")
+        pq = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
+        q = rows.groupBy(by).agg(pq.alias("__q")).select(
+            by, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
+            F.col("__q")[2].alias("q3"))
+    return g.join(q, by).select(by, "min", "q1", "median", "q3", "max")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -72,3 +72,18 @@ def test_roc_auc_perfect_and_ties(spark):
                                 ("y", 0, 0.5)], "class string, label int, score double")
     r = {x["class"]: x["auc"] for x in M.roc_auc(df).collect()}
     assert r["x"] == 1.0 and r["y"] == 0.5
+
+
+def test_exact_quantiles_match_percentile_with_ties(spark):
+    from spendlens.operators.quantiles import exact_quantiles
+    rows = [("a", float(v)) for v in [5] * 500 + list(range(1000))] + \
+        [("b", 1.0), ("b", 2.0), ("c", 7.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["q0"], r["q1"], r["q2"]) for r in
+           exact_quantiles(df, "x", [0.25, 0.5, 0.75], ["g"], accuracy=100).collect()}
+    want = {r["g"]: tuple(r["p"]) for r in df.groupBy("g").agg(
+        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")).collect()}
+    for g in want:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g])), (g, got[g], want[g])
+    glob = exact_quantiles(df, "x", [0.5]).first()["q0"]
+    assert abs(glob - df.agg(F.percentile("x", F.lit(0.5))).first()[0]) < 1e-9
