@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BUCKETS = 4096
+HASH_BUCKETS = 1 << 20   # rows per (class, bucket) stay small even for a hot class
 
 
 def label_index(df: DataFrame, label: str = "category") -> DataFrame:
