@@ -74,11 +74,27 @@ def total_spending(df: DataFrame, expense_sign: int = 1) -> DataFrame:
         F.coalesce(F.sum(F.col("amount")).cast("double"), F.lit(0.0)).alias("total_spending"))
 
 
-def _category_spend(df: DataFrame, expense_sign: int = 1) -> DataFrame:
-    g = (expenses(df, expense_sign).groupBy("category")
-         .agg(F.sum("amount").alias("__sum"),
-              F.count("amount").alias("num_transactions"),
-              F.stddev_samp(_amount()).alias("std_dev")))
+def category_rollup(df: DataFrame, expense_sign: int = 1) -> DataFrame:
+    """One grouped pass per category (NULL category included): expense sum /
+    count / mean / sample sd and the all-sign count / sum.  Every
+    category-level rule derives from it, so a statement is aggregated once."""
+    exp = expense_filter(expense_sign)
+    a = F.when(exp, F.col("amount"))
+    return df.groupBy("category").agg(
+        F.sum(a).alias("exp_sum"),
+        F.count(a).alias("exp_n"),
+        F.avg(a.cast("double")).alias("exp_mean"),
+        F.stddev_samp(a.cast("double")).alias("exp_std"),
+        F.count(F.lit(1)).alias("all_n"),
+        F.sum("amount").alias("all_sum"))
+
+
+def _category_spend(df: DataFrame, expense_sign: int = 1,
+                    rollup: DataFrame | None = None) -> DataFrame:
+    r = rollup if rollup is not None else category_rollup(df, expense_sign)
+    g = r.where(F.col("exp_n") > 0).select(
+        "category", F.col("exp_sum").alias("__sum"), F.col("exp_n").alias("num_transactions"),
+        F.col("exp_std").alias("std_dev"))
     # Window over the grouped result (one row per category), never the raw rows;
     # the exact (decimal) sums are added before the cast to double.
     total = F.sum("__sum").over(Window.partitionBy(F.lit(1))).cast("double")
@@ -87,11 +103,12 @@ def _category_spend(df: DataFrame, expense_sign: int = 1) -> DataFrame:
             .where(F.col("category").isNotNull()))
 
 
-def spend_by_category(df: DataFrame, expense_sign: int = 1) -> DataFrame:
+def spend_by_category(df: DataFrame, expense_sign: int = 1,
+                      rollup: DataFrame | None = None) -> DataFrame:
     """Per category of expenses: total_spent, avg_transaction, num_transactions,
     std_dev (sample; NULL for one row) and pct_of_total, where the total counts
     every expense, also those without a category."""
-    g = _category_spend(df, expense_sign)
+    g = _category_spend(df, expense_sign, rollup)
     return g.select("category", "total_spent",
                     (F.col("total_spent") / F.col("num_transactions")).alias("avg_transaction"),
                     "num_transactions", "std_dev",
@@ -109,12 +126,12 @@ def tips_df(spark: SparkSession, table: dict = K.CATEGORY_TIPS) -> DataFrame:
 
 # ------------------------------------------------------------------ A7
 def overspending(df: DataFrame, monthly_income: float | None = None, expense_sign: int = 1,
-                 benchmarks: dict = K.BENCHMARKS) -> DataFrame:
+                 benchmarks: dict = K.BENCHMARKS, rollup: DataFrame | None = None) -> DataFrame:
     """Categories above their benchmark share of the reference amount (income
     when given and non-zero, else total spending).  Inner join with the
     benchmark table: categories without a benchmark give no insight."""
     spark = df.sparkSession
-    stats = _category_spend(df, expense_sign)
+    stats = _category_spend(df, expense_sign, rollup)
     bench = F.broadcast(benchmarks_df(spark, benchmarks))
     j = stats.join(bench, "category")
     ref = F.lit(float(monthly_income)) if monthly_income else F.col("total_all")
@@ -147,11 +164,12 @@ def frequent_small(df: DataFrame, expense_sign: int = 1,
                    min_count: int = K.FREQUENT_SMALL_MIN_COUNT,
                    max_mean: float = K.FREQUENT_SMALL_MAX_MEAN,
                    min_total: float = K.FREQUENT_SMALL_MIN_TOTAL,
-                   savings_rate: float = K.FREQUENT_SMALL_SAVINGS) -> DataFrame:
-    g = (expenses(df, expense_sign).where(F.col("category").isNotNull()).groupBy("category")
-         .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("total"),
-              F.count("amount").alias("n_amount")))
-    g = g.withColumn("mean", F.col("total") / F.col("n_amount"))
+                   savings_rate: float = K.FREQUENT_SMALL_SAVINGS,
+                   rollup: DataFrame | None = None) -> DataFrame:
+    r = rollup if rollup is not None else category_rollup(df, expense_sign)
+    g = r.where(F.col("category").isNotNull() & (F.col("exp_n") > 0)).select(
+        "category", F.col("exp_n").alias("n"), F.col("exp_sum").cast("double").alias("total"))
+    g = g.withColumn("mean", F.col("total") / F.col("n"))
     c = F.col("category")
     return (g.where((F.col("n") > min_count) & (F.col("mean") < max_mean)
                     & (F.col("total") > min_total))
@@ -190,11 +208,13 @@ def top_merchants(df: DataFrame, expense_sign: int = 1, k: int = K.TOP_MERCHANTS
 # ------------------------------------------------------------------ A6
 def subscription_fatigue(df: DataFrame, category: str = "subscription",
                          min_count: int = K.SUBSCRIPTION_MIN_COUNT,
-                         savings_rate: float = K.SUBSCRIPTION_SAVINGS) -> DataFrame:
+                         savings_rate: float = K.SUBSCRIPTION_SAVINGS,
+                         rollup: DataFrame | None = None) -> DataFrame:
     """Rows labelled ``subscription`` (any sign): more than ``min_count`` -> one insight."""
-    g = (df.where(F.col("category") == category)
-         .agg(F.count(F.lit(1)).alias("n"),
-              F.coalesce(F.sum("amount").cast("double"), F.lit(0.0)).alias("total")))
+    r = rollup if rollup is not None else category_rollup(df.where(F.col("category") == category))
+    g = r.where(F.col("category") == category).select(
+        F.col("all_n").alias("n"),
+        F.coalesce(F.col("all_sum").cast("double"), F.lit(0.0)).alias("total"))
     return g.where(F.col("n") > min_count).select(
         F.lit(category).alias("category"), F.lit("subscription_fatigue").alias("metric_type"),
         _text(MSG_SUBSCRIPTION, n=F.col("n"), total=py_fixed(F.col("total"), 0)).alias("message"),
@@ -204,19 +224,20 @@ def subscription_fatigue(df: DataFrame, category: str = "subscription",
 
 
 # ------------------------------------------------------------------ A8
-def category_moments(df: DataFrame, expense_sign: int = 1) -> DataFrame:
-    return (expenses(df, expense_sign).where(F.col("category").isNotNull())
-            .groupBy("category")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg(_amount()).alias("mean"),
-                 F.stddev_samp(_amount()).alias("std")))
+def category_moments(df: DataFrame, expense_sign: int = 1,
+                     rollup: DataFrame | None = None) -> DataFrame:
+    r = rollup if rollup is not None else category_rollup(df, expense_sign)
+    return r.where(F.col("category").isNotNull() & (F.col("exp_n") > 0)).select(
+        "category", F.col("exp_n").alias("n"), F.col("exp_mean").alias("mean"),
+        F.col("exp_std").alias("std"))
 
 
 def anomalies(df: DataFrame, expense_sign: int = 1, z: float = K.ANOMALY_Z,
-              min_count: int = K.ANOMALY_MIN_COUNT) -> DataFrame:
+              min_count: int = K.ANOMALY_MIN_COUNT, rollup: DataFrame | None = None) -> DataFrame:
     """Expenses above mean + z * sample sd of their category (n >= 3, sd != 0).
     The per-category moments are a grouped aggregate joined back on category,
     not a window: a window would sort a hot category in a single task."""
-    m = category_moments(df, expense_sign).where(
+    m = category_moments(df, expense_sign, rollup).where(
         (F.col("n") >= min_count) & (F.col("std") != 0))
     e = expenses(df, expense_sign).select("category", _amount().alias("amt"))
     j = e.join(m, "category").where(F.col("amt") > F.col("mean") + z * F.col("std"))
@@ -232,13 +253,16 @@ def anomalies(df: DataFrame, expense_sign: int = 1, z: float = K.ANOMALY_Z,
 # ------------------------------------------------------------------ A9
 def all_insights(df: DataFrame, monthly_income: float | None = None,
                  expense_sign: int = 1, **thresholds) -> DataFrame:
-    """Concatenation of the five rules, ordered by severity, then rule order."""
+    """Concatenation of the five rules, ordered by severity, then rule order.
+    The category rollup (one row per category) is computed once and cached;
+    only the anomaly join and the merchant totals read the rows again."""
+    rollup = category_rollup(df, expense_sign).cache()
     parts = [
-        overspending(df, monthly_income, expense_sign),
-        frequent_small(df, expense_sign, **thresholds.get("frequent_small", {})),
+        overspending(df, monthly_income, expense_sign, rollup=rollup),
+        frequent_small(df, expense_sign, rollup=rollup, **thresholds.get("frequent_small", {})),
         top_merchants(df, expense_sign) if "merchant" in df.columns else None,
-        subscription_fatigue(df, **thresholds.get("subscription", {})),
-        anomalies(df, expense_sign, **thresholds.get("anomalies", {})),
+        subscription_fatigue(df, rollup=rollup, **thresholds.get("subscription", {})),
+        anomalies(df, expense_sign, rollup=rollup, **thresholds.get("anomalies", {})),
     ]
     out = None
     for rule_no, p in enumerate(parts):

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, DecimalType, DoubleType, FloatType, TimestampNTZType,
                                TimestampType)
@@ -77,10 +78,11 @@ def _dataset_summary(spark, d):
     return rounded(dataset_summary(txn(spark, d)))
 
 
-register("category_counts", TXN_CTE + """
-SELECT category, count(*) AS count FROM txn WHERE category IS NOT NULL GROUP BY category""")(
-    lambda spark, d: __import__("spendlens.operators.profile", fromlist=["x"])
-    .category_counts(txn(spark, d)))
+@register("category_counts", TXN_CTE + """
+SELECT category, count(*) AS count FROM txn WHERE category IS NOT NULL GROUP BY category""")
+def _category_counts(spark, d):
+    from ..operators.profile import category_counts
+    return category_counts(txn(spark, d))
 
 
 @register("preview_top10", TXN_CTE + "SELECT txn_id, CAST(date AS VARCHAR) AS date, description, "
@@ -645,9 +647,9 @@ FROM x""")(lambda spark, d: txn(spark, d).select(
 def _merchant_onehot(spark, d):
     t = C.add_merchant(spread(txn(spark, d)))
     top = FE.top_values(t, "merchant", 15)
+    # the window runs over the 15-row top list only
     ranked = top.withColumn("onehot_index", F.row_number().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(
-            F.desc("n"), F.asc("merchant"))) - 1).drop("n")
+        Window.orderBy(F.desc("n"), F.asc("merchant"))) - 1).drop("n")
     return t.join(F.broadcast(ranked), "merchant", "left").select(
         "txn_id", "merchant",
         F.coalesce(F.col("onehot_index").cast("long"), F.lit(-1).cast("long")).alias("onehot_index"))
@@ -1014,15 +1016,13 @@ def _pca(spark, d):
     c = StandardScaler(withMean=True, withStd=False, inputCol="features",
                        outputCol="centred").fit(e).transform(e)
     p = PCA(k=2, inputCol="centred", outputCol="pc").fit(c).transform(c)
-    arr = vector_to_array_col = __import__("pyspark.ml.functions", fromlist=["x"]) \
-        .vector_to_array(F.col("pc"))
+    arr = vector_to_array(F.col("pc"))
     return rounded(p.select("vec_id", arr[0].alias("pc1"), arr[1].alias("pc2"), "category"))
 
 
 @register("create_features")
 def _create_features(spark, d):
     """F16: the compact feature vector of every statement row."""
-    from pyspark.ml.functions import vector_to_array
     t = C.add_merchant(spread(txn(spark, d)))
     out, fitted = MD.create_features(t, "txn_id")
     arr = vector_to_array(F.col("features"))

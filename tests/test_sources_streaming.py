@@ -1,6 +1,7 @@
 """File scan / sink round trips and the streaming cleaner."""
 import os
 import tempfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,9 +38,10 @@ def test_streaming_clean_matches_batch(spark):
         .withColumn("ts", F.to_timestamp("ts")).withColumn("date", F.to_date("ts")) \
         .write.parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    q = start(spark, clean_stream(stream), "clean_test", sink="memory")
+    name = f"clean_test_{uuid.uuid4().hex}"     # a memory sink cannot resume
+    q = start(spark, clean_stream(stream), name, sink="memory")
     q.processAllAvailable()
     q.stop()
-    out = spark.sql("SELECT * FROM clean_test").collect()
+    out = spark.sql(f"SELECT * FROM {name}").collect()
     assert len(out) == 2
     assert {r["category"] for r in out} == {"food", "transport"}
