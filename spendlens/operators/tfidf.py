@@ -46,9 +46,13 @@ def doc_terms(df: DataFrame, id_col: str, text_col: str, p: TfidfParams) -> Data
         bigrams = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))),
                               lambda x, i: F.concat(F.col("t")[i], F.lit(" "), x))
         terms = F.concat(F.col("t"), bigrams)
-    # explicit (always true) filter: the join below infers it on one side only,
-    # which would make the two count subtrees differ and defeat exchange reuse
-    return d.select("doc", F.explode(terms).alias("term")).where(F.col("term").isNotNull())
+    # explode_outer, not explode: for explode the optimizer infers a size > 0
+    # filter and pushes it below the projections, inlining the tokenizer into
+    # the bigram lambda (the regex would rerun per element).  The explicit NULL
+    # filter drops the row of an empty array, and keeps both count subtrees
+    # identical (the join would infer it on one side only), so the exchange is
+    # reused.
+    return d.select("doc", F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, p: TfidfParams) -> DataFrame:
