@@ -9,13 +9,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spendlens.llm import chat_events, decontaminate, prefix_bpe, token_files
+from spendlens.llm import (chat_events, decontaminate, prefix_bpe, quality_fm, token_files,
+                           toxicity_fm)
 from spendlens.llm.common import shared_folder, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(table(spark, sf_dir, "documents"), MULTI_RANKS,
                               public_tokenizers.PATTERN)
@@ -27,6 +32,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_back(spark, path)
 
 
+def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_fm.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -42,6 +51,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_prefix_bpe, op4_token_files, op8_chat_events, op10_decontaminate)}
+    op2_quality_fm, op3_prefix_bpe, op4_token_files, op6_toxicity_fm, op8_chat_events,
+    op10_decontaminate)}
 
 ORACLE: dict[str, str] = {}
