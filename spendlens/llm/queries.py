@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spendlens.llm import (chat_events, decontaminate, prefix_bpe, quality_fm, token_files,
+from spendlens.llm import (chat_events, decontaminate, jaccard_join, prefix_bpe, quality_fm, token_files,
                            toxicity_fm)
 from spendlens.llm.common import shared_folder, table
 
@@ -32,6 +32,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_back(spark, path)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_fm, op3_prefix_bpe, op4_token_files, op6_toxicity_fm, op8_chat_events,
+    op2_quality_fm, op3_prefix_bpe, op4_token_files, op5_jaccard_join, op6_toxicity_fm, op8_chat_events,
     op10_decontaminate)}
 
 ORACLE: dict[str, str] = {}
