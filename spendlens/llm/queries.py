@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spendlens.llm import (chat_events, decontaminate, jaccard_join, prefix_bpe, quality_fm, token_files,
+from spendlens.llm import (chat_events, decontaminate, jaccard_join, ppm, prefix_bpe, quality_fm, token_files,
                            toxicity_fm)
 from spendlens.llm.common import shared_folder, table
 
@@ -49,6 +49,10 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_events.conversation_digests(chat_events.render(chat_events.fold(log)))
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), class_col="lang")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"),
                                 table(spark, sf_dir, "benchmark"))
@@ -56,6 +60,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op2_quality_fm, op3_prefix_bpe, op4_token_files, op5_jaccard_join, op6_toxicity_fm, op8_chat_events,
-    op10_decontaminate)}
+    op9_ppm, op10_decontaminate)}
 
 ORACLE: dict[str, str] = {}
