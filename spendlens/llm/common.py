@@ -3,7 +3,6 @@ folders, text columns as bytes."""
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,12 +17,20 @@ from spendlens.session import ensure_checkpoint_dir
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
-#: White space other than single blanks and line ends that touch no blank.  In a
-#: text without it each blank starts a piece of the byte-level tokenizers' pattern,
-#: so the text can be encoded by its blank-separated chunks.
-RARE_SPACE = re.compile(
-    r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-    r"|  | \n|\n | \Z")
+#: White space other than the blank and the line end, and the runs
+#: in which these two touch a blank.
+_ODD_SPACE = [chr(c) for c in (
+    0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002,
+    0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000)] + ["  ", " \n", "\n "]
+
+
+def blank_separated(text: str) -> bool:
+    """Whether each blank of ``text`` stands between two other characters that
+    are no white space.  Then each blank starts a piece of the byte-level
+    tokenizers' pattern, and the text can be encoded by its blank-separated
+    chunks.  (Substring tests are many times faster than one pattern.)"""
+    return not (text.endswith(" ") or any(map(text.__contains__, _ODD_SPACE)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

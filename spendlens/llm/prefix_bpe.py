@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spendlens.llm.common import RARE_SPACE, bound_batches, texts
+from spendlens.llm.common import blank_separated, bound_batches, texts
 
 MAX_RANK_BYTES = 64 << 20
 #: Entries of a worker's dictionary of chunks; of new ones, and as many old ones.
@@ -184,9 +184,8 @@ class BytePairCodec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if RARE_SPACE.search(text):
+        if not blank_separated(text):
             return self._pieces_of(text)
-        # Each single blank starts a piece, so the text can be cut before it.
         first, *rest = text.split(" ")
         return self._pieces_of(first) + b"".join(map(self.chunk_ids.__getitem__, rest))
 

@@ -9,14 +9,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spendlens.llm import (chat_events, decontaminate, jaccard_join, ppm, prefix_bpe, quality_fm, token_files,
-                           toxicity_fm)
+from spendlens.llm import (chat_events, decontaminate, html_consensus, jaccard_join, pivot_topk,
+                           ppm, prefix_bpe, quality_fm, token_files, toxicity_fm)
 from spendlens.llm.common import shared_folder, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,10 @@ def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -59,7 +67,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_fm, op3_prefix_bpe, op4_token_files, op5_jaccard_join, op6_toxicity_fm, op8_chat_events,
-    op9_ppm, op10_decontaminate)}
+    op1_html_consensus, op2_quality_fm, op3_prefix_bpe, op4_token_files, op5_jaccard_join,
+    op6_toxicity_fm, op7_pivot_topk, op8_chat_events, op9_ppm, op10_decontaminate)}
 
 ORACLE: dict[str, str] = {}

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 import zlib
 from itertools import chain
 
@@ -36,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spendlens.llm.common import RARE_SPACE, bound_batches, list_slices, texts
+from spendlens.llm.common import blank_separated, bound_batches, list_slices, texts
 
 MAX_TOKENIZER_BYTES = 64 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 FILE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()),
     T.StructField("pos", T.LongType()), T.StructField("n_tokens", T.IntegerType()),
@@ -64,9 +65,8 @@ class ChunkEncoder:
         self.old: dict[str, bytes] = {}
 
     def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() if len(e.ids) > 50 else b"".join(
-            [i.to_bytes(4, "little") for i in e.ids])
-            for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def encode_all(self, batch: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ENTRIES:
@@ -74,11 +74,11 @@ class ChunkEncoder:
         out: list[bytes | None] = [None] * len(batch)
         chunked, whole = [], []
         for i, text in enumerate(batch):
-            if RARE_SPACE.search(text):
-                whole.append(i)
-            else:
+            if blank_separated(text):
                 first, *rest = text.split(" ")
                 chunked.append((i, first, rest))
+            else:
+                whole.append(i)
         for i, ids in zip(whole, self._library([batch[i] for i in whole]), strict=True):
             out[i] = ids
         known = self.known
