@@ -13,10 +13,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import decontaminate, prefix_bpe, queries
+from spendlens.llm import (decontaminate, jaccard_join, prefix_bpe, quality_fm, queries,
+                           toxicity_fm)
 from spendlens.llm.common import table, written
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier scores 0.7 or more go."""
+    return toxicity_fm.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores below 0.3 go."""
+    return quality_fm.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of smallest id stays."""
+    return jaccard_join.keep_first(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a hit benchmark window go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -30,6 +46,9 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", not_toxic),
+    ("quality", good),
+    ("near duplicates", distinct),
     ("decontamination", decontaminated),
     ("byte-level BPE", tokenized),
 ]

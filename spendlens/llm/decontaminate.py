@@ -181,7 +181,7 @@ def cut_spans(text: str, hits: bytes | None) -> str:
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """All documents, hit spans cut out of their texts."""
     marked = scan(docs, benchmark, text_col=text_col, **kw)
-    cut = F.udf(cut_spans, "string")
+    cut = F.udf(cut_spans, "string", useArrow=False)
     return marked.withColumn(
         text_col, F.when(F.col("_dc_hits").isNull(), F.col(text_col)).otherwise(
             cut(text_col, "_dc_hits"))).select(*[F.col(f"`{c}`") for c in docs.columns])

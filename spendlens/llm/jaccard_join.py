@@ -18,12 +18,12 @@ Lists of thousands of near copies are not expanded into all pairs: links are
 first sought between neighbours of a list, then between each set and one
 member of the list's main class; what these links connect is one class, and only
 pairs of different classes remain.  All of those are then tested, so classes
-are exact.  ``links(..., all_links=True)`` skips the shortcut and returns every
+are exact.  ``links(verifier, all_links=True)`` skips the shortcut and returns every
 link between different sets.
 
-Edge cases: NULL and empty texts have no set and no link; documents with equal
-ids are one node; a NULL id is reported without component; extra columns are
-ignored; an empty table gives no rows.  Numbers of shingles are 64-bit hashes.
+Edge cases: NULL and empty texts have no set and no link; rows with equal ids
+get the class of their own text; a NULL id links nothing and is reported without
+component; extra columns are ignored; an empty table gives no rows.  Numbers of shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -151,7 +151,8 @@ class Verifier:
     """Tests candidate pairs of sets on the whole sets."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame):
-        self.docs = docs
+        """``docs`` (doc_id, text) and their ``document_sets``, written."""
+        self.docs, self.sets = docs, sets
         self.meta = written(sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(
             F.min("doc_id").alias("doc"), F.first("n").alias("n"),
             F.first("ranges", ignorenulls=True).alias("ranges")), "join-sets")
@@ -224,11 +225,10 @@ def _classes(lists: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
     return tagged.join(main.where(F.col("classes") > 1).select("h", "main"), "h")
 
 
-def links(docs: DataFrame, sets: DataFrame, all_links: bool = False) -> DataFrame:
+def links(verifier: Verifier, all_links: bool = False) -> DataFrame:
     """Links (a, b, doc_a, doc_b) between distinct sets; all of them, or enough
     for exact classes."""
-    lists = written(prefix_lists(sets), "join-lists")
-    verifier = Verifier(docs, sets)
+    lists = written(prefix_lists(verifier.sets), "join-lists")
     other = lists.select("h", F.col("set_id").alias("other"), F.col("at").alias("other_at"))
     if all_links:
         met = lists.join(other, "h").where((F.col("set_id") < F.col("other"))
@@ -263,23 +263,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(document_sets(docs), "join-documents")
-    known = sets.where(F.col("doc_id").isNotNull())
-    found = links(docs.where(F.col("doc_id").isNotNull()), known)
-    # Documents of one set are linked through the set's smallest id; documents
-    # with equal ids and different sets are one node.
-    first = known.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(
-        F.min("doc_id").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    same = known.join(first, "set_id").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
-    classes = components(found.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))
-                         .unionByName(same.where(F.col("u") != F.col("v"))))
-    return sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(
-        classes, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    verifier = Verifier(docs.where(F.col("doc_id").isNotNull()),
+                        sets.where(F.col("doc_id").isNotNull()))
+    found = links(verifier)
+    classes = components(found.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")))
+    # A set stands for all its copies: its class is that of its first document.
+    by_set = written(verifier.meta.join(classes, F.col("doc") == F.col("node"), "left").select(
+        "set_id", F.coalesce("component", "doc").alias("component")), "join-classes")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id").join(
+        by_set, "set_id", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids`` as a broadcast if their number allows."""
+    ids = written(ids, "join-ids")
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The document of smallest id of each class (once), columns as they came;
-    documents without words or id all stay."""
-    classes = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    kept = docs.join(classes.distinct(), "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    """The document of smallest id of each class, columns as they came; of rows
+    with equal ids one stays, documents without words or id all stay."""
+    classes = written(near_duplicates(docs), "join-result")
+    gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = classes.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(
+        "doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = _few(repeated)
+    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).withColumn(
+        "_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(
+        F.col("_copy") == 1).drop("_copy")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
