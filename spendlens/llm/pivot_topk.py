@@ -263,7 +263,12 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """The k best of all other rows for every row whose vec_id ``every`` divides."""
     spark = rows.sparkSession
     bound_batches(spark, 2000)
-    index = Index(integer_vectors(rows))
+    vectors = integer_vectors(rows)
+    result = _schema(("query_id", T.LongType()), ("rank", T.IntegerType()),
+                     ("vec_id", T.LongType()), ("score", T.LongType()))
+    if vectors.isEmpty():
+        return spark.createDataFrame([], result)
+    index = Index(vectors)
     wanted = index.vectors.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
     n_blocks = -(-wanted.count() // QUERY_ROWS)
     out = None
@@ -273,7 +278,5 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         found = index.top_k(ids, matrix(own.column("v").combine_chunks(), index.width), k)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = spark.createDataFrame([], _schema(
-            ("query_id", T.LongType()), ("rank", T.IntegerType()), ("vec_id", T.LongType()),
-            ("score", T.LongType())))
+        out = spark.createDataFrame([], result)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
