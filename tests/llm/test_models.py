@@ -1,0 +1,147 @@
+"""Classifiers by held-out accuracy, PPM against plain sums and a plain trie."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow.dataset as ds
+import pytest
+
+from spendlens.llm import fm, ppm, quality_fm, queries, toxicity_fm
+
+SF = "/root/testdata/sf0.1"
+
+
+def column(sf, name, *cols):
+    t = ds.dataset(f"{sf}/{name}.parquet").to_table(columns=list(cols))
+    return list(zip(*(c.to_pylist() for c in t.columns)))
+
+
+@pytest.mark.parametrize("query,label,folds,rest,limit,accuracy,recall", [
+    (queries.op2_quality_fm, 1, 5, 0, 0.3, 0.98, 0.98),
+    (queries.op6_toxicity_fm, 2, 3, 1, 0.7, 0.96, 0.75)])
+def test_held_out_accuracy(spark, query, label, folds, rest, limit, accuracy, recall):
+    labels = {r[0]: r[label] for r in column(SF, "labels", "doc_id", "quality", "toxic")}
+    rows = query(spark, SF).collect()
+    assert len(rows) == len(column(SF, "documents", "doc_id"))
+    right = n = hit = positive = 0
+    for r in rows:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= limit)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == rest)
+        if r["held_out"] and labels.get(r["doc_id"]) is not None:
+            y = labels[r["doc_id"]]
+            n, right = n + 1, right + (y == r["predicted"])
+            positive, hit = positive + y, hit + (y and r["predicted"])
+    assert right / n >= accuracy and hit / positive >= recall
+
+
+def test_margin_is_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    d, words = 9, 6
+    w, v = rng.normal(size=d), rng.normal(size=(d, 3))
+    dense = rng.normal(size=(4, d - words))
+    lists = [[0, 2, 5], [], [1], [0, 1, 2, 3, 4, 5]]
+    rows, flat = fm.ragged(lists)
+    got, _ = fm.margins(rows, flat, dense, 0.5, w, v)
+    for i, own in enumerate(lists):
+        x = np.zeros(d)
+        x[own] = 1
+        x[words:] = dense[i]
+        pairs = sum(v[a] @ v[b] * x[a] * x[b] for a in range(d) for b in range(a))
+        assert got[i] == pytest.approx(0.5 + w @ x + pairs)
+
+
+def test_pairs_are_learned():
+    """A label that holds only for two words together needs the interaction."""
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 4)) < 0.5
+    y = (x[:, 0] == x[:, 1]).astype(float)
+    index = [np.flatnonzero(r) for r in x]
+    p = fm.FitParams(rank=4, epochs=60)
+    theta = np.concatenate((np.zeros(5), rng.normal(0, 0.1, 16)))
+    state = fm.train_shard(index, np.zeros((600, 0)), y, np.stack((theta, np.full(21, 1e-2))), 4, p, 0)
+    rows, flat = fm.ragged(index)
+    margin, _ = fm.margins(rows, flat, np.zeros((600, 0)), state[0, 0], state[0, 1:5],
+                           state[0, 5:].reshape(4, 4))
+    assert ((margin > 0) == (y > 0)).mean() > 0.95
+
+
+@pytest.mark.parametrize("module,columns", [(quality_fm, "quality"), (toxicity_fm, "toxic")])
+def test_classifier_edge_rows(spark, module, columns):
+    docs = spark.createDataFrame(
+        [(1, None, None, 1.0), (2, "", 0, 1.0), (None, "x", 1, 1.0), (3, "word " * 50_000, 5, 1.0),
+         (3, "word " * 50_000, 5, 1.0)], "doc_id long, text string, n_chars long, score double")
+    none = spark.createDataFrame([], f"doc_id long, {columns} int")
+    rows = module.predictions(docs, none).collect()
+    assert [r["score"] for r in rows] == [0.5] * 5
+    one = spark.createDataFrame([(2, 1), (3, 0), (1, None)], f"doc_id long, {columns} int")
+    assert all(0 <= r["score"] <= 1 for r in module.predictions(docs, one).collect())
+    assert module.predictions(docs.limit(0), one).count() == 0
+
+
+# ---- PPM -------------------------------------------------------------------------
+
+def plain_base(docs):
+    counts = Counter()
+    for d, text in docs:
+        if zlib.crc32(str("" if d is None else d).encode()) % 10:
+            counts.update((text or "").encode().lower().split())
+            counts[None] += 1
+    n, v = sum(counts.values()), len(counts)
+    out = []
+    for d, text in docs:
+        ws = [*(text or "").encode().lower().split(), None]
+        out.append((d, len(ws), sum(counts[w] > 0 for w in ws), n, sum(
+            math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)))
+    return sorted(out, key=str)
+
+
+def check_base(rows, docs):
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"])
+                  for r in rows), key=str)
+    for a, b in zip(got, plain_base(docs), strict=True):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9, abs=1e-9)
+
+
+def test_op9_sums_and_gain(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op9_ppm(spark, sf).collect()
+    check_base(rows, column(sf, "documents", "doc_id", "text"))
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_ppm_edge_rows_and_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "HEAD_WORDS", 4)  # most words take the join
+    docs = [(i, " ".join(random.Random(i).choices(["The", "cat", "sat", "ÉTÉ", f"rare{i}"], k=8)))
+            for i in range(40)] + [(50, None), (51, ""), (None, "no id"), (7, "again"), (7, "again"),
+                                   (60, "x" * 30_000), (20, "zq \x00 \x7f")]
+    df = spark.createDataFrame([(*d, "a") for d in docs], "doc_id long, text string, score string")
+    rows = ppm.score(df).collect()
+    check_base(rows, docs)
+    assert all(r["score"] < 0 for r in rows)
+    assert ppm.score(df.limit(0)).count() == 0
+    alone = ppm.score(df.where("doc_id = 51")).collect()
+    assert len(alone) == 1 and alone[0]["n_tokens"] == 1
+
+
+def test_trie_probabilities_sum_to_one():
+    r = random.Random(1)
+    batch = [bytes(r.choices(b"abcde", k=r.randint(1, 7))) for _ in range(300)]
+    symbol, _, place, history = ppm.positions(batch)
+    counts = Counter()
+    for order in range(ppm.ORDER + 1):
+        at = np.flatnonzero(place + 1 >= order)
+        counts.update((ppm.contexts(history[at], order) << 9 | symbol[at]).tolist())
+    trie = ppm.Trie.of(np.array(list(counts)), np.array(list(counts.values())))
+    for text in (b"", b"a", b"abc", b"abcdeabcd", b"zz"):
+        context = (b" " * 5 + text)[-5:]
+        h = np.full(257, int.from_bytes(context, "big"))
+        total = (10 ** trie.log10(np.arange(257), h, np.full(257, len(text)))).sum()
+        assert total == pytest.approx(1)
+    one = trie.words_log10([b"abc"])[0]
+    parts = [trie.log10(np.array([s]), np.array([int.from_bytes((b"     " + b"abc"[:i])[-5:], "big")]),
+                        np.array([i]))[0] for i, s in enumerate(b"abc ")]
+    assert one == pytest.approx(sum(parts))
