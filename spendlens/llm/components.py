@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Each round replaces a node's links by links to the smallest node it knows: one
-grouped minimum (combined before the shuffle) and one join per star.  The link
+shuffle for each of the two stars and one to drop repeated links.  The link
 table is written to the shared folder after each round, so lineage stays short
 and a lost executor repeats one round at most.  No link, label or component
 ever reaches the driver; it only compares one row of counts per round.
@@ -9,24 +9,26 @@ ever reaches the driver; it only compares one row of counts per round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from spendlens.llm.common import written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
+    """One shuffle by node: each link of it becomes one to its smallest node.
+    The window's rows of a node spill; no array of them is built."""
     if large:
         sides = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = sides.join(low, "u")
+    met = sides.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
     if large:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+        # The node's own link to the smallest comes from the row that holds it.
+        out = met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+                         .alias("u"), F.col("m").alias("v"))
+    return out.where(F.col("u") != F.col("v"))
 
 
 def components(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -37,7 +39,7 @@ def components(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
         (F.col("u") != F.col("v")) & F.col("u").isNotNull() & F.col("v").isNotNull()).distinct()
     state, rounds = None, 0
     while max_rounds is None or rounds < max_rounds:
-        table = written(_stars(_stars(table, True), False), "components")
+        table = written(_stars(_stars(table, True), False).distinct(), "components")
         seen = table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         rounds += 1
         if seen == state:

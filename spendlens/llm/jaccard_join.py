@@ -240,7 +240,7 @@ def links(verifier: Verifier, all_links: bool = False) -> DataFrame:
         F.col("other").isNotNull() & _fits("at", "other_at"))
     found = verifier.links(neighbours.select(*_pairs("set_id", "other")))
     # One member of the main class, another one for each list.
-    open_lists = written(_classes(lists, found, 3), "join-open")
+    open_lists = written(_classes(lists, found, 2), "join-open")
     in_main = F.col("class") == F.col("main")
     heads = open_lists.where(in_main).groupBy("h").agg(F.min_by(
         F.struct("set_id", "at"), F.xxhash64("h", "set_id")).alias("head")).select(
@@ -248,7 +248,7 @@ def links(verifier: Verifier, all_links: bool = False) -> DataFrame:
     to_head = open_lists.where(~in_main).join(heads, "h").where(_fits("at", "other_at"))
     found = found.unionByName(verifier.links(to_head.select(*_pairs("set_id", "other"))))
     # All pairs of different classes; one side is never of the main class.
-    open_lists = written(_classes(lists, found, 3), "join-open")
+    open_lists = written(_classes(lists, found, 2), "join-open")
     right = open_lists.select("h", F.col("set_id").alias("other"), F.col("at").alias("other_at"),
                               F.col("class").alias("other_class"))
     rest = open_lists.where(F.col("class") != F.col("main")).join(right, "h").where(
