@@ -10,9 +10,12 @@ of at least 0.75.  The join works on distinct sets (copies share one):
    shares one of them.  A task emits a set it has seen before only once.
 3. Sets that share a prefix shingle meet in its list.  Candidates must pass the
    length filter (4 min >= 3 max), the positional filter (what is left of both
-   after the shared shingle must reach the needed overlap) and, once per pair,
-   the suffix filter (64 ranges of shingle numbers: differing counts bound the
-   overlap from above).  Survivors are verified once on the whole sets.
+   after the shared shingle must reach the needed overlap) and the suffix
+   filter: the universe of shingles is cut into ranges by the low bits of their
+   numbers, and each range whose counts differ in parity holds a shingle that
+   only one of the two sets has, which bounds the overlap from above.  A list
+   tests 256 ranges, a pair four ranges and more per shingle.  Survivors are
+   verified once on the whole sets.
 
 Lists of thousands of near copies are not expanded into all pairs: links are
 first sought between neighbours of a list, then between each set and one
@@ -39,8 +42,9 @@ from spendlens.llm.common import bound_batches, raw_texts, written
 from spendlens.llm.components import components
 from spendlens.llm.shingles import WordHashes, shingles, window_min
 
-SLOTS = 1 << 16
-RANGES = 64
+SLOTS = 1 << 20
+#: Parities of so many ranges, in words of 64, go with each list entry.
+WORDS = 4
 #: Ids of candidate documents are broadcast up to this number; beyond, the join
 #: that fetches their texts shuffles.
 MAX_BROADCAST_IDS = 2_000_000
@@ -79,7 +83,20 @@ def set_id(numbers: np.ndarray) -> int:
 
 
 SETS = _schema(("doc_id", T.LongType()), ("n", T.IntegerType()), ("set_id", T.LongType()),
-               ("prefix", T.ArrayType(T.LongType())), ("ranges", T.ArrayType(T.ShortType())))
+               ("prefix", T.ArrayType(T.LongType())), ("parity", T.BinaryType()))
+
+
+def parities(numbers: np.ndarray) -> np.ndarray:
+    """Parity of each range's count, as bits: range r holds the numbers that end
+    in r; four ranges and more per shingle."""
+    size = max(64 * WORDS, 1 << (4 * len(numbers) - 1).bit_length())
+    odd = np.bincount((numbers & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The parities of fewer, wider ranges."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
@@ -91,7 +108,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     def describe(batches):
         hashes, seen, level = WordHashes(), set(), levels.value
         for b in batches:
-            sizes, ids, prefixes, ranges = [], [], [], []
+            sizes, ids, prefixes, parity = [], [], [], []
             for text in raw_texts(b.column(1)):
                 words = hashes.of(text)
                 numbers, first = np.unique(shingles(words), return_index=True)
@@ -101,37 +118,41 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 ids.append(key)
                 if not n or key in seen:
                     prefixes.append(None)
-                    ranges.append(None)
+                    parity.append(None)
                     continue
                 seen.add(key)
                 rarity = window_min(level[(words & _SLOT).astype(np.int64)])[first]
                 keep = n - (3 * n + 3) // 4 + 1
                 order = np.lexsort((numbers, rarity))[:keep]
                 prefixes.append(numbers[order].view(np.int64))
-                ranges.append(np.bincount((numbers >> np.uint64(58)).astype(np.int64),
-                                          minlength=RANGES).astype(np.int16))
+                parity.append(parities(numbers).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()),
-                 pa.array(prefixes, arrow.field(3).type), pa.array(ranges, arrow.field(4).type)],
+                 pa.array(prefixes, arrow.field(3).type), pa.array(parity, arrow.field(4).type)],
                 schema=arrow)
 
     return docs.mapInArrow(describe, SETS)
 
 
-def _n(packed: str) -> Column:
-    return F.shiftright(packed, 32)
+def _n(entry: str) -> Column:
+    return F.shiftright(F.col(f"{entry}.at"), 32)
 
 
 def _fits(a: str, b: str) -> Column:
-    """Length and positional filter of two list entries (size << 32 | position)."""
+    """Length, positional and suffix filter of two list entries."""
     na, nb = _n(a), _n(b)
-    left = F.least(na - F.col(a).bitwiseAND(F.lit(0xFFFFFFFF)),
-                   nb - F.col(b).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * left >= 3 * (na + nb))
-
-
-def prefix_lists(sets: DataFrame) -> DataFrame:
-    """Entries (h, set_id, at) of all prefix shingles that two sets share."""
+    left = F.least(*(n - F.col(f"{e}.at").bitwiseAND(F.lit(0xFFFFFFFF))
+                     for n, e in ((na, a), (nb, b))))
+    # The overlap must reach 3/7 of both sizes, so at most 1/7 may differ.
+    differ = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}")))
+                  for i in range(WORDS)), F.lit(0))
+    return ((4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * left >= 3 * (na + nb))
+            & (7 * differ <= na + nb))
+
+
+def prefix_lists(sets: DataFrame, meta: DataFrame) -> DataFrame:
+    """Entries (h, me) of all prefix shingles that two sets share; ``me`` has the
+    set's id, size << 32 | position, and the parities p0, p1, ... of its ranges."""
     entries = sets.where(F.col("prefix").isNotNull()).select(
         "set_id", "n", F.posexplode("prefix").alias("pos", "h")).select(
         "h", "set_id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
@@ -139,12 +160,20 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
     once = entries.withColumn("before", F.lag("set_id").over(ordered)).where(
         F.col("before").isNull() | (F.col("before") != F.col("set_id"))).drop("before")
     # The sorted neighbours tell whether a list has two entries.
-    return once.withColumn("lone", F.lag("h").over(ordered).isNull()
-                           & F.lead("h").over(ordered).isNull()).where(~F.col("lone")).drop("lone")
+    shared = once.withColumn("lone", F.lag("h").over(ordered).isNull()
+                             & F.lead("h").over(ordered).isNull()).where(~F.col("lone"))
+    words = [f"p{i}" for i in range(WORDS)]
+    return shared.join(meta.select("set_id", *words), "set_id").select(
+        "h", F.struct("set_id", "at", *words).alias("me"))
 
 
-def _pairs(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+LINK = _schema(*((c, T.LongType()) for c in ("a", "b", "doc_a", "doc_b")))
+
+
+def _pairs(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of two list entries ``me`` and ``other``."""
+    a, b = F.col("me.set_id"), F.col("other.set_id")
+    return entries.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
 class Verifier:
@@ -153,22 +182,33 @@ class Verifier:
     def __init__(self, docs: DataFrame, sets: DataFrame):
         """``docs`` (doc_id, text) and their ``document_sets``, written."""
         self.docs, self.sets = docs, sets
+        schema = _schema(("set_id", T.LongType()), ("doc", T.LongType()), ("n", T.IntegerType()),
+                         ("parity", T.BinaryType()),
+                         *((f"p{i}", T.LongType()) for i in range(WORDS)))
+        arrow = to_arrow_schema(schema)
+
+        def fold(batches):
+            for b in batches:
+                few = np.array([folded(np.frombuffer(x, np.uint64), WORDS)
+                                for x in b.column(3).to_pylist()], np.uint64).reshape(-1, WORDS)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(i).cast(arrow.field(i).type) for i in range(4)),
+                     *(pa.array(few[:, i].view(np.int64)) for i in range(WORDS))], schema=arrow)
+
         self.meta = written(sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(
             F.min("doc_id").alias("doc"), F.first("n").alias("n"),
-            F.first("ranges", ignorenulls=True).alias("ranges")), "join-sets")
+            F.first("parity", ignorenulls=True).alias("parity")).mapInArrow(fold, schema),
+            "join-sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Links (a, b, doc_a, doc_b) among distinct ``pairs`` (a, b) of set ids."""
+        """Links (a, b, doc_a, doc_b) among ``pairs`` (a, b) of set ids."""
         known = pairs.distinct()
         for s in "ab":
-            known = known.join(self.meta.select(*[
-                F.col(c).alias(s if c == "set_id" else f"{c}_{s}") for c in self.meta.columns]), s)
-        differ = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(
-            x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        # overlap <= (n_a + n_b - differ) / 2 must reach 3/7 (n_a + n_b)
-        total = F.col("n_a") + F.col("n_b")
-        left = written(known.where(7 * (total - differ) >= 6 * total).select(
-            "a", "b", "doc_a", "doc_b"), "join-pairs")
+            known = known.join(self.meta.select(
+                F.col("set_id").alias(s), *(F.col(c).alias(f"{c}_{s}")
+                                            for c in ("doc", "n", "parity"))), s)
+        left = written(self._plausible(known.select(*LINK.names, "n_a", "n_b", "parity_a",
+                                                    "parity_b")), "join-pairs")
         wanted = left.select(F.col("doc_a").alias("doc_id")).union(left.select("doc_b")).distinct()
         if wanted.count() <= MAX_BROADCAST_IDS:
             wanted = F.broadcast(wanted)
@@ -177,8 +217,25 @@ class Verifier:
         for s in "ab":
             sides = sides.join(numbers.select(F.col("set_id").alias(s),
                                               F.col("numbers").alias(f"numbers_{s}")), s)
-        return written(self._verified(sides.select(
-            "a", "b", "doc_a", "doc_b", "numbers_a", "numbers_b")), "join-links")
+        # Rows that repeat an id and a text repeat their pairs.
+        return written(self._verified(sides.select(*LINK.names, "numbers_a", "numbers_b"))
+                       .distinct(), "join-links")
+
+    @staticmethod
+    def _plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs that pass the suffix filter on all their ranges."""
+        def test(batches):
+            for b in batches:
+                keep = []
+                for na, nb, x, y in zip(*(b.column(i).to_pylist() for i in range(4, 8)),
+                                        strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    words = min(len(x), len(y))
+                    differ = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()
+                    keep.append(7 * int(differ) <= na + nb)
+                yield b.select(LINK.names).filter(pa.array(keep, pa.bool_()))
+
+        return pairs.mapInArrow(test, LINK)
 
     @staticmethod
     def _numbers(docs: DataFrame) -> DataFrame:
@@ -193,13 +250,10 @@ class Verifier:
                     [pa.array([set_id(x) for x in found], pa.int64()),
                      pa.array([x.tobytes() for x in found], arrow.field(1).type)], schema=arrow)
 
-        # Rows that repeat an id and a text would repeat their pairs.
-        return docs.select("text").mapInArrow(collect, schema).dropDuplicates(["set_id"])
+        return docs.select("text").mapInArrow(collect, schema)
 
     @staticmethod
     def _verified(sides: DataFrame) -> DataFrame:
-        schema = _schema(*((c, T.LongType()) for c in ("a", "b", "doc_a", "doc_b")))
-
         def verify(batches):
             for b in batches:
                 keep = []
@@ -209,17 +263,17 @@ class Verifier:
                     both.sort()
                     overlap = int((both[1:] == both[:-1]).sum())
                     keep.append(7 * overlap >= 3 * len(both))
-                yield b.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(keep, pa.bool_()))
+                yield b.select(LINK.names).filter(pa.array(keep, pa.bool_()))
 
-        return sides.mapInArrow(verify, schema)
+        return sides.mapInArrow(verify, LINK)
 
 
 def _classes(lists: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
     """Entries of lists that hold two classes or more, with their class and the
     list's main class (that of most entries)."""
     known = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), rounds)
-    tagged = lists.join(known.select(F.col("node").alias("set_id"), "component"), "set_id", "left"
-                        ).withColumn("class", F.coalesce("component", "set_id")).drop("component")
+    tagged = lists.join(known, F.col("me.set_id") == F.col("node"), "left").select(
+        "h", "me", F.coalesce("component", "me.set_id").alias("class"))
     main = tagged.groupBy("h", "class").agg(F.count("*").alias("n")).groupBy("h").agg(
         F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes"))
     return tagged.join(main.where(F.col("classes") > 1).select("h", "main"), "h")
@@ -228,34 +282,30 @@ def _classes(lists: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
 def links(verifier: Verifier, all_links: bool = False) -> DataFrame:
     """Links (a, b, doc_a, doc_b) between distinct sets; all of them, or enough
     for exact classes."""
-    lists = written(prefix_lists(verifier.sets), "join-lists")
-    other = lists.select("h", F.col("set_id").alias("other"), F.col("at").alias("other_at"))
+    lists = written(prefix_lists(verifier.sets, verifier.meta), "join-lists")
     if all_links:
-        met = lists.join(other, "h").where((F.col("set_id") < F.col("other"))
-                                           & _fits("at", "other_at"))
-        return verifier.links(met.select(*_pairs("set_id", "other")))
-    ordered = Window.partitionBy("h").orderBy("at", "set_id")
-    neighbours = lists.select("set_id", "at", F.lag("set_id").over(ordered).alias("other"),
-                              F.lag("at").over(ordered).alias("other_at")).where(
-        F.col("other").isNotNull() & _fits("at", "other_at"))
-    found = verifier.links(neighbours.select(*_pairs("set_id", "other")))
+        met = lists.join(lists.select("h", F.col("me").alias("other")), "h").where(
+            (F.col("me.set_id") < F.col("other.set_id")) & _fits("me", "other"))
+        return verifier.links(_pairs(met))
+    ordered = Window.partitionBy("h").orderBy("me.at", "me.set_id")
+    neighbours = lists.select("me", F.lag("me").over(ordered).alias("other")).where(
+        F.col("other").isNotNull() & _fits("me", "other"))
+    found = verifier.links(_pairs(neighbours))
     # One member of the main class, another one for each list.
     open_lists = written(_classes(lists, found, 2), "join-open")
     in_main = F.col("class") == F.col("main")
     heads = open_lists.where(in_main).groupBy("h").agg(F.min_by(
-        F.struct("set_id", "at"), F.xxhash64("h", "set_id")).alias("head")).select(
-        "h", F.col("head.set_id").alias("other"), F.col("head.at").alias("other_at"))
-    to_head = open_lists.where(~in_main).join(heads, "h").where(_fits("at", "other_at"))
-    found = found.unionByName(verifier.links(to_head.select(*_pairs("set_id", "other"))))
+        "me", F.xxhash64("h", "me.set_id")).alias("other"))
+    to_head = open_lists.where(~in_main).join(heads, "h").where(_fits("me", "other"))
+    found = found.unionByName(verifier.links(_pairs(to_head)))
     # All pairs of different classes; one side is never of the main class.
     open_lists = written(_classes(lists, found, 2), "join-open")
-    right = open_lists.select("h", F.col("set_id").alias("other"), F.col("at").alias("other_at"),
-                              F.col("class").alias("other_class"))
+    right = open_lists.select("h", F.col("me").alias("other"), F.col("class").alias("other_class"))
     rest = open_lists.where(F.col("class") != F.col("main")).join(right, "h").where(
         (F.col("class") != F.col("other_class"))
-        & ((F.col("other_class") == F.col("main")) | (F.col("set_id") < F.col("other")))
-        & _fits("at", "other_at"))
-    return found.unionByName(verifier.links(rest.select(*_pairs("set_id", "other"))))
+        & ((F.col("other_class") == F.col("main")) | (F.col("me.set_id") < F.col("other.set_id")))
+        & _fits("me", "other"))
+    return found.unionByName(verifier.links(_pairs(rest)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
