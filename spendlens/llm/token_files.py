@@ -138,7 +138,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
         "doc_id").sortWithinPartitions("doc_id", "text")
     (ranged.mapInArrow(encode, FILE_SCHEMA).write
-     .option("compression", "zstd")
+     .option("compression", "snappy")
      .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
      .option("parquet.writer.version", "v1" if encoding == "dictionary" else "v2")
      .option("parquet.dictionary.page.size", str(1 << 20))
