@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spendlens.llm import (chat_events, decontaminate, html_consensus, jaccard_join, pivot_topk,
                            ppm, prefix_bpe, quality_fm, token_files, toxicity_fm)
 from spendlens.llm.common import shared_folder, table
+from spendlens.llm.oracle import ORACLE
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,4 +71,4 @@ QUERIES = {f.__name__: f for f in (
     op1_html_consensus, op2_quality_fm, op3_prefix_bpe, op4_token_files, op5_jaccard_join,
     op6_toxicity_fm, op7_pivot_topk, op8_chat_events, op9_ppm, op10_decontaminate)}
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
