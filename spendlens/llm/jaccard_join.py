@@ -42,7 +42,7 @@ from spendlens.llm.common import bound_batches, raw_texts, written
 from spendlens.llm.components import components
 from spendlens.llm.shingles import WordHashes, shingles, window_min
 
-SLOTS = 1 << 20
+SLOTS = 1 << 19
 #: Parities of so many ranges, in words of 64, go with each list entry.
 WORDS = 4
 #: Ids of candidate documents are broadcast up to this number; beyond, the join
@@ -64,16 +64,17 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     def count(batches):
         hashes, total = WordHashes(), np.zeros(SLOTS, np.int64)
         for b in batches:
-            for text in raw_texts(b.column(0)):
-                total += np.bincount((hashes.of(text) & _SLOT).astype(np.int64), minlength=SLOTS)
+            words = np.concatenate([hashes.of(t) for t in raw_texts(b.column(0))])
+            total += np.bincount((words & _SLOT).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])],
                                          schema=arrow)
 
-    counts = docs.select("text").mapInArrow(count, schema).groupBy("slot").agg(
-        F.sum("n").alias("n")).toPandas()
+    level = F.floor(F.log2(F.sum("n")) * 4).cast("byte")
+    found = docs.select("text").mapInArrow(count, schema).groupBy("slot").agg(
+        level.alias("level")).toArrow()
     levels = np.zeros(SLOTS, np.uint8)
-    levels[counts["slot"]] = np.log2(counts["n"].to_numpy()) * 4
+    levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
     return levels
 
 
