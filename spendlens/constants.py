@@ -181,3 +181,27 @@ AMOUNT_BIN_NAMES = ["amt_small", "amt_medium", "amt_large", "amt_xl"]
 # Message texts of the insight records (the currency sign is part of the text).
 CURRENCY = "₹"
 # ------------------------------------------------------------ end FIXED VALUES
+
+# ------------------------------------------------------------ FIXED VALUES
+# Model settings (Spark parameter names; ``penalty`` is the inverse strength C).
+SINGLE_MODEL_PARAMS = {
+    "random_forest": {"numTrees": 100, "maxDepth": 10},
+    "logistic_regression": {"maxIter": 1000, "penalty": 1.0},
+    "gradient_boosting": {"maxIter": 100, "maxDepth": 3},
+    "naive_bayes": {"modelType": "multinomial"},
+    "svm": {"penalty": 1.0},
+    "decision_tree": {"maxDepth": 15, "minInstancesPerNode": 5},
+}
+# The bake-off set is fitted with balanced class weights.
+BAKEOFF_PARAMS = {
+    "logistic_regression": {"maxIter": 2000, "penalty": 1.0},
+    "random_forest": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2},
+    "decision_tree": {"maxDepth": 15, "minInstancesPerNode": 5},
+    "svm": {"penalty": 0.5},
+}
+# Members of the soft vote.
+VOTING_PARAMS = {
+    "logistic_regression": {"maxIter": 2000, "penalty": 1.0},
+    "random_forest": {"numTrees": 200, "maxDepth": 30},
+}
+# -------------------------------------------------------- end FIXED VALUES

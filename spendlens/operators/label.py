@@ -53,8 +53,10 @@ def proposed_labels(df: DataFrame, description_col: str = "description",
 
 
 def uniform_draw(key: F.Column, seed: int) -> F.Column:
-    """Deterministic U[0,1) per row from a hash of a stable key and the seed."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)).cast("double") / 1_000_000.0
+    """Deterministic U[0,1) per row from the MD5 of a stable key and the seed, in
+    steps of 16^-6 (other engines can draw the same)."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 6), 16, 10).cast("double") / float(16 ** 6)
 
 
 def repair_labels(df: DataFrame, category_col: str = "category",
@@ -62,17 +64,18 @@ def repair_labels(df: DataFrame, category_col: str = "category",
                   fix_ratio: float = 1.0, seed: int = 42, key_col: str | None = None) -> DataFrame:
     """L4 (``fix_ratio=1``) and L5: replace the label by the proposed one where
     they differ (case-sensitive; a NULL label differs), for all rows or for a
-    seeded ``fix_ratio`` share of them.  Adds boolean ``corrected``."""
+    seeded ``fix_ratio`` share of them, drawn by ``key_col`` (equal rows are drawn
+    apart).  Adds boolean ``corrected``."""
     d = proposed_labels(df, description_col, merchant_col)
     differs = F.col("new_label").isNotNull() & ~F.col("new_label").eqNullSafe(F.col(category_col))
     if fix_ratio >= 1.0:
         pick = F.lit(True)
     elif fix_ratio <= 0.0:
         pick = F.lit(False)
+    elif key_col is None:
+        raise ValueError("a share of the rows is drawn by a row key: name it in key_col")
     else:
-        key = F.col(key_col) if key_col else F.concat_ws(
-            "\u0001", F.col(description_col).cast("string"), F.col(merchant_col).cast("string"))
-        pick = uniform_draw(key, seed) < fix_ratio
+        pick = uniform_draw(F.col(key_col), seed) < fix_ratio
     d = d.withColumn("corrected", differs & pick)
     return (d.withColumn(category_col, F.when(F.col("corrected"), F.col("new_label"))
                          .otherwise(F.col(category_col)))

@@ -90,23 +90,40 @@ def classification_report(pred: DataFrame, label: str = "label",
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
-                     wide: bool = False) -> DataFrame:
+                     wide: bool = False, zeros: bool = False) -> DataFrame:
     """Counts of (true, predicted) over the labels seen as true (predictions
-    outside that set are not counted).  Long form lists non-zero cells; ``wide``
-    pivots to one column per class (the class list is the distinct true labels,
-    bounded by the number of classes)."""
-    pc = pair_counts(pred, label, prediction)
-    labels = F.collect_set("label").over(Window.partitionBy(F.lit(1)))   # K^2-row table
-    cells = pc.withColumn("__labels", labels).where(
-        F.array_contains("__labels", F.col("prediction"))).select(
+    outside that set are not counted).  Long form lists non-zero cells, with
+    ``zeros`` or ``wide`` all K x K of them; ``wide`` makes a column per class (the
+    class list is the distinct true labels, bounded by the number of classes)."""
+    pc = pair_counts(pred, label, prediction).where(F.col("label").isNotNull())
+    names = pc.select(F.col("label").alias("name")).distinct()
+    cells = pc.join(names, F.col("prediction") == F.col("name"), "left_semi").select(
         F.col("label").alias("true_label"), F.col("prediction").alias("predicted_label"),
         F.col("n").alias("count"))
+    if not wide and not zeros:
+        return cells
+    classes = sorted(r[0] for r in names.collect())
+    full = names.select(F.col("name").alias("true_label"), F.explode(
+        F.array(*[F.lit(c) for c in classes])).alias("predicted_label"))
+    cells = full.join(cells, ["true_label", "predicted_label"], "left").fillna(0, ["count"])
     if not wide:
         return cells
-    names = sorted(r[0] for r in cells.select("true_label").distinct().collect()
-                   if r[0] is not None)
-    return (cells.groupBy("true_label").pivot("predicted_label", names).agg(F.sum("count"))
-            .fillna(0).orderBy("true_label"))
+    return cells.groupBy("true_label").pivot("predicted_label", classes).agg(
+        F.sum("count")).orderBy("true_label")
+
+
+def roc_points(scored: DataFrame, label: str = "label", score: str = "score",
+               cls: str = "class") -> DataFrame:
+    """Points (class, threshold, fpr, tpr) of the one-vs-rest ROC curves, a
+    point per distinct score, highest first, after the origin."""
+    c = _roc_counts(scored, label, score, cls)
+    whole = Window.partitionBy(cls)
+    pos, neg = F.max("tp").over(whole), F.max("fp").over(whole)
+    at = c.select(cls, F.col(score).alias("threshold"), (F.col("fp") / neg).alias("fpr"),
+                  (F.col("tp") / pos).alias("tpr"))
+    origin = at.select(cls).distinct().select(
+        cls, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return origin.unionByName(at.withColumn("threshold", F.col("threshold").cast("double")))
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
@@ -117,10 +134,7 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
     the per-class distinct scores in descending order and integrated with the
     trapezoid rule.  Work after the first aggregate is bounded by the number
     of distinct scores; bucket continuous scores upstream to bound it."""
-    g = scored.groupBy(cls, score).agg(F.sum(F.col(label)).alias("pos"),
-                                       F.sum(1 - F.col(label)).alias("neg"))
-    w = Window.partitionBy(cls).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = g.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    c = _roc_counts(scored, label, score, cls)
     prev = Window.partitionBy(cls).orderBy(F.desc(score))
     c = c.withColumns({"tp0": F.coalesce(F.lag("tp").over(prev), F.lit(0)),
                        "fp0": F.coalesce(F.lag("fp").over(prev), F.lit(0))})
@@ -130,6 +144,14 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
         F.max("tp").alias("positives"), F.max("fp").alias("negatives"))
 
 
+def _roc_counts(scored: DataFrame, label: str, score: str, cls: str) -> DataFrame:
+    """Cumulative (tp, fp) at each distinct score of a class."""
+    g = scored.groupBy(cls, score).agg(F.sum(F.col(label)).alias("pos"),
+                                       F.sum(1 - F.col(label)).alias("neg"))
+    w = Window.partitionBy(cls).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    return g.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+
+
 def compare_models(long: DataFrame, order: list[str] | None = None, model: str = "model",
                    label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy per model from one grouped pass over the long

@@ -1,21 +1,34 @@
 """Label encoding, stratified train/test split, class weights, CV folds.
 
+Rows without a label belong to no class: sizes, split, weights and folds all
+leave them out (they can still be scored).
+
 The split is exact and scale-safe: each row gets a seeded hash ``h``; per class
-the ``n_test`` rows with the smallest ``h`` go to test.  Instead of ranking a
-whole class in one task, rows are first counted per (class, hash bucket)
-(a small table), cumulative bucket counts locate the single boundary bucket
-of each class, and only rows inside a boundary bucket are ranked -- a group of
-about class_size / buckets rows.
+the ``n_test`` rows with the smallest ``h`` go to test.  Rows are counted per
+(class, hash bucket); cumulative counts give one boundary bucket per class.
+These K rows meet the data (by broadcast up to ``MAX_BROADCAST_CLASSES``), every
+row's bucket tells its side, and only rows of a boundary bucket, about
+class_size / buckets of them, are shuffled and ranked.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BUCKETS = 1 << 20   # rows per (class, bucket) stay small even for a hot class
+MAX_BROADCAST_CLASSES = 100_000
+
+
+def labelled(df: DataFrame, label: str = "category") -> DataFrame:
+    return df.where(F.col(label).isNotNull())
+
+
+def with_class_table(df: DataFrame, table: DataFrame, label: str) -> DataFrame:
+    """``df`` with a table of one row per class: no shuffle of the rows while the
+    table's counted size allows a broadcast."""
+    small = table.count() <= MAX_BROADCAST_CLASSES
+    return df.join(F.broadcast(table) if small else table, label)
 
 
 def label_index(df: DataFrame, label: str = "category") -> DataFrame:
@@ -29,7 +42,7 @@ def label_index(df: DataFrame, label: str = "category") -> DataFrame:
 
 
 def class_counts(df: DataFrame, label: str = "category") -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return labelled(df, label).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stratified_sizes(df: DataFrame, label: str = "category", test_size: float = 0.2) -> DataFrame:
@@ -41,7 +54,7 @@ def stratified_sizes(df: DataFrame, label: str = "category", test_size: float =
     total = F.sum("n").over(all_)
     c = c.withColumn("__total", total).withColumn(
         "__test", F.ceil(F.lit(test_size) * F.col("__total")).cast("long"))
-    c = c.withColumn("exact", F.col("n") * F.col("__test") / F.col("__total"))
+    c = c.withColumn("exact", F.col("n").cast("double") * F.col("__test") / F.col("__total"))
     c = c.withColumn("base", F.floor("exact").cast("long"))
     c = c.withColumn("left", F.col("__test") - F.sum("base").over(all_))
     rk = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(
@@ -57,7 +70,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str = "category",
                      buckets: int = HASH_BUCKETS) -> DataFrame:
     """M2: adds boolean ``is_test``; exact per-class sizes of ``stratified_sizes``."""
     h = F.xxhash64(F.col(id_col), F.lit(seed))
-    d = df.withColumns({"__h": h, "__b": F.pmod(h, F.lit(buckets))})
+    d = labelled(df, label).withColumns({"__h": h, "__b": F.pmod(h, F.lit(buckets))})
     # order inside a class: (bucket, hash, id) -- bucket-major so that bucket
     # counts give every row's rank offset
     bc = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__bn"))
@@ -65,13 +78,17 @@ def stratified_split(df: DataFrame, id_col: str, label: str = "category",
     wc = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bc = bc.withColumn("__before", F.coalesce(F.sum("__bn").over(wc), F.lit(0))) \
         .join(sizes, label)
-    d = d.join(bc.select(label, "__b", "__before", "__bn", "n_test"), [label, "__b"])
-    whole_in = F.col("__before") + F.col("__bn") <= F.col("n_test")
-    whole_out = F.col("__before") >= F.col("n_test")
-    boundary = d.where(~whole_in & ~whole_out)
+    # first bucket of each class that is not wholly test rows
+    out = F.col("__before") + F.col("__bn") > F.col("n_test")
+    cut = bc.groupBy(label).agg(F.min(F.when(out, F.struct("__b", "__before"))).alias("__cut"),
+                                F.first("n_test").alias("__n_test"))
+    d = with_class_table(d, cut, label)
+    at = F.col("__cut.__b")
+    boundary = d.where(F.col("__b") == at)
     rank = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", id_col))
-    boundary = boundary.withColumn("is_test", F.col("__before") + rank <= F.col("n_test"))
-    settled = d.where(whole_in | whole_out).withColumn("is_test", whole_in)
+    boundary = boundary.withColumn("is_test", F.col("__cut.__before") + rank <= F.col("__n_test"))
+    settled = d.where(at.isNull() | (F.col("__b") != at)).withColumn(
+        "is_test", at.isNull() | (F.col("__b") < at))
     cols = df.columns + ["is_test"]
     return settled.select(*cols).unionByName(boundary.select(*cols))
 
@@ -86,7 +103,7 @@ def class_weights(df: DataFrame, label: str = "category") -> DataFrame:
 
 def with_class_weights(df: DataFrame, label: str = "category", out: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)   # K rows: bounded by the class count
+    return with_class_table(labelled(df, label), w, label)
 
 
 def with_folds(df: DataFrame, id_col: str, label: str = "category", k: int = 5,
@@ -95,7 +112,7 @@ def with_folds(df: DataFrame, id_col: str, label: str = "category", k: int = 5,
     hash are dealt round-robin.  The round-robin position is the rank, computed
     with the same bucketed scheme as the split (no whole-class sort)."""
     h = F.xxhash64(F.col(id_col), F.lit(seed + 1))
-    d = df.withColumns({"__h": h, "__b": F.pmod(h, F.lit(HASH_BUCKETS))})
+    d = labelled(df, label).withColumns({"__h": h, "__b": F.pmod(h, F.lit(HASH_BUCKETS))})
     bc = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__bn"))
     wc = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bc = bc.withColumn("__before", F.coalesce(F.sum("__bn").over(wc), F.lit(0)))
@@ -103,7 +120,3 @@ def with_folds(df: DataFrame, id_col: str, label: str = "category", k: int = 5,
     rank = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", id_col))
     return d.withColumn("fold", F.pmod(F.col("__before") + rank - 1, F.lit(k)).cast("int")) \
         .drop("__h", "__b", "__before")
-
-
-def expected_test_rows(n: int, test_size: float = 0.2) -> int:
-    return math.ceil(test_size * n)

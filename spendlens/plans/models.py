@@ -3,9 +3,15 @@
 Fits are distributed ``pyspark.ml`` estimators (tree aggregates, L-BFGS);
 nothing is collected to the driver except fitted model parameters.
 
+Rows without a label take no part in any fit (they are filtered first, see
+``operators.split``) and are scored like all others.  The label index is only
+used while fitting: a fitted pipeline ends with the stage that names classes, so
+scoring needs neither labels nor a label column.
+
 Departures (see README): RBF SVM -> one-vs-rest linear SVM (no probability);
 gradient boosting -> one-vs-rest GBT (no probability); minimum split size of
-the trees has no Spark equivalent (``minInstancesPerNode`` is the leaf size).
+the trees has no Spark equivalent (``minInstancesPerNode`` is the leaf size); the
+voting forest has no depth limit in the original, Spark's largest is 30.
 """
 
 from __future__ import annotations
@@ -13,211 +19,215 @@ from __future__ import annotations
 import json
 import os
 import time
-from dataclasses import dataclass, field
+import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, MinMaxScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators import split as SP
-from .stages import TransactionFeatures
+from .stages import MeanProbability, NonNegative, TransactionFeatures
 
 SEED = 42
 # one-vs-rest fits its binary models as concurrent jobs
 OVR_PARALLELISM = 8
 
-
-def _lr(n_rows: int, max_iter: int = 1000, **kw):
-    # sklearn's C=1 L2 penalty expressed as Spark's regParam (loss is averaged)
-    return LogisticRegression(maxIter=max_iter, regParam=kw.pop("regParam", 1.0 / max(n_rows, 1)),
-                              family="multinomial", **kw)
-
-
-# name -> factory(n_rows, weight_col) ; defaults of the single-model trainer
-DEFAULTS = {
-    "random_forest": lambda n, w: RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED),
-    "logistic_regression": lambda n, w: _lr(n, 1000),
-    "gradient_boosting": lambda n, w: OneVsRest(classifier=GBTClassifier(
-        maxIter=100, maxDepth=3, seed=SEED), parallelism=OVR_PARALLELISM),
-    "naive_bayes": lambda n, w: NaiveBayes(modelType="multinomial"),
-    "svm": lambda n, w: OneVsRest(classifier=LinearSVC(regParam=1.0 / max(n, 1)), parallelism=OVR_PARALLELISM),
-}
-
-# the bake-off set (balanced class weights through ``weight_col``)
-BAKEOFF = {
-    "logistic_regression": lambda n, w: _lr(n, 2000, weightCol=w),
-    "random_forest": lambda n, w: RandomForestClassifier(
-        numTrees=300, maxDepth=20, minInstancesPerNode=2, weightCol=w, seed=SEED),
-    "decision_tree": lambda n, w: DecisionTreeClassifier(
-        maxDepth=15, minInstancesPerNode=5, weightCol=w, seed=SEED),
-    "svm": lambda n, w: OneVsRest(classifier=LinearSVC(regParam=2.0 / max(n, 1)),
-                                  weightCol=w, parallelism=OVR_PARALLELISM),
+_CLASSIFIERS = {
+    "random_forest": RandomForestClassifier, "decision_tree": DecisionTreeClassifier,
+    "logistic_regression": LogisticRegression, "naive_bayes": NaiveBayes,
+    "gradient_boosting": GBTClassifier, "svm": LinearSVC,
 }
+_ONE_VS_REST = ("gradient_boosting", "svm")
+REGISTRIES = {"single": K.SINGLE_MODEL_PARAMS, "bakeoff": K.BAKEOFF_PARAMS,
+              "voting": K.VOTING_PARAMS}
+SINGLE, BAKEOFF = K.SINGLE_MODEL_PARAMS, K.BAKEOFF_PARAMS
 
 
 def make_estimator(name: str, n_rows: int, weight_col: str | None = None,
-                   hyperparams: dict | None = None):
-    """Default estimator by name, with optional parameter overrides."""
-    if name not in DEFAULTS and name not in BAKEOFF:
-        raise ValueError(f"Unknown model type: {name}. Available: "
-                         f"{', '.join(sorted(set(DEFAULTS) | set(BAKEOFF)))}")
-    est = (DEFAULTS.get(name) or BAKEOFF[name])(n_rows, weight_col)
-    if hyperparams:
-        target = est.getClassifier() if isinstance(est, OneVsRest) else est
-        target.setParams(**hyperparams)
+                   hyperparams: dict | None = None, registry: str = "single"):
+    """Estimator ``name`` with the parameters of ``registry``, or with
+    ``hyperparams`` instead of them.  ``penalty`` is the inverse strength C of an
+    L2 penalty on summed losses; Spark averages losses, hence 1 / (C * n)."""
+    known = REGISTRIES[registry]
+    if name not in known and (hyperparams is None or name not in _CLASSIFIERS):
+        raise ValueError(f"no model {name!r} in the {registry} set: {sorted(known)}")
+    params = dict(known[name] if hyperparams is None else hyperparams)
+    if "penalty" in params:
+        params["regParam"] = 1.0 / (params.pop("penalty") * max(n_rows, 1))
+    if name in ("random_forest", "decision_tree", "gradient_boosting"):
+        params.setdefault("seed", SEED)
+    est = _CLASSIFIERS[name](**params)
+    if name in _ONE_VS_REST:
+        est = OneVsRest(classifier=est, parallelism=OVR_PARALLELISM)
+    if weight_col:
+        est.setWeightCol(weight_col)
     return est
 
 
-@dataclass
-class SoftVotingModel:
-    """M9: mean of the members' class probabilities, argmax."""
-    members: list = field(default_factory=list)
-
-    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
-        out = df
-        for i, m in enumerate(self.members):
-            m = m.copy()
-            m.setProbabilityCol(f"__p{i}").setPredictionCol(f"__y{i}") \
-                .setRawPredictionCol(f"__r{i}")
-            out = m.transform(out)
-        arrs = [vector_to_array(F.col(f"__p{i}")) for i in range(len(self.members))]
-        mean = F.zip_with(arrs[0], arrs[1], lambda a, b: (a + b) / 2.0) if len(arrs) == 2 else \
-            arrs[0]
-        out = out.withColumn("probability_array", mean)
-        pos = F.array_position(F.col("probability_array"), F.array_max("probability_array"))
-        drop = [c for i in range(len(self.members)) for c in (f"__p{i}", f"__y{i}", f"__r{i}")]
-        return out.withColumn("prediction", (pos - 1).cast("double")).drop(*drop)
-
-
-def fit_ensemble(train: DataFrame, n_rows: int, weight_col: str | None, label: str = "label",
-                 features: str = "features") -> SoftVotingModel:
-    lr = _lr(n_rows, 2000, weightCol=weight_col) if weight_col else _lr(n_rows, 2000)
-    rf = RandomForestClassifier(numTrees=200, seed=SEED)
-    if weight_col:
-        rf.setWeightCol(weight_col)
-    for e in (lr, rf):
-        e.setLabelCol(label).setFeaturesCol(features)
-    return SoftVotingModel([lr.fit(train), rf.fit(train)])
+def _column(est, name: str):
+    """Send a member's output columns of a vote to names of their own."""
+    return est.setProbabilityCol(f"{name}_probability").setPredictionCol(
+        f"{name}_prediction").setRawPredictionCol(f"{name}_raw")
+
+
+def classifier_stages(name: str, n_rows: int, weight_col: str | None, label: str, features: str,
+                      hyperparams: dict | None = None, registry: str = "single") -> list:
+    """Stages that turn ``features`` into ``prediction`` (and ``probability``);
+    ``ensemble`` (M9) is the mean of its members' probabilities."""
+    if name != "ensemble":
+        est = make_estimator(name, n_rows, weight_col, hyperparams, registry)
+        return [est.setLabelCol(label).setFeaturesCol(features)]
+    members = [_column(make_estimator(m, n_rows, weight_col, registry="voting"), m)
+               .setLabelCol(label).setFeaturesCol(features) for m in K.VOTING_PARAMS]
+    return [*members, MeanProbability(inputCols=[m.getProbabilityCol() for m in members])]
 
 
 def fit_predict(train: DataFrame, test: DataFrame, name: str, label: str = "label",
                 features: str = "features", weight_col: str | None = None,
-                n_rows: int | None = None) -> DataFrame:
-    """Fit ``name`` on ``train`` and predict ``test`` (adds ``prediction``)."""
+                n_rows: int | None = None, registry: str = "single") -> DataFrame:
+    """Fit ``name`` on the labelled rows of ``train`` and predict ``test`` (adds
+    ``prediction``)."""
+    train = train.where(F.col(label).isNotNull())
     n = n_rows if n_rows is not None else train.count()
-    if name == "ensemble":
-        return fit_ensemble(train, n, weight_col, label, features).transform(test, features)
-    est = make_estimator(name, n, weight_col)
-    est.setLabelCol(label).setFeaturesCol(features)
-    return est.fit(train).transform(test)
+    stages = classifier_stages(name, n, weight_col, label, features, registry=registry)
+    out = Pipeline(stages=stages).fit(train).transform(test)
+    return out.drop(*(c for c in out.columns if c.endswith(("_prediction", "_raw", "_probability"))
+                      and c not in test.columns))
 
 
 # ------------------------------------------------------------------ transactions
-def transaction_pipeline(model: str = "random_forest", n_rows: int = 1000,
-                         top_merchants: int = 0, hyperparams: dict | None = None,
-                         feature_names: list[str] | None = None) -> Pipeline:
-    """F17 features -> assembler -> label index (alphabetical) -> classifier ->
-    label text.  One Pipeline: fitted, saved and loaded as a unit (P1: scoring
-    always sees the training feature layout)."""
-    feats = TransactionFeatures(topMerchants=top_merchants)
-    names = feature_names or _default_feature_names()
-    idx = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc",
-                        handleInvalid="keep")
-    clf = make_estimator(model, n_rows, None, hyperparams)
-    clf.setLabelCol("label").setFeaturesCol("features")
-    return Pipeline(stages=[feats, VectorAssembler(inputCols=names, outputCol="features",
-                                                   handleInvalid="keep"), idx, clf])
+def fit_transactions(train: DataFrame, model: str = "random_forest", n_rows: int | None = None,
+                     top_merchants: int = 0, hyperparams: dict | None = None,
+                     weight_col: str | None = None, registry: str = "single") -> PipelineModel:
+    """F17 features -> vector -> classifier -> class name, fitted on the rows of
+    ``train`` that have a category.  One PipelineModel: saved and loaded as a unit
+    (P1: scoring always sees the training feature layout)."""
+    train = train.where(F.col("category").isNotNull())
+    n = n_rows if n_rows is not None else train.count()
+    features = TransactionFeatures(topMerchants=top_merchants).fit(train)
+    vector = VectorAssembler(inputCols=features.feature_names(), outputCol="raw_features",
+                             handleInvalid="error")
+    index = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc",
+                          handleInvalid="error").fit(train)
+    assembled = vector.transform(features.transform(index.transform(train)))
+    # Naive Bayes counts: its inputs must not be negative (F10 instead of F9).
+    scaled, source = [], "raw_features"
+    if model == "naive_bayes":
+        scaled = [MinMaxScaler(inputCol=source, outputCol="scaled_features").fit(assembled),
+                  NonNegative(inputCol="scaled_features", outputCol="features")]
+        source = "features"
+        for stage in scaled:
+            assembled = stage.transform(assembled)
+    stages = classifier_stages(model, n, weight_col, "label", source, hyperparams, registry)
+    fitted = Pipeline(stages=stages).fit(assembled)
+    names = IndexToString(inputCol="prediction", outputCol="predicted_category",
+                          labels=list(index.labels))
+    return PipelineModel(stages=[features, vector, *scaled, *fitted.stages, names])
+
+
+def class_names(model: PipelineModel) -> list[str]:
+    return list(model.stages[-1].getLabels())
 
 
-def _default_feature_names() -> list[str]:
-    from .stages import TransactionFeaturesModel
-    return TransactionFeaturesModel().feature_names()
+def feature_names(model: PipelineModel) -> list[str]:
+    return list(model.stages[1].getInputCols())
 
 
-def with_label_text(model: PipelineModel, scored: DataFrame) -> DataFrame:
-    labels = model.stages[2].labels
-    return IndexToString(inputCol="prediction", outputCol="predicted_category",
-                         labels=labels).transform(scored)
+def classifier(model: PipelineModel):
+    """The fitted classifier (of a vote its last stage, the mean)."""
+    return model.stages[-2]
 
 
 def score(model: PipelineModel, df: DataFrame, top_k: int = 3) -> DataFrame:
     """One output row per input row with ``predicted_category``,
     ``confidence`` (max probability, NULL without probabilities) and
     ``top_3`` (class, probability) by probability desc, ties: higher index."""
-    out = with_label_text(model, model.transform(df))
-    labels = model.stages[2].labels
+    out = model.transform(df)
     if "probability" not in out.columns:
         return out.withColumns({"confidence": F.lit(None).cast("double"),
                                 "top_3": F.array(F.struct(
                                     F.col("predicted_category").alias("category"),
                                     F.lit(None).cast("double").alias("probability")))})
-    p = vector_to_array("probability")
-    names = F.array(*[F.lit(c) for c in labels])
-    ranked = F.sort_array(F.transform(p, lambda x, i: F.struct(
+    return with_ranking(out, vector_to_array("probability"), class_names(model), top_k)
+
+
+def with_ranking(df: DataFrame, probabilities: F.Column, names: list[str],
+                 top_k: int = 3) -> DataFrame:
+    """``confidence`` and ``top_3`` from an array of class probabilities."""
+    labels = F.array(*[F.lit(c) for c in names])
+    ranked = F.sort_array(F.transform(probabilities, lambda x, i: F.struct(
         x.alias("probability"), i.alias("index"))), asc=False)
-    top = F.transform(F.slice(ranked, 1, top_k), lambda s: F.struct(
-        F.element_at(names, s["index"] + 1).alias("category"),
+    top = F.transform(F.slice(ranked, 1, min(top_k, len(names))), lambda s: F.struct(
+        F.element_at(labels, s["index"] + 1).alias("category"),
         s["probability"].alias("probability")))
-    return out.withColumns({"confidence": F.array_max(p), "top_3": top})
+    return df.withColumns({"confidence": F.array_max(probabilities), "top_3": top})
+
+
+def score_file(model: PipelineModel, df: DataFrame, path: str, top_k: int = 3) -> str:
+    """P5: score a statement and write ids, classes, confidence and ranking."""
+    out = score(model, df, top_k)
+    keep = [c for c in df.columns] + ["predicted_category", "confidence", "top_3"]
+    out.select(*keep).write.parquet(path)
+    return path
 
 
 # ------------------------------------------------------------------ runs
 def run_training(df: DataFrame, model: str = "random_forest", test_size: float = 0.2,
                  id_col: str = "txn_id", hyperparams: dict | None = None,
-                 cv_folds: int = 0) -> dict:
-    """Split -> fit -> (CV) -> evaluate -> result record (metrics, sizes)."""
+                 cv_folds: int = 0, model_dir: str | None = None) -> dict:
+    """Split -> fit -> (CV) -> evaluate -> (save with metadata) -> record."""
     from ..operators import metrics as M
     split = SP.stratified_split(df, id_col, "category", test_size).cache()
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     n_train = train.count()
-    pipe = transaction_pipeline(model, n_train, hyperparams=hyperparams)
-    fitted = pipe.fit(train)
-    scored = with_label_text(fitted, fitted.transform(test))
-    pred = scored.select(F.col("category").alias("label"),
-                         F.col("predicted_category").alias("prediction"))
+    fitted = fit_transactions(train, model, n_train, hyperparams=hyperparams)
+    pred = fitted.transform(test).select(F.col("category").alias("label"),
+                                         F.col("predicted_category").alias("prediction"))
     metrics = M.weighted_prf(pred).first().asDict()
     rec = {"model_type": model, "metrics": metrics, "num_train": n_train,
-           "num_test": test.count(), "num_features": len(_default_feature_names()),
-           "classes": list(fitted.stages[2].labels)}
+           "num_test": test.count(), "num_features": len(feature_names(fitted)),
+           "classes": class_names(fitted)}
     if cv_folds:
         rec["cv"] = cross_validate(train, model, cv_folds, id_col)
     split.unpersist()
+    if model_dir:
+        rec["model_path"] = save_model(fitted, model_dir, metadata=rec)
     return {"model": fitted, **rec}
 
 
 def cross_validate(df: DataFrame, model: str, k: int = 5, id_col: str = "txn_id") -> dict:
     """Stratified k folds (fold column), accuracy mean and 2 x std."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    folded = SP.with_folds(df, id_col, "category", k)
-    n = df.count()
-    pipe = transaction_pipeline(model, n)
-    ev = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
-                        evaluator=ev, numFolds=k, foldCol="fold", collectSubModels=False,
-                        seed=SEED)
-    m = cv.fit(folded)
-    mean = float(m.avgMetrics[0])
-    std = float(m.stdMetrics[0]) if m.stdMetrics else 0.0
-    return {"accuracy_mean": mean, "accuracy_2std": 2 * std}
+    folded = SP.with_folds(df, id_col, "category", k).cache()
+    hits = []
+    for fold in range(k):
+        fitted = fit_transactions(folded.where(F.col("fold") != fold), model)
+        pred = fitted.transform(folded.where(F.col("fold") == fold))
+        hits.append(pred.agg(F.avg((F.col("category") == F.col("predicted_category"))
+                                   .cast("double"))).first()[0])
+    folded.unpersist()
+    mean = sum(hits) / k
+    return {"accuracy_mean": mean,
+            "accuracy_2std": 2 * (sum((h - mean) ** 2 for h in hits) / k) ** 0.5}
 
 
 # ------------------------------------------------------------------ persistence
 def save_model(model: PipelineModel, model_dir: str, name: str = "transaction_classifier",
                metadata: dict | None = None) -> str:
-    """Timestamped PipelineModel directory plus a JSON metadata file."""
+    """PipelineModel directory with time and a unique end in its name, plus a
+    JSON metadata file (metrics and sizes as given, time of saving)."""
     stamp = time.strftime("%Y%m%d_%H%M%S")
-    path = os.path.join(model_dir, f"{name}_{stamp}")
-    model.write().overwrite().save(path)
+    path = os.path.join(model_dir, f"{name}_{stamp}_{uuid.uuid4().hex[:8]}")
+    model.write().save(path)
     meta = {"model_path": path, "saved_at": stamp, **(metadata or {})}
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(meta, default=str),)], "value string") \
-        .coalesce(1).write.mode("overwrite").text(path + "_metadata")
+        .coalesce(1).write.text(path + "_metadata")
     return path
 
 
@@ -268,12 +278,26 @@ def create_features(df: DataFrame, id_col: str = "txn_id", text_column: str = "d
     return out, fitted
 
 
+def feature_importance(model: PipelineModel, spark: SparkSession, top: int = 20) -> DataFrame:
+    """The features of largest importance: of a tree model its importances,
+    of a linear one the mean absolute coefficient over the classes."""
+    clf = classifier(model)
+    if hasattr(clf, "featureImportances"):
+        values = clf.featureImportances.toArray()
+    elif hasattr(clf, "coefficientMatrix"):
+        values = abs(clf.coefficientMatrix.toArray()).mean(axis=0)
+    else:
+        raise ValueError(f"{type(clf).__name__} has neither importances nor coefficients")
+    rows = [(n, float(x)) for n, x in zip(feature_names(model), values, strict=True)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(
+        F.desc("importance"), "feature").limit(top)
+
+
 def model_info(spark: SparkSession, model: PipelineModel, model_path: str | None = None) -> DataFrame:
     """One-row description of a fitted transaction pipeline."""
-    clf = model.stages[-1]
-    labels = list(model.stages[2].labels)
-    n_feat = len(model.stages[1].getInputCols())
+    names = class_names(model)
     return spark.createDataFrame(
-        [(type(clf).__name__, len(labels), ",".join(labels), n_feat, model_path)],
+        [(type(classifier(model)).__name__, len(names), ",".join(names),
+          len(feature_names(model)), model_path)],
         "model_type string, num_classes int, class_names string, num_features int, "
         "model_path string")

@@ -9,8 +9,10 @@ names), kept as Params and persisted with ``DefaultParamsWritable``.
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,9 +85,54 @@ class TransactionFeaturesModel(Model, _FeatureParams, DefaultParamsReadable,
         return names
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        """An absent input column counts as NULL, and a feature that has no
+        value (of a NULL amount) is 0, so every row can be scored."""
+        absent = {self.getOrDefault("textCol"): "string", self.getOrDefault("amountCol"): "double"}
+        if self.getOrDefault("merchants"):
+            absent[self.getOrDefault("merchantCol")] = "string"
+        df = df.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()
+                             if c not in df.columns})
         out = FE.engineer_features(df, self.stats(), self.getOrDefault("textCol"),
                                    self.getOrDefault("amountCol"))
+        out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+                               for c in self.feature_names() if not c.startswith("merchant_")})
         ms = self.getOrDefault("merchants")
         if ms:
-            out = out.withColumns(FE.merchant_onehot(F.col(self.getOrDefault("merchantCol")), ms))
+            hot = FE.merchant_onehot(F.col(self.getOrDefault("merchantCol")), ms)
+            out = out.withColumns({c: F.coalesce(x, F.lit(0)) for c, x in hot.items()})
         return out
+
+
+class NonNegative(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
+                  DefaultParamsWritable):
+    """Entries below 0 become 0: rows may lie outside of the range a min-max
+    scaling was fitted on."""
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        entries = F.transform(vector_to_array(F.col(self.getInputCol())),
+                              lambda x: F.greatest(x, F.lit(0.0)))
+        return df.withColumn(self.getOutputCol(), array_to_vector(entries))
+
+
+class MeanProbability(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """M9: mean of the members' class probabilities and its first largest class."""
+
+    @keyword_only
+    def __init__(self, inputCols=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        members = [vector_to_array(F.col(c)) for c in self.getInputCols()]
+        total = members[0]
+        for m in members[1:]:
+            total = F.zip_with(total, m, lambda a, b: a + b)
+        mean = F.transform(total, lambda x: x / F.lit(float(len(members))))
+        out = df.withColumn("probability", array_to_vector(mean))
+        best = F.array_position(mean, F.array_max(mean)) - 1
+        return out.withColumn("prediction", best.cast("double"))

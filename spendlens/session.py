@@ -58,9 +58,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set one when it is unset
-    (local tests).  Jobs cut lineage with ``checkpoint()`` into this shared
-    folder, never with ``localCheckpoint``."""
+    """The cluster's ``spark.checkpoint.dir``, to which jobs cut their lineage.
+    Where it is unset a local session gets a temporary folder; any other master
+    must name a folder that its executors share."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
@@ -71,6 +71,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    local = tempfile.mkdtemp(prefix="spendlens-ckpt-")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    local = "file://" + tempfile.mkdtemp(prefix="spendlens-ckpt-")
     sc.setCheckpointDir(local)
     return local

@@ -22,20 +22,25 @@ READERS = {".csv": "csv", ".parquet": "parquet"}
 EXCEL = {".xlsx", ".xls"}
 
 
-def validate_path(path: str, must_exist: bool = True) -> str:
-    """Missing file -> FileNotFoundError; unsupported extension -> ValueError.
+def validate_path(spark: SparkSession, path: str) -> str:
+    """Format of a statement file or folder on any file system Spark reads.
     Spreadsheets are recognised but must be converted upstream (a per-machine
     binary format is not a distributed source)."""
-    if must_exist and "://" not in path and not os.path.exists(path):
-        raise FileNotFoundError(f"File not found: {path}")
     ext = os.path.splitext(path.rstrip("/"))[-1].lower()
     if ext in EXCEL:
-        raise ValueError(f"Spreadsheet input ({ext}) is not read by Spark: convert it to CSV "
-                         f"or parquet first")
-    if ext not in READERS and not (os.path.isdir(path) and ext == ""):
-        raise ValueError(f"Unsupported file format: {ext}. Supported formats: "
-                         f"{', '.join(sorted(READERS))}")
-    return READERS.get(ext, "parquet")
+        raise ValueError(f"{path}: convert the spreadsheet to CSV or parquet first")
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        raise FileNotFoundError(path)
+    if ext in READERS:
+        return READERS[ext]
+    if not files.getFileStatus(place).isDirectory():
+        raise ValueError(f"{path}: a statement is one of {sorted(READERS)}")
+    names = [f.getPath().getName() for f in files.listStatus(place)]
+    found = {READERS[e] for e in (os.path.splitext(n)[-1].lower() for n in names) if e in READERS}
+    return found.pop() if len(found) == 1 else "parquet"
 
 
 def na_to_null(df: DataFrame, tokens: list[str] = K.NA_TOKENS) -> DataFrame:
@@ -53,7 +58,7 @@ def na_to_null(df: DataFrame, tokens: list[str] = K.NA_TOKENS) -> DataFrame:
 def read_statement(spark: SparkSession, path: str, schema: StructType | str | None = None,
                    infer_schema: bool = True) -> DataFrame:
     """Scan a statement file."""
-    fmt = validate_path(path)
+    fmt = validate_path(spark, path)
     if fmt == "parquet":
         return spark.read.parquet(path)
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE") \
@@ -69,8 +74,7 @@ def require_columns(df: DataFrame, required: list[str] = K.REQUIRED_COLUMNS) ->
     """S3: ValueError listing the missing required columns."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {', '.join(missing)}. "
-                         f"Required columns: {', '.join(required)}")
+        raise ValueError(f"a statement needs the columns {missing}")
     return df
 
 

@@ -5,9 +5,6 @@ None of the shared tables is a bank statement, so ``txn`` derives one from
 prefix and category are picked from small literal arrays by ``pmod`` of the
 event / user id.  The same view is written as SQL (``TXN_CTE``) for the DuckDB
 oracle, where it is a join against inline VALUES tables; both give equal rows.
-
-``txn_lineitem`` is the larger statement used for benchmarks: one row per
-lineitem, merchant = supplier name, category = part type.
 """
 
 from __future__ import annotations
@@ -41,19 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over all task slots when it yields fewer partitions
-    than there are slots (a small single-row-group file).  A no-op on large
-    inputs, whose scans already split into many more partitions than slots;
-    used in front of CPU-heavy row-wise text work only."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no RDD API, leave as is
-        return df
-    return df.repartition(slots) if parts < slots else df
-
-
 def _pick(values: list[str], index: Column) -> Column:
     """Element ``index`` (0-based) of a literal array: a projection, no join."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -77,25 +61,6 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def txn_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Larger statement: lineitem joined to supplier and part (both joins are
-    on dimension keys; AQE picks broadcast when the runtime size allows)."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    j = li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey)
-    return j.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("txn_id"),
-        F.col("l_shipdate").cast("date").alias("date"),
-        F.concat(_pick(TXN_PREFIXES, F.pmod(F.col("l_suppkey"), F.lit(6))),
-                 F.col("p_name")).alias("description"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
-        F.col("p_type").alias("category"),
-        F.col("s_name").alias("merchant"),
-    )
-
-
 def _sql_values(rows) -> str:
     def lit(v):
         return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"

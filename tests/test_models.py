@@ -1,4 +1,5 @@
 """Model invariants: one row out per row in, probabilities, reload equality."""
+import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -15,8 +16,77 @@ def test_score_keeps_every_row_and_top3(spark, sf_dir):
     assert len(r["top_3"]) == 3 and r["top_3"][0]["probability"] == r["confidence"]
 
 
+NAMES = ["random_forest", "logistic_regression", "gradient_boosting", "naive_bayes", "svm",
+         "decision_tree", "ensemble"]
+WORDS = ["food order", "bus ticket", "movie night", "fuel refill", "rent bill", "gym pass", "book",
+         "tax"]
+
+
+def statement(spark, classes, copies=12):
+    rows = [(i * classes + c, WORDS[c] + f" {i}", None if i == 1 else float(-50 + 40 * c + i),
+             None if i == 2 else f"class{c}") for i in range(copies) for c in range(classes)]
+    return spark.createDataFrame(rows, "txn_id long, description string, amount double, category string")
+
+
+@pytest.mark.parametrize("name,classes", [
+    ("random_forest", 2), ("random_forest", 5), ("random_forest", 8), ("logistic_regression", 2),
+    ("logistic_regression", 5), ("naive_bayes", 2), ("naive_bayes", 5), ("decision_tree", 2),
+    ("decision_tree", 5), ("ensemble", 2), ("ensemble", 5), ("svm", 3), ("gradient_boosting", 2)])
+def test_models_fit_save_load_and_score(spark, tmp_path, monkeypatch, name, classes):
+    small = {"random_forest": {"numTrees": 5, "maxDepth": 4}, "gradient_boosting": {"maxIter": 2},
+             "svm": {"maxIter": 5}, "logistic_regression": {"maxIter": 20}}
+    monkeypatch.setattr(MD.K, "VOTING_PARAMS", {
+        "logistic_regression": {"maxIter": 20}, "random_forest": {"numTrees": 5}})
+    monkeypatch.setitem(MD.REGISTRIES, "voting", MD.K.VOTING_PARAMS)
+    df = statement(spark, classes)
+    model = MD.fit_transactions(df, name, hyperparams=small.get(name))
+    assert MD.class_names(model) == [f"class{c}" for c in range(classes)]
+    path = MD.save_model(model, f"file://{tmp_path}")
+    assert path != MD.save_model(model, f"file://{tmp_path}")
+    for m in (model, MD.load_model(path)):
+        rows = MD.score(m, df.drop("category")).collect()
+        assert len(rows) == 12 * classes
+        for r in rows:
+            assert r["predicted_category"] in MD.class_names(model)
+            if name not in ("svm", "gradient_boosting"):
+                p = [t["probability"] for t in r["top_3"]]
+                assert len(p) == min(3, classes) and p == sorted(p, reverse=True)
+                assert r["confidence"] == p[0] and 0 < p[0] <= 1
+    assert MD.score(model, df.drop("amount", "category")).count() == 12 * classes
+    assert MD.score(model, df.drop("description")).where("predicted_category is null").count() == 0
+
+
+def test_registries_are_kept_apart():
+    rf = MD.make_estimator("random_forest", 100, "w", registry="bakeoff")
+    assert (rf.getNumTrees(), rf.getMaxDepth(), rf.getMinInstancesPerNode(), rf.getWeightCol()) == (
+        300, 20, 2, "w")
+    single = MD.make_estimator("random_forest", 100)
+    assert (single.getNumTrees(), single.getMaxDepth()) == (100, 10)
+    lr = MD.make_estimator("logistic_regression", 200, "w", registry="bakeoff")
+    assert lr.getMaxIter() == 2000 and lr.getRegParam() == pytest.approx(1 / 200)
+    assert MD.make_estimator("svm", 100, registry="bakeoff").getClassifier().getRegParam() == \
+        pytest.approx(2 / 100)
+    # Given parameters replace the set's, they are not merged into it.
+    assert MD.make_estimator("random_forest", 100, hyperparams={"maxDepth": 3}).getNumTrees() == 20
+
+
+def test_training_run_is_saved_with_its_metrics(spark, tmp_path):
+    df = statement(spark, 3, 20)
+    run = MD.run_training(df, "decision_tree", cv_folds=2, model_dir=f"file://{tmp_path}")
+    assert run["num_train"] + run["num_test"] == df.where("category is not null").count()
+    saved = MD.model_registry(spark, f"file://{tmp_path}")
+    assert M_latest(saved).first()["path"] == run["model_path"]
+    meta = spark.read.json(f"file://{tmp_path}/*_metadata").first()
+    assert meta["metrics"]["accuracy"] == run["metrics"]["accuracy"] and "accuracy_mean" in meta["cv"]
+    top = MD.feature_importance(run["model"], spark, 5)
+    assert top.count() == 5
+    linear = MD.fit_transactions(df, "logistic_regression", hyperparams={"maxIter": 10})
+    assert MD.feature_importance(linear, spark).first()["importance"] > 0
+    out = MD.score_file(run["model"], df, f"file://{tmp_path}/scored")
+    assert spark.read.parquet(out).count() == df.count()
+
+
 def test_unknown_model_raises():
-    import pytest
     with pytest.raises(ValueError):
         MD.make_estimator("nope", 10)
 

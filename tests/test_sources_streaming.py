@@ -19,7 +19,7 @@ def test_csv_roundtrip_and_checks(spark):
     assert df.columns == ["description", "amount", "category"]
     assert df.where(F.col("description").isNull()).count() == 1
     with pytest.raises(FileNotFoundError):
-        FS.validate_path(os.path.join(d, "missing.csv"))
+        FS.validate_path(spark, os.path.join(d, "missing.csv"))
     with pytest.raises(ValueError):
         FS.require_columns(df.drop("category"))
     out = FS.write_table(df, os.path.join(d, "out"), fmt="csv")
