@@ -33,26 +33,49 @@ class TfidfParams:
     stop_words: tuple[str, ...] = ()
 
 
-def doc_terms(df: DataFrame, id_col: str, text_col: str, p: TfidfParams) -> DataFrame:
-    """(id, term) rows: lower-cased word tokens (stop words removed), and the
-    bigrams of consecutive remaining tokens joined by a space."""
+def with_terms(df: DataFrame, text_col: str, p: TfidfParams, out: str = "__terms") -> DataFrame:
+    """Array column of a row's terms: lower-cased word tokens (stop words removed)
+    and the bigrams of consecutive remaining tokens joined by a space."""
     t = tokens(F.col(text_col))
     if p.stop_words:
-        stop = F.array(*[F.lit(w) for w in p.stop_words])
-        t = F.filter(t, lambda w: ~F.array_contains(stop, w))
-    d = df.select(F.col(id_col).alias("doc"), t.alias("t"))
-    terms = F.col("t")
+        t = F.filter(t, lambda w: ~w.isin(*p.stop_words))
+    d = df.withColumn("__t", t)
+    terms = F.col("__t")
     if p.ngram_max >= 2:
-        bigrams = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))),
-                              lambda x, i: F.concat(F.col("t")[i], F.lit(" "), x))
-        terms = F.concat(F.col("t"), bigrams)
+        bigrams = F.transform(F.slice("__t", 2, F.greatest(F.size("__t") - 1, F.lit(0))),
+                              lambda x, i: F.concat(F.col("__t")[i], F.lit(" "), x))
+        terms = F.concat(F.col("__t"), bigrams)
+    return d.withColumn(out, terms).drop("__t")
+
+
+def doc_terms(df: DataFrame, id_col: str, text_col: str, p: TfidfParams) -> DataFrame:
+    """(id, term) rows of the documents' terms."""
+    d = with_terms(df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("__text")),
+                   "__text", p)
     # explode_outer, not explode: for explode the optimizer infers a size > 0
     # filter and pushes it below the projections, inlining the tokenizer into
     # the bigram lambda (the regex would rerun per element).  The explicit NULL
     # filter drops the row of an empty array, and keeps both count subtrees
     # identical (the join would infer it on one side only), so the exchange is
     # reused.
-    return d.select("doc", F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
+    return d.select("doc", F.explode_outer("__terms").alias("term")).where(
+        F.col("term").isNotNull())
+
+
+def row_weights(terms: F.Column, vocabulary: list[str], idf: list[float],
+                sublinear_tf: bool) -> F.Column:
+    """L2-normalised tf-idf of one row over a fitted vocabulary, as an array.
+    Terms outside of it are dropped first, so nothing is shuffled or grouped."""
+    if not vocabulary:
+        return F.array().cast("array<double>")
+    kept = F.filter(terms, lambda t: t.isin(vocabulary))
+    counts = F.transform(F.array(*map(F.lit, vocabulary)),
+                         lambda v: F.size(F.filter(kept, lambda t: t == v)).cast("double"))
+    tf = (lambda n: 1.0 + F.log(n)) if sublinear_tf else (lambda n: n)
+    w = F.zip_with(counts, F.array(*map(F.lit, idf)),
+                   lambda n, x: F.when(n > 0, tf(n) * x).otherwise(F.lit(0.0)))
+    return F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x, lambda s: F.transform(
+        w, lambda x: F.when(s > 0, x / F.sqrt(s)).otherwise(F.lit(0.0))))
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, p: TfidfParams) -> DataFrame:
@@ -98,20 +121,3 @@ def tfidf_long(df: DataFrame, id_col: str, text_col: str, p: TfidfParams) -> tup
     counts = term_counts(df, id_col, text_col, p)
     vocab = fit_vocabulary(df, id_col, text_col, p, counts)
     return vocab, weights(counts, vocab, p)
-
-
-def to_vectors(df: DataFrame, long: DataFrame, id_col: str, size: int,
-               out_col: str = "tfidf") -> DataFrame:
-    """Attach a dense ``size``-vector per row (zero for rows without a term):
-    group the long weights by document (<= size entries each), then a left
-    join back on the id keeps one output row per input row."""
-    from pyspark.ml.functions import array_to_vector
-    per_doc = long.groupBy("doc").agg(F.map_from_entries(
-        F.collect_list(F.struct("index", "weight"))).alias("__m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")),
-                        lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0)))
-    j = df.join(per_doc, df[id_col] == per_doc["doc"], "left")
-    if size == 0:
-        return j.drop("doc", "__m").withColumn(out_col, array_to_vector(F.array().cast(
-            "array<double>")))
-    return j.withColumn(out_col, array_to_vector(dense)).drop("doc", "__m")

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import split as SP
-from .stages import MeanProbability, NonNegative, TransactionFeatures
+from .stages import (MeanProbability, NonNegative, TfidfModel, TfidfVectorizer,
+                     TransactionFeatures)
 
 SEED = 42
 # one-vs-rest fits its binary models as concurrent jobs
@@ -104,18 +105,24 @@ def fit_predict(train: DataFrame, test: DataFrame, name: str, label: str = "labe
 # ------------------------------------------------------------------ transactions
 def fit_transactions(train: DataFrame, model: str = "random_forest", n_rows: int | None = None,
                      top_merchants: int = 0, hyperparams: dict | None = None,
-                     weight_col: str | None = None, registry: str = "single") -> PipelineModel:
-    """F17 features -> vector -> classifier -> class name, fitted on the rows of
+                     weight_col: str | None = None, registry: str = "single",
+                     text_terms: int = 0) -> PipelineModel:
+    """F17 features (with ``text_terms`` also the tf-idf block) -> vector -> classifier -> class name, fitted on the rows of
     ``train`` that have a category.  One PipelineModel: saved and loaded as a unit
     (P1: scoring always sees the training feature layout)."""
     train = train.where(F.col("category").isNotNull())
     n = n_rows if n_rows is not None else train.count()
     features = TransactionFeatures(topMerchants=top_merchants).fit(train)
-    vector = VectorAssembler(inputCols=features.feature_names(), outputCol="raw_features",
-                             handleInvalid="error")
+    inputs, text = features.feature_names(), []
+    if text_terms:
+        text = [TfidfVectorizer(maxFeatures=text_terms, outputCol="text_tfidf").fit(train)]
+        inputs = [*inputs, "text_tfidf"]
+    vector = VectorAssembler(inputCols=inputs, outputCol="raw_features", handleInvalid="error")
     index = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc",
                           handleInvalid="error").fit(train)
-    assembled = vector.transform(features.transform(index.transform(train)))
+    assembled = index.transform(train)
+    for stage in (features, *text, vector):
+        assembled = stage.transform(assembled)
     # Naive Bayes counts: its inputs must not be negative (F10 instead of F9).
     scaled, source = [], "raw_features"
     if model == "naive_bayes":
@@ -128,7 +135,7 @@ def fit_transactions(train: DataFrame, model: str = "random_forest", n_rows: int
     fitted = Pipeline(stages=stages).fit(assembled)
     names = IndexToString(inputCol="prediction", outputCol="predicted_category",
                           labels=list(index.labels))
-    return PipelineModel(stages=[features, vector, *scaled, *fitted.stages, names])
+    return PipelineModel(stages=[features, *text, vector, *scaled, *fitted.stages, names])
 
 
 def class_names(model: PipelineModel) -> list[str]:
@@ -136,7 +143,12 @@ def class_names(model: PipelineModel) -> list[str]:
 
 
 def feature_names(model: PipelineModel) -> list[str]:
-    return list(model.stages[1].getInputCols())
+    """Names of the vector's entries; a tf-idf entry is named by its term."""
+    vector = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    terms = {s.getOrDefault("outputCol"): s.vocabulary() for s in model.stages
+             if isinstance(s, TfidfModel)}
+    return [n for c in vector.getInputCols()
+            for n in ([f"{c}:{t}" for t in terms[c]] if c in terms else [c])]
 
 
 def classifier(model: PipelineModel):
@@ -248,20 +260,16 @@ def create_features(df: DataFrame, id_col: str = "txn_id", text_column: str = "d
     """F16: sublinear word 1-2-gram TF-IDF of the text (description, else
     merchant) || min-max amount, log amount, four fixed amount bins || top
     merchant one-hots, assembled into ``features``.  Returns (frame, fitted)
-    where ``fitted`` holds the vocabulary frame and the amount / merchant fit."""
+    where ``fitted`` holds the tf-idf stage and the amount / merchant fit."""
     from ..operators import features as FE
-    from ..operators import tfidf as TF
     text = text_column if text_column in df.columns else (
         "merchant" if "merchant" in df.columns else None)
     if text is None:
-        raise ValueError("No text column (description or merchant) found in DataFrame")
-    p = TF.TfidfParams(max_features=max_features, min_df=1, max_df=1.0, sublinear_tf=True)
-    counts = TF.term_counts(df, id_col, text, p)
-    vocab = TF.fit_vocabulary(df, id_col, text, p, counts).cache()
-    size = vocab.count()                        # <= max_features
-    out = TF.to_vectors(df, TF.weights(counts, vocab, p), id_col, size, "tfidf")
+        raise ValueError("F16 needs a description or merchant column")
+    tfidf = TfidfVectorizer(textCol=text, maxFeatures=max_features).fit(df)
+    out = tfidf.transform(df)
     cols = ["tfidf"]
-    fitted = {"vocabulary": vocab, "vocab_size": size}
+    fitted = {"tfidf": tfidf}
     if use_amount and "amount" in df.columns:
         filled = df.select(F.coalesce(F.col("amount").cast("double"), F.lit(0.0)).alias("amount"))
         st = FE.AmountStats.fit(filled)

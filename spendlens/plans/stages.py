@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
+from ..operators import tfidf as TF
 
 
 class _FeatureParams(Params):
@@ -103,6 +104,73 @@ class TransactionFeaturesModel(Model, _FeatureParams, DefaultParamsReadable,
         return out
 
 
+class _TfidfParams(Params):
+    textCol = Param(Params._dummy(), "textCol", "text column", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "vector column", TypeConverters.toString)
+    maxFeatures = Param(Params._dummy(), "maxFeatures", "size of the vocabulary",
+                        TypeConverters.toInt)
+    minDF = Param(Params._dummy(), "minDF", "least documents (or share) of a term",
+                  TypeConverters.toFloat)
+    maxDF = Param(Params._dummy(), "maxDF", "most documents (or share) of a term",
+                  TypeConverters.toFloat)
+    sublinear = Param(Params._dummy(), "sublinear", "1 + ln(count)", TypeConverters.toBoolean)
+    ngramMax = Param(Params._dummy(), "ngramMax", "longest word n-gram", TypeConverters.toInt)
+    stopWords = Param(Params._dummy(), "stopWords", "dropped words", TypeConverters.toListString)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(textCol="description", outputCol="tfidf", maxFeatures=100, minDF=1.0,
+                         maxDF=1.0, sublinear=True, ngramMax=2, stopWords=[])
+
+    def tfidf_params(self) -> TF.TfidfParams:
+        g = self.getOrDefault
+        return TF.TfidfParams(g("maxFeatures"), g("minDF"), g("maxDF"), g("sublinear"),
+                              g("ngramMax"), tuple(g("stopWords")))
+
+
+class TfidfVectorizer(Estimator, _TfidfParams, DefaultParamsReadable, DefaultParamsWritable):
+    """F12-F14 as a stage: fits the vocabulary and its idf."""
+
+    @keyword_only
+    def __init__(self, textCol="description", outputCol="tfidf", maxFeatures=100, minDF=1.0,
+                 maxDF=1.0, sublinear=True, ngramMax=2, stopWords=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, df: DataFrame) -> TfidfModel:
+        rows = df.withColumn("__doc", F.monotonically_increasing_id())
+        vocabulary = TF.fit_vocabulary(rows, "__doc", self.getOrDefault("textCol"),
+                                       self.tfidf_params()).orderBy("index").collect()
+        model = TfidfModel()
+        self._copyValues(model)
+        return model._set(terms=[r["term"] for r in vocabulary], idf=[r["idf"] for r in vocabulary])
+
+
+class TfidfModel(Model, _TfidfParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds the tf-idf vector of each row: a projection without a shuffle."""
+
+    terms = Param(Params._dummy(), "terms", "vocabulary in index order",
+                  TypeConverters.toListString)
+    idf = Param(Params._dummy(), "idf", "their idf", TypeConverters.toListFloat)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(terms=[], idf=[])
+
+    def vocabulary(self) -> list[str]:
+        return list(self.getOrDefault("terms"))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        text = self.getOrDefault("textCol")
+        if text not in df.columns:
+            df = df.withColumn(text, F.lit(None).cast("string"))
+        out = TF.with_terms(df, text, self.tfidf_params())
+        w = TF.row_weights(F.coalesce("__terms", F.array().cast("array<string>")),
+                           self.vocabulary(), list(self.getOrDefault("idf")),
+                           self.getOrDefault("sublinear"))
+        return out.withColumn(self.getOrDefault("outputCol"), array_to_vector(w)).drop("__terms")
+
+
 class NonNegative(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
                   DefaultParamsWritable):
     """Entries below 0 become 0: rows may lie outside of the range a min-max

@@ -108,3 +108,24 @@ def test_latest_model_registry(spark):
 def M_latest(df):
     from spendlens.operators.metrics import latest_model
     return latest_model(df)
+
+
+def test_tfidf_stage_equals_the_grouped_weights(spark, tmp_path):
+    from spendlens.operators import tfidf as TF
+    from spendlens.plans.stages import TfidfModel, TfidfVectorizer
+    rows = [(0, "food order food"), (1, "bus ticket order"), (2, None), (3, ""), (4, "rent"),
+            (5, "food food food bus order order")]
+    df = spark.createDataFrame(rows, "id long, description string")
+    fitted = TfidfVectorizer(maxFeatures=5).fit(df)
+    fitted.write().save(f"file://{tmp_path}/tfidf")
+    vocab, long = TF.tfidf_long(df, "id", "description", TF.TfidfParams(5, 1, 1.0, True))
+    want = {(r["doc"], r["index"]): r["weight"] for r in long.collect()}
+    for model in (fitted, TfidfModel.load(f"file://{tmp_path}/tfidf")):
+        assert model.vocabulary() == [r["term"] for r in vocab.orderBy("index").collect()]
+        got = {(r["id"], i): x for r in model.transform(df).collect()
+               for i, x in enumerate(r["tfidf"].toArray()) if x}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) for k in got)
+    text = MD.fit_transactions(statement(spark, 3), "decision_tree", text_terms=6)
+    assert len([n for n in MD.feature_names(text) if n.startswith("text_tfidf:")]) == 6
+    assert MD.score(text, statement(spark, 3).drop("category")).count() == 36
