@@ -135,25 +135,24 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(describe, SETS)
 
 
-def _n(entry: str) -> Column:
-    return F.shiftright(F.col(f"{entry}.at"), 32)
+def _sizes_fit(a: Column, b: Column) -> Column:
+    """Length and positional filter of two list entries (size << 32 | position)."""
+    na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
+    left = F.least(na - a.bitwiseAND(F.lit(0xFFFFFFFF)), nb - b.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * left >= 3 * (na + nb))
 
 
-def _fits(a: str, b: str) -> Column:
-    """Length, positional and suffix filter of two list entries."""
-    na, nb = _n(a), _n(b)
-    left = F.least(*(n - F.col(f"{e}.at").bitwiseAND(F.lit(0xFFFFFFFF))
-                     for n, e in ((na, a), (nb, b))))
-    # The overlap must reach 3/7 of both sizes, so at most 1/7 may differ.
+def _parities_fit(a: str, b: str) -> Column:
+    """Suffix filter of two entries with parities: the overlap must reach 3/7 of
+    both sizes, so at most 1/7 may differ."""
     differ = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}")))
                   for i in range(WORDS)), F.lit(0))
-    return ((4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * left >= 3 * (na + nb))
-            & (7 * differ <= na + nb))
+    return 7 * differ <= F.shiftright(F.col(f"{a}.at"), 32) + F.shiftright(F.col(f"{b}.at"), 32)
 
 
-def prefix_lists(sets: DataFrame, meta: DataFrame) -> DataFrame:
-    """Entries (h, me) of all prefix shingles that two sets share; ``me`` has the
-    set's id, size << 32 | position, and the parities p0, p1, ... of its ranges."""
+def prefix_lists(sets: DataFrame) -> DataFrame:
+    """Entries (h, set_id, at, other, other_at) of all prefix shingles that two
+    sets share: at is size << 32 | position, other the entry before in the list."""
     entries = sets.where(F.col("prefix").isNotNull()).select(
         "set_id", "n", F.posexplode("prefix").alias("pos", "h")).select(
         "h", "set_id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
@@ -161,20 +160,19 @@ def prefix_lists(sets: DataFrame, meta: DataFrame) -> DataFrame:
     once = entries.withColumn("before", F.lag("set_id").over(ordered)).where(
         F.col("before").isNull() | (F.col("before") != F.col("set_id"))).drop("before")
     # The sorted neighbours tell whether a list has two entries.
-    shared = once.withColumn("lone", F.lag("h").over(ordered).isNull()
-                             & F.lead("h").over(ordered).isNull()).where(~F.col("lone"))
-    words = [f"p{i}" for i in range(WORDS)]
-    return shared.join(meta.select("set_id", *words), "set_id").select(
-        "h", F.struct("set_id", "at", *words).alias("me"))
+    return once.withColumns({
+        "other": F.lag("set_id").over(ordered), "other_at": F.lag("at").over(ordered),
+        "after": F.lead("h").over(ordered)}).where(
+        F.col("other").isNotNull() | F.col("after").isNotNull()).drop("after")
 
 
 LINK = _schema(*((c, T.LongType()) for c in ("a", "b", "doc_a", "doc_b")))
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids of two list entries ``me`` and ``other``."""
-    a, b = F.col("me.set_id"), F.col("other.set_id")
-    return entries.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    """Pairs (a, b) of the ids ``set_id`` and ``other``."""
+    return entries.select(F.least("set_id", "other").alias("a"),
+                          F.greatest("set_id", "other").alias("b"))
 
 
 class Verifier:
@@ -270,45 +268,65 @@ class Verifier:
 
 
 def _classes(lists: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
-    """Entries of lists that hold two classes or more, with their class and the
-    list's main class (that of most entries)."""
-    known = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), rounds)
-    tagged = lists.join(known, F.col("me.set_id") == F.col("node"), "left").select(
-        "h", "me", F.coalesce("component", "me.set_id").alias("class"))
+    """Entries (h, set_id, at, class, main) of lists that hold two classes or more;
+    main is the class of most entries.  One shuffle of the entries by list."""
+    known = _few(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), rounds))
+    tagged = lists.join(known, F.col("set_id") == F.col("node"), "left").select(
+        "h", "set_id", "at", F.coalesce("component", "set_id").alias("class")).repartition("h")
     main = tagged.groupBy("h", "class").agg(F.count("*").alias("n")).groupBy("h").agg(
         F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes"))
     return tagged.join(main.where(F.col("classes") > 1).select("h", "main"), "h")
 
 
+def _with_parities(entries: DataFrame, meta: DataFrame) -> DataFrame:
+    """The entries' ids, sizes and parities as a struct ``me``."""
+    words = [f"p{i}" for i in range(WORDS)]
+    return entries.join(meta.select("set_id", *words), "set_id").withColumn(
+        "me", F.struct("set_id", "at", *words)).drop("at", *words)
+
+
 def links(verifier: Verifier, all_links: bool = False) -> DataFrame:
     """Links (a, b, doc_a, doc_b) between distinct sets; all of them, or enough
     for exact classes."""
-    lists = written(prefix_lists(verifier.sets, verifier.meta), "join-lists")
+    lists = written(prefix_lists(verifier.sets), "join-lists")
+    neighbours = lists.where(F.col("other").isNotNull()
+                             & _sizes_fit(F.col("at"), F.col("other_at")))
+    lists = lists.drop("other", "other_at")
     if all_links:
-        met = lists.join(lists.select("h", F.col("me").alias("other")), "h").where(
-            (F.col("me.set_id") < F.col("other.set_id")) & _fits("me", "other"))
+        mine = _with_parities(lists, verifier.meta)
+        met = mine.join(mine.select("h", F.col("set_id").alias("other"),
+                                    F.col("me").alias("you")), "h").where(
+            (F.col("set_id") < F.col("other")) & _sizes_fit(F.col("me.at"), F.col("you.at"))
+            & _parities_fit("me", "you"))
         return verifier.links(_pairs(met))
-    ordered = Window.partitionBy("h").orderBy("me.at", "me.set_id")
-    neighbours = lists.select("me", F.lag("me").over(ordered).alias("other")).where(
-        F.col("other").isNotNull() & _fits("me", "other"))
     found = verifier.links(_pairs(neighbours))
     # One member of the main class, another one for each list.
     open_lists = written(_classes(lists, found, 2), "join-open")
     in_main = F.col("class") == F.col("main")
     heads = open_lists.where(in_main).groupBy("h").agg(F.min_by(
-        "me", F.xxhash64("h", "me.set_id")).alias("other"))
-    to_head = open_lists.where(~in_main).join(heads, "h").where(_fits("me", "other"))
-    found = found.unionByName(verifier.links(_pairs(to_head)))
+        F.struct("set_id", "at"), F.xxhash64("h", "set_id")).alias("head"))
+    to_head = open_lists.where(~in_main).select("h", "set_id", "at").join(heads, "h").where(
+        _sizes_fit(F.col("at"), F.col("head.at")))
+    found = found.unionByName(verifier.links(_pairs(
+        to_head.select("set_id", F.col("head.set_id").alias("other")))))
     # All pairs of different classes; one side is never of the main class.
-    open_lists = written(_classes(lists, found, 2), "join-open")
-    right = open_lists.select("h", F.col("me").alias("other"), F.col("class").alias("other_class"))
-    rest = open_lists.where(F.col("class") != F.col("main")).join(right, "h").where(
+    open_lists = written(_with_parities(_classes(lists, found, 2), verifier.meta), "join-open")
+    left = open_lists.where(F.col("class") != F.col("main"))
+    right = open_lists.select("h", F.col("set_id").alias("other"), F.col("me").alias("you"),
+                              F.col("class").alias("other_class"))
+    rest = left.join(right, "h").where(
         (F.col("class") != F.col("other_class"))
-        & ((F.col("other_class") == F.col("main")) | (F.col("me.set_id") < F.col("other.set_id")))
-        & _fits("me", "other"))
+        & ((F.col("other_class") == F.col("main")) | (F.col("set_id") < F.col("other")))
+        & _sizes_fit(F.col("me.at"), F.col("you.at")) & _parities_fit("me", "you"))
     return found.unionByName(verifier.links(_pairs(rest)))
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A table of ids as a broadcast if their number allows."""
+    ids = written(ids, "join-ids")
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
     bound_batches(docs.sparkSession)
@@ -326,12 +344,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         by_set, "set_id", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """``ids`` as a broadcast if their number allows."""
-    ids = written(ids, "join-ids")
-    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
     """The document of smallest id of each class, columns as they came; of rows
     with equal ids one stays, documents without words or id all stay."""
