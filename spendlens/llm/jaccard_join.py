@@ -102,7 +102,8 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 def document_sets(docs: DataFrame) -> DataFrame:
     """Per document: size and id of its set; prefix and range counts with the
-    first document of each set that a task sees."""
+    first document of each set that a task sees.  Rows without id carry none, as
+    they do not join."""
     levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
     arrow = to_arrow_schema(SETS)
 
@@ -110,14 +111,15 @@ def document_sets(docs: DataFrame) -> DataFrame:
         hashes, seen, level = WordHashes(), set(), levels.value
         for b in batches:
             sizes, ids, prefixes, parity = [], [], [], []
-            for text in raw_texts(b.column(1)):
+            for named, text in zip(b.column(0).is_valid().to_pylist(), raw_texts(b.column(1)),
+                                   strict=True):
                 words = hashes.of(text)
                 numbers, first = np.unique(shingles(words), return_index=True)
                 n = len(numbers)
                 key = set_id(numbers) if n else None
                 sizes.append(n)
                 ids.append(key)
-                if not n or key in seen:
+                if not n or not named or key in seen:
                     prefixes.append(None)
                     parity.append(None)
                     continue

@@ -85,6 +85,18 @@ def test_classes_of_near_copies(spark, seed):
     assert [r["component_id"] for r in got.where("doc_id is null").collect()] == [None]
 
 
+def test_null_id_before_its_copy(spark):
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join([*base, "more"])]
+    docs = [(None, texts[0]), (4, texts[0]), (9, texts[1]), (None, texts[1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = jaccard_join.near_duplicates(df)
+    assert as_classes(got) == plain_classes(docs) == [(4, 36, 4), (9, 37, 4)]
+    assert [r["component_id"] for r in got.where("doc_id is null").collect()] == [None, None]
+    assert [r["doc_id"] for r in jaccard_join.keep_first(df).orderBy("doc_id").collect()] == [
+        None, None, 4]
+
+
 def test_all_links_are_found(spark):
     texts = near_copies(4)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
