@@ -145,3 +145,39 @@ def test_trie_probabilities_sum_to_one():
     parts = [trie.log10(np.array([s]), np.array([int.from_bytes((b"     " + b"abc"[:i])[-5:], "big")]),
                         np.array([i]))[0] for i, s in enumerate(b"abc ")]
     assert one == pytest.approx(sum(parts))
+
+
+def whole_tries(docs, classes):
+    """Tries of all words of the training documents, nothing left out."""
+    out = []
+    for kind in classes:
+        train = [t for d, t, k in docs if k == kind and zlib.crc32(str(d).encode()) % 10]
+        batch = [w for t in train for w in ppm.words(t.encode())]
+        symbol, _, place, history = ppm.positions(batch)
+        counts = Counter()
+        for order in range(ppm.ORDER + 1):
+            at = np.flatnonzero(place + 1 >= order)
+            counts.update((ppm.contexts(history[at], order) << 9 | symbol[at]).tolist())
+        for order in (0, 1):
+            counts[int(ppm.contexts(np.array([0x20]), order)[0]) << 9 | ppm.END] += len(train)
+        out.append((ppm.Trie.of(np.array(list(counts)), np.array(list(counts.values()))), len(train)))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [7, 10_000])
+def test_scores_use_every_key_of_the_trie(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ppm, "MAX_KEYS", 50, raising=False)  # a limit of earlier versions
+    monkeypatch.setattr(ppm, "CHUNK_WORDS", chunk, raising=False)
+    r = random.Random(5)
+    vocab = ["".join(r.choices("abcdeé", k=r.randint(1, 9))) for _ in range(150)]
+    docs = [(i, " ".join(r.choices(vocab, k=20)) + f" odd{i}", "xy"[i % 3 == 0]) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    tries = whole_tries(docs, "xy")
+    ends = sum(n for _, n in tries)
+    got = {row["doc_id"]: row["score"] for row in ppm.score(df, "lang").collect()}
+    for d, text, _ in docs:
+        logs = [trie.words_log10(ppm.words(text.encode())).sum() + trie.end_log10()
+                + math.log10(n / ends) for trie, n in tries]
+        best = max(logs)
+        assert got[d] == pytest.approx(best + math.log10(sum(10 ** (x - best) for x in logs)),
+                                       rel=1e-5)
