@@ -9,7 +9,9 @@ has none, so one odd page cannot choose and one odd template is not lost.
 
 Boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments, hidden parts) is known by element, role, class or id
-and never extracted.  Text: character references decoded, white space inside a
+and never extracted; a container that only its class or id marks counts as page
+layout if the page's article, or nearly all text of a page without one, stands in
+it.  Text: character references decoded, white space inside a
 block turned into one space, blocks joined in page order by one space.
 
 The winners reach the pages by broadcast up to ``MAX_BROADCAST_HOSTS`` rows;
@@ -73,6 +75,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(
     r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _NAME = re.compile(r"[a-z]+")
+#: Names that say what a page's layout has or lacks.
+_LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -81,14 +85,19 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def is_boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Boilerplate by element, role or hiding."""
     if tag in SKIPPED or tag == "header" and not in_article:
         return True
-    if attrs.get("role", "").lower() in SKIPPED_ROLES or "hidden" in attrs or attrs.get(
-            "aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")):
-        return True
+    return attrs.get("role", "").lower() in SKIPPED_ROLES or "hidden" in attrs or attrs.get(
+        "aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
+
+
+def is_named_boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Boilerplate by class or id."""
     if tag in ("html", "body", "article", "main"):
         return False
-    names = set(_NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    given = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
+    names = set(_NAME.findall(_LAYOUT.sub(" ", given)))
     return not names.isdisjoint(BOILERPLATE) or "header" in names and not in_article
 
 
@@ -110,13 +119,32 @@ class Box:
     score: float = 0.0
 
 
+@dataclass
+class Named:
+    """A part that class or id mark as boilerplate."""
+
+    parent: int
+    text: int = 0
+    articles: int = 0
+    mains: int = 0
+
+
 class Page:
     """Blocks of text outside boilerplate, and the containers around them."""
 
     def __init__(self, html: str):
+        self._parse(html, frozenset())
+        layout = self._layout()
+        if layout:
+            self._parse(html, layout)
+
+    def _parse(self, html: str, layout: frozenset[int]) -> None:
+        """Read the page; the parts numbered in ``layout`` are no boilerplate."""
+        self._named, self._kept = [Named(-1)], layout
         self.blocks: list[str] = []
         self.boxes: list[Box] = [Box("", "", -1, 0)]
-        self._open: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, box, boilerplate
+        # Tag, box, boilerplate, and the part by class or id (-1 in other boilerplate).
+        self._open: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
         self._parts: list[str] = []
         self._in_links = self._links = 0
         self._read(html)
@@ -124,6 +152,23 @@ class Page:
         self._close_to(1)
         self.boxes[0].last = len(self.blocks)
 
+    def _layout(self) -> frozenset[int]:
+        """Named parts that hold the page's article or, on a page without one,
+        three quarters of its text."""
+        for part in reversed(self._named[1:]):
+            up = self._named[part.parent]
+            up.text, up.articles, up.mains = (
+                up.text + part.text, up.articles + part.articles, up.mains + part.mains)
+        page, out = self._named[0], []
+        for i, part in enumerate(self._named[1:], 1):
+            if part.articles + part.mains < page.articles + page.mains:
+                continue
+            # Several articles that are the smaller half are comments or links.
+            if part.mains or part.articles == 1 or part.text > page.text * (
+                    0.5 if part.articles else 0.75):
+                out.append(i)
+        return frozenset(out)
+
     def _read(self, html: str) -> None:
         at, end = 0, len(html)
         while at < end:
@@ -147,6 +192,9 @@ class Page:
                 at = close.start() if close else end
 
     def _text(self, raw: str) -> None:
+        part = self._open[-1][3]
+        if part >= 0 and not self._in_links:
+            self._named[part].text += len(raw.strip())
         if not self._open[-1][2]:
             self._parts.append(unescape(raw) if "&" in raw else raw)
             if self._in_links:
@@ -166,7 +214,7 @@ class Page:
 
     def _close_to(self, depth: int) -> None:
         while len(self._open) > depth:
-            tag, box, _ = self._open.pop()
+            tag, box, _, _ = self._open.pop()
             if box != self._open[-1][1]:
                 self.boxes[box].last = len(self.blocks)
 
@@ -184,16 +232,24 @@ class Page:
         for other in SAME_ENDS.get(tag, ()):
             self._close(other, stop=frozenset(("ul", "ol", "dl", "table", "select")))
         attrs = attributes(rest) if rest else {}
-        _, box, skip = self._open[-1]
-        inside = any(t in ("article", "main") for t, _, _ in self._open)
-        skip = skip or is_boilerplate(tag, attrs, inside)
+        _, box, skip, part = self._open[-1]
+        inside = any(t in ("article", "main") for t, *_ in self._open)
+        if part >= 0 and is_boilerplate(tag, attrs, inside):
+            skip, part = True, -1
+        elif part >= 0 and is_named_boilerplate(tag, attrs, inside):
+            self._named.append(Named(part))
+            part = len(self._named) - 1
+            skip = skip or part not in self._kept
+        if part >= 0:
+            self._named[part].articles += tag == "article"
+            self._named[part].mains += tag == "main"
         if not skip:
             if tag in CONTAINER:
                 path = f"{self.boxes[box].path}>{label(tag, attrs)}"
                 self.boxes.append(Box(path, tag, box, len(self.blocks)))
                 box = len(self.boxes) - 1
         if not rest.endswith("/") or tag in BLOCK:
-            self._open.append((tag, box, skip))
+            self._open.append((tag, box, skip, part))
 
     def _close(self, tag: str, stop: frozenset) -> None:
         for depth in range(len(self._open) - 1, 0, -1):
@@ -207,9 +263,9 @@ class Page:
         if tag not in BLOCK and tag not in SKIPPED:
             self._in_links = max(0, self._in_links - (tag == "a"))
             return
-        if any(t == tag for t, _, _ in self._open):
+        if any(t == tag for t, *_ in self._open):
             self._end_block()
-            depth = max(i for i, (t, _, _) in enumerate(self._open) if t == tag)
+            depth = max(i for i, (t, *_) in enumerate(self._open) if t == tag)
             self._close_to(depth)
 
     def best(self) -> int:

@@ -26,6 +26,22 @@ def test_page_text(source, text):
     assert Page(source).extract([]) == text
 
 
+@pytest.mark.parametrize("source,text", [
+    ("<body><div class='page has-sidebar'><article><p>Story</p></article><div class=sidebar>s</div>"
+     "</div></body>", "Story"),
+    ("<div class=no-ads><p>Story</p></div>", "Story"),
+    ("<div id=print-area><article>Story</article></div><div class=related>" + "more " * 9 + "</div>",
+     "Story"),
+    ("<div class=social-page><div class=x>Story of some length</div><div class=share>s</div></div>",
+     "Story of some length"),
+    ("<article>Story</article><div class=comments><article>" + "comment " * 9
+     + "</article></div>", "Story"),
+    ("<div class=post>Story</div><div class=comments><p>a reply</p></div>", "Story"),
+])
+def test_layout_names_do_not_drop_the_article(source, text):
+    assert Page(source).extract([]) == text
+
+
 def article(source):
     body = re.search(r"<article>(.*?)</article>", source, re.S)[1]
     blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split())
