@@ -2,7 +2,8 @@
 
 Each page scores its containers by the text that stands in them outside of
 boilerplate and links, and votes for the generalised tag-class path of the best
-one.  Votes are counted per host and path (combined before the shuffle); the
+one: the article or main around it, else the highest container that adds
+headings, paragraphs or further parts of an article to it.  Votes are counted per host and path (combined before the shuffle); the
 paths with the most votes of a host win.  In a second pass every page extracts
 the containers at the first winning path it has, or its own best container if it
 has none, so one odd page cannot choose and one odd template is not lost.
@@ -46,6 +47,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu "
     "nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
+_FRAME = frozenset("html table tbody tfoot thead tr".split())
 CONTAINER = frozenset("article body center div main section td".split())
 RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
 SKIPPED = frozenset(
@@ -117,6 +119,8 @@ class Box:
     first: int
     last: int = 0
     score: float = 0.0
+    text: float = 0.0   # weight of all blocks in it
+    prose: float = 0.0  # of those directly in it that are headings, paragraphs, ...
 
 
 @dataclass
@@ -151,6 +155,8 @@ class Page:
         self._end_block()
         self._close_to(1)
         self.boxes[0].last = len(self.blocks)
+        for box in reversed(self.boxes[1:]):
+            self.boxes[box.parent].text += box.text
 
     def _layout(self) -> frozenset[int]:
         """Named parts that hold the page's article or, on a page without one,
@@ -208,6 +214,9 @@ class Page:
                 self.blocks.append(text)
                 weight, box = max(0.0, len(text) - 2.0 * self._links), self._open[-1][1]
                 self.boxes[box].score += weight
+                self.boxes[box].text += weight
+                if self._open[-1][0] not in CONTAINER and self._open[-1][0] in BLOCK - _FRAME:
+                    self.boxes[box].prose += weight
                 if self.boxes[box].parent >= 0:
                     self.boxes[self.boxes[box].parent].score += weight / 2
         self._links = 0
@@ -277,7 +286,19 @@ class Page:
                 if self.boxes[up].tag == wanted:
                     return up
                 up = self.boxes[up].parent
-        return box
+        return self._widened(box)
+
+    def _widened(self, box: int) -> int:
+        """The highest box around ``box`` that adds prose of its own, or other
+        boxes a quarter as long as the longest, so parts of one article."""
+        best, inner, up = box, box, self.boxes[box].parent
+        longest = self.boxes[box].text
+        while up >= 0:
+            others = [b.text for i, b in enumerate(self.boxes) if b.parent == up and i != inner]
+            if longest and (self.boxes[up].prose or 4 * max(others, default=0) >= longest):
+                best = up
+            inner, up = up, self.boxes[up].parent
+        return best
 
     def extract(self, winners: list[str]) -> str:
         """Text of the boxes at the first of ``winners`` with text here."""

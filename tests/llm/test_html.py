@@ -42,6 +42,21 @@ def test_layout_names_do_not_drop_the_article(source, text):
     assert Page(source).extract([]) == text
 
 
+BODY = "word " * 200
+
+
+@pytest.mark.parametrize("source,text", [
+    (f"<body><div id=page><h1>T</h1><div class=text>{BODY}</div></div></body>", f"T {BODY}"),
+    (f"<body><div id=page><h1>T</h1><p>Intro</p><div><div class=text><p>{BODY}</p></div></div></div>"
+     "</body>", f"T Intro {BODY}"),
+    (f"<body><nav>n</nav><div><section class=a>{BODY}</section><section class=b><div>{BODY}</div>"
+     f"</section><section class=c><div><p>{BODY}</p></div></section></div></body>", BODY * 3),
+    (f"<body><div class=top>t</div><div class=text>{BODY}</div>stray</body>", BODY),
+])
+def test_whole_article_without_article_element(source, text):
+    assert Page(source).extract([]) == text.strip()
+
+
 def article(source):
     body = re.search(r"<article>(.*?)</article>", source, re.S)[1]
     blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split())
