@@ -905,10 +905,7 @@ def _emb_split(spark, d, nonneg: bool = False):
     split = SP.stratified_split(_embeddings(spark, d), "vec_id", "category")
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     if nonneg:
-        from pyspark.ml.feature import MinMaxScaler
-        scaler = MinMaxScaler(inputCol="features", outputCol="scaled").fit(train)
-        train, test = (scaler.transform(x).drop("features").withColumnRenamed("scaled", "features")
-                       for x in (train, test))
+        train, test = MD.nonnegative(train, test)
     # the fits iterate over the training rows: keep the split materialised
     return SP.with_class_weights(train, "category").cache(), test
 

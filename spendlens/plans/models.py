@@ -89,6 +89,15 @@ def classifier_stages(name: str, n_rows: int, weight_col: str | None, label: str
     return [*members, MeanProbability(inputCols=[m.getProbabilityCol() for m in members])]
 
 
+def nonnegative(train: DataFrame, *others: DataFrame, features: str = "features") -> list:
+    """M6: min-max scaled features, fitted on ``train``; entries of rows that lie
+    below the training minimum become 0, as naive Bayes takes no negative input."""
+    scale = Pipeline(stages=[MinMaxScaler(inputCol=features, outputCol="__scaled"),
+                             NonNegative(inputCol="__scaled", outputCol="__clipped")]).fit(train)
+    return [scale.transform(x).drop(features, "__scaled").withColumnRenamed("__clipped", features)
+            for x in (train, *others)]
+
+
 def fit_predict(train: DataFrame, test: DataFrame, name: str, label: str = "label",
                 features: str = "features", weight_col: str | None = None,
                 n_rows: int | None = None, registry: str = "single") -> DataFrame:
