@@ -1,5 +1,5 @@
 """DuckDB SQL of the queries that SQL can express: joins (op5), search (op7), chat
-digests (op8), decontamination (op10).  Extraction, classifiers, tokenizers and
+digests (op8), decontamination (op10), resampling (op12), sharding (op13).  Extraction, run detection, classifiers, tokenizers and
 the language model are tested against plain versions instead."""
 
 from __future__ import annotations
@@ -79,5 +79,65 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)"""
 
+#: crc32 in SQL: the byte table of the reflected polynomial 0xEDB88320, then a fold over
+#: the bytes of {0}.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda c, i:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c
+    FROM range(256) r(b)))"""
+_CRC = """xor(list_reduce(
+  list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+OP12 = f"""WITH {_CRC_TABLE},
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+source AS (SELECT rid, unnest(w) AS word FROM docs),
+target AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+vocabulary AS (SELECT DISTINCT word FROM (SELECT word FROM source UNION ALL FROM target)),
+buckets AS (SELECT word, {_CRC.format('word')} % 10000 AS bucket FROM vocabulary, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM source JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM target JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(
+    ((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM source) + 10000.0::DOUBLE))
+    / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM target) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+sums AS (
+  SELECT rid, sum(gain) AS total FROM source JOIN buckets USING (word) JOIN gains USING (bucket)
+  GROUP BY rid),
+weights AS (
+  SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_features,
+    CASE WHEN len(w) = 0 THEN 0 ELSE CAST((total - ((total % len(w)) + len(w)) % len(w)) // len(w)
+      AS BIGINT) END AS weight,
+    CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM docs LEFT JOIN sums USING (rid)),
+scores AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT)
+    AS score FROM weights),
+ranks AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank,
+    count(*) OVER () AS n FROM scores WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scores LEFT JOIN ranks USING (rid)"""
+
+OP13 = f"""WITH {_CRC_TABLE},
+docs AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
+    {_CRC.format("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table),
+keyed AS (
+  SELECT *, md5('2024:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32) AS key
+  FROM docs),
+ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY key) - 1.0::DOUBLE)
+    / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM keyed),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, key, source NULLS FIRST) - 1 AS place,
+    count(*) OVER () AS n FROM ranked),
+dealt AS (SELECT *, place * 8 // n AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard,
+  place - (shard * n + 7) // 8 AS slot, CAST(NULL AS INT) AS grown_shard FROM dealt"""
+
 ORACLE = {"op5_jaccard_join": OP5, "op7_pivot_topk": OP7, "op8_chat_events": OP8,
-          "op10_decontaminate": OP10}
+          "op10_decontaminate": OP10, "op12_importance_resampling": OP12,
+          "op13_stratified_sharding": OP13}

@@ -9,9 +9,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spendlens.llm import (chat_events, decontaminate, html_consensus, jaccard_join,
-                           periodic_runs, pivot_topk, ppm, prefix_bpe, quality_fm, token_files,
-                           toxicity_fm)
+from spendlens.llm import (chat_events, decontaminate, html_consensus, importance,
+                           jaccard_join, periodic_runs, pivot_topk, ppm, prefix_bpe, quality_fm,
+                           sharding, token_files, toxicity_fm)
 from spendlens.llm.common import shared_folder, table
 from spendlens.llm.oracle import ORACLE
 
@@ -72,8 +72,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(table(spark, sf_dir, "documents"), rewrite=periodic_runs.echo)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_consensus, op2_quality_fm, op3_prefix_bpe, op4_token_files, op5_jaccard_join,
-    op6_toxicity_fm, op7_pivot_topk, op8_chat_events, op9_ppm, op10_decontaminate, op11_periodic_runs)}
+    op6_toxicity_fm, op7_pivot_topk, op8_chat_events, op9_ppm, op10_decontaminate, op11_periodic_runs,
+    op12_importance_resampling, op13_stratified_sharding)}
 
 __all__ = ["ORACLE", "QUERIES"]
