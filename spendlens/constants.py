@@ -195,8 +195,9 @@ SINGLE_MODEL_PARAMS = {
 # The bake-off set is fitted with balanced class weights.
 BAKEOFF_PARAMS = {
     "logistic_regression": {"maxIter": 2000, "penalty": 1.0},
-    "random_forest": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2},
-    "decision_tree": {"maxDepth": 15, "minInstancesPerNode": 5},
+    "random_forest": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2,
+                      "minRowsToSplit": 5},
+    "decision_tree": {"maxDepth": 15, "minInstancesPerNode": 5, "minRowsToSplit": 10},
     "svm": {"penalty": 0.5},
 }
 # Members of the soft vote.

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import prefix_sums
 
 
 def pair_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -23,20 +24,22 @@ def accuracy(pred: DataFrame, label: str = "label", prediction: str = "predictio
     return pred.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"))
 
 
-def per_class(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Per class of label U prediction: tp, support, predicted, precision, recall, f1.
+def per_class(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+              by: tuple[str, ...] = ()) -> DataFrame:
+    """Per class of label U prediction (and group of ``by``): tp, support, predicted, precision, recall, f1.
 
     One linear plan: every (label, prediction, n) cell becomes a label-side row
     (support, tp) and a prediction-side row (predicted), summed by class; the
     predictions are read once (no self-join, nothing to recompute)."""
-    pc = pair_counts(pred, label, prediction)
+    pc = pred.groupBy(*by, F.col(label).alias("label"), F.col(prediction).alias("prediction")) \
+        .agg(F.count(F.lit(1)).alias("n"))
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
     sides = F.array(
         F.struct(F.col("label").alias("class"), F.col("n").alias("support"), hit.alias("tp"),
                  F.lit(0).cast("long").alias("predicted")),
         F.struct(F.col("prediction").alias("class"), F.lit(0).cast("long").alias("support"),
                  F.lit(0).cast("long").alias("tp"), F.col("n").alias("predicted")))
-    t = (pc.select(F.explode(sides).alias("s")).select("s.*").groupBy("class")
+    t = (pc.select(*by, F.explode(sides).alias("s")).select(*by, "s.*").groupBy(*by, "class")
          .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]))
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
@@ -49,9 +52,16 @@ def per_class(pred: DataFrame, label: str = "label", prediction: str = "predicti
 
 def weighted_prf(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Support-weighted precision, recall, F1 (and accuracy) in one row."""
-    t = per_class(pred, label, prediction)
+    return prf_by(pred, (), label, prediction)
+
+
+def prf_by(pred: DataFrame, by: tuple[str, ...], label: str = "label",
+           prediction: str = "prediction") -> DataFrame:
+    """M15 for each group of ``by`` (a fold, a model), from one grouping of the rows by
+    group, label and prediction."""
+    t = per_class(pred, label, prediction, by)
     tot = F.sum("support")
-    return t.agg(*[(F.sum(F.col(m) * F.col("support")) / tot).alias(m)
+    return t.groupBy(*by).agg(*[(F.sum(F.col(m) * F.col("support")) / tot).alias(m)
                    for m in ("precision", "recall", "f1")],
                  (F.sum("tp") / tot).alias("accuracy"))
 
@@ -115,41 +125,37 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 def roc_points(scored: DataFrame, label: str = "label", score: str = "score",
                cls: str = "class") -> DataFrame:
     """Points (class, threshold, fpr, tpr) of the one-vs-rest ROC curves, a
-    point per distinct score, highest first, after the origin."""
+    point per distinct score, highest first, after the origin.  The rate of a side
+    without rows is NULL."""
     c = _roc_counts(scored, label, score, cls)
-    whole = Window.partitionBy(cls)
-    pos, neg = F.max("tp").over(whole), F.max("fp").over(whole)
-    at = c.select(cls, F.col(score).alias("threshold"), (F.col("fp") / neg).alias("fpr"),
-                  (F.col("tp") / pos).alias("tpr"))
+    at = c.select(cls, F.col(score).cast("double").alias("threshold"),
+                  F.try_divide("fp", "fp_all").alias("fpr"),
+                  F.try_divide("tp", "tp_all").alias("tpr"))
     origin = at.select(cls).distinct().select(
         cls, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return origin.unionByName(at.withColumn("threshold", F.col("threshold").cast("double")))
+    return origin.unionByName(at)
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
             cls: str = "class") -> DataFrame:
     """One-vs-rest ROC AUC per class from rows ``(class, label, score)``
-    where ``label`` is 1 for the positive class.  Rows are first counted per
-    distinct score (ties share a threshold), then TP/FP are accumulated over
-    the per-class distinct scores in descending order and integrated with the
-    trapezoid rule.  Work after the first aggregate is bounded by the number
-    of distinct scores; bucket continuous scores upstream to bound it."""
+    where ``label`` is 1 for the positive class, by the trapezoid rule over the
+    distinct scores (ties share a threshold)."""
     c = _roc_counts(scored, label, score, cls)
-    prev = Window.partitionBy(cls).orderBy(F.desc(score))
-    c = c.withColumns({"tp0": F.coalesce(F.lag("tp").over(prev), F.lit(0)),
-                       "fp0": F.coalesce(F.lag("fp").over(prev), F.lit(0))})
-    area = (F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0
+    # of the step to this score: the mean of the true positives before and after
+    area = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
     return c.groupBy(cls).agg(
-        (F.sum(area) / (F.max("tp") * F.max("fp"))).alias("auc"),
-        F.max("tp").alias("positives"), F.max("fp").alias("negatives"))
+        F.try_divide(F.sum(area), F.max("tp_all") * F.max("fp_all")).alias("auc"),
+        F.max("tp_all").alias("positives"), F.max("fp_all").alias("negatives"))
 
 
 def _roc_counts(scored: DataFrame, label: str, score: str, cls: str) -> DataFrame:
-    """Cumulative (tp, fp) at each distinct score of a class."""
-    g = scored.groupBy(cls, score).agg(F.sum(F.col(label)).alias("pos"),
-                                       F.sum(1 - F.col(label)).alias("neg"))
-    w = Window.partitionBy(cls).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    """Per class and distinct score: rows of either side there (pos, neg), at or above it
+    (tp, fp) and in all (tp_all, fp_all).  Prefix sums over ranges of (class, score):
+    no task holds a class."""
+    g = scored.groupBy(cls, score).agg(F.sum(F.col(label)).cast("long").alias("pos"),
+                                       F.sum(1 - F.col(label)).cast("long").alias("neg"))
+    return prefix_sums(g, cls, -F.col(score), {"tp": "pos", "fp": "neg"})
 
 
 def compare_models(long: DataFrame, order: list[str] | None = None, model: str = "model",
@@ -172,5 +178,8 @@ def best_model(comparison: DataFrame) -> DataFrame:
 
 
 def latest_model(registry: DataFrame, path: str = "path", saved_at: str = "saved_at") -> DataFrame:
-    """Newest entry of a model registry table (``max_by``; NULL if empty)."""
-    return registry.agg(F.max_by(path, saved_at).alias(path), F.max(saved_at).alias(saved_at))
+    """Newest entry of a model registry table (``max_by``; NULL if empty).  The
+    manifest's sequence decides where the table has it, else the time of saving."""
+    order = "sequence" if "sequence" in registry.columns else saved_at
+    newest = F.struct(order, path)
+    return registry.agg(F.max_by(path, newest).alias(path), F.max_by(saved_at, newest).alias(saved_at))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from .. import constants as K
+from .passes import summed
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -103,21 +103,41 @@ def amount_box(df: DataFrame, column: str = "amount", by: str = "category",
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns in ONE
-    aggregate, unpivoted with ``stack`` into ``(col_a, col_b, corr)``."""
+    """Pearson correlation ``(col_a, col_b, corr)`` of every pair of numeric
+    columns over the rows in which neither is NULL; NULL where it is undefined.
+
+    One pass adds up the moment matrix of all columns per partition (numbers of
+    common rows, sums, squares and products by pair), after one aggregate that centres
+    the columns, so the plan does not grow with the number of pairs."""
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    pairs = [(a, b) for a in cols for b in cols]
-    uniq = list(combinations(cols, 2))
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}")
-                    for a, b in uniq])
-    exprs = []
-    for a, b in pairs:
-        if a == b:
-            exprs.append(f"'{a}', '{b}', CAST(1.0 AS DOUBLE)")
-        else:
-            key = f"{a}__{b}" if (a, b) in uniq else f"{b}__{a}"
-            exprs.append(f"'{a}', '{b}', `{key}`")
-    return wide.selectExpr(f"stack({len(pairs)}, {', '.join(exprs)}) AS (col_a, col_b, corr)")
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    centre = [m or 0.0 for m in df.agg(*(F.avg(c) for c in x)).first()] if cols else []
+    d = len(cols)
+
+    def moments(batches):
+        total = np.zeros((4, d, d))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            here = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns], 1)
+            v = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)
+            v = np.where(here, v - np.array(centre), 0.0)
+            here = here.astype(float)
+            for i, (p, q) in enumerate(((here, here), (v, here), (v * v, here), (v, v))):
+                total[i] += p.T @ q
+        return total
+
+    n, s, ss, sp = summed(df.select(*(c.alias(f"c{i}") for i, c in enumerate(x))), moments, (4, d, d)) \
+        if cols else np.zeros((4, 0, 0))
+    with np.errstate(all="ignore"):
+        var = ss - s * s / n  # of row i's column over the rows shared with column j
+        corr = (sp - s * s.T / n) / np.sqrt(var * var.T)
+        floor = 1e-12 * np.abs(ss)
+        corr = np.where((var > floor) & (var.T > floor.T) & np.isfinite(corr), corr, np.nan)
+    np.fill_diagonal(corr, 1.0)
+    rows = [(a, b, None if np.isnan(corr[i, j]) else float(corr[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def monthly_trend(df: DataFrame, date_col: str = "date", amount_col: str = "amount") -> DataFrame:

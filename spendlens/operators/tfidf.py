@@ -15,8 +15,12 @@ smaller term.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,20 +66,31 @@ def doc_terms(df: DataFrame, id_col: str, text_col: str, p: TfidfParams) -> Data
         F.col("term").isNotNull())
 
 
-def row_weights(terms: F.Column, vocabulary: list[str], idf: list[float],
-                sublinear_tf: bool) -> F.Column:
-    """L2-normalised tf-idf of one row over a fitted vocabulary, as an array.
-    Terms outside of it are dropped first, so nothing is shuffled or grouped."""
-    if not vocabulary:
-        return F.array().cast("array<double>")
-    kept = F.filter(terms, lambda t: t.isin(vocabulary))
-    counts = F.transform(F.array(*map(F.lit, vocabulary)),
-                         lambda v: F.size(F.filter(kept, lambda t: t == v)).cast("double"))
-    tf = (lambda n: 1.0 + F.log(n)) if sublinear_tf else (lambda n: n)
-    w = F.zip_with(counts, F.array(*map(F.lit, idf)),
-                   lambda n, x: F.when(n > 0, tf(n) * x).otherwise(F.lit(0.0)))
-    return F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x, lambda s: F.transform(
-        w, lambda x: F.when(s > 0, x / F.sqrt(s)).otherwise(F.lit(0.0))))
+def sparse_weights(terms: F.Column, vocabulary: list[str], idf: list[float],
+                   sublinear_tf: bool) -> F.Column:
+    """L2-normalised tf-idf of one row over a fitted vocabulary, as a sparse vector.
+    One pass over the row's terms with a hash lookup each (Arrow batches), whatever the
+    size of the vocabulary; nothing is shuffled."""
+    place, size = {t: i for i, t in enumerate(vocabulary)}, len(vocabulary)
+    scale = np.array(idf, float)
+
+    @F.pandas_udf(VectorUDT())
+    def weigh(rows: pd.Series) -> pd.DataFrame:
+        indices, values = [], []
+        for row in rows:
+            found = Counter(map(place.get, row if row is not None else ()))
+            found.pop(None, None)
+            at = np.array(sorted(found), np.int32)
+            tf = np.array([found[i] for i in at], float)
+            w = (1.0 + np.log(tf) if sublinear_tf else tf) * scale[at]
+            indices.append(at)
+            values.append(w / np.sqrt((w * w).sum()) if len(w) else w)
+        n = len(indices)
+        return pd.DataFrame({"type": np.zeros(n, np.int8), "size": np.full(n, size, np.int32),
+                             "indices": pd.Series(indices, dtype=object),
+                             "values": pd.Series(values, dtype=object)})
+
+    return weigh(terms)
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, p: TfidfParams) -> DataFrame:

@@ -949,15 +949,16 @@ def _train_all(spark, d):
 
 @register("cross_validate")
 def _cross_validate(spark, d):
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    e = SP.with_folds(_embeddings(spark, d), "vec_id", "category", 5).cache()
-    est = MD.make_estimator("logistic_regression", e.count() * 4 // 5)
-    ev = MulticlassClassificationEvaluator(metricName="accuracy")
-    m = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                       numFolds=5, foldCol="fold", seed=MD.SEED).fit(e)
-    return spark.createDataFrame([(float(m.avgMetrics[0]), 2 * float(m.stdMetrics[0]))],
-                                 "accuracy_mean double, accuracy_2std double")
+    """M11 on the whole statement: a row per fold, with the folds' mean and spread."""
+    p = MD.cross_validation(txn(spark, d), "logistic_regression", 5)
+    return rounded(MD.fold_metrics(p).select(
+        "fold", "accuracy", "precision", "recall", "f1", "accuracy_mean", "accuracy_2std"))
+
+
+@register("cross_validate_predictions")
+def _cross_validate_predictions(spark, d):
+    """The out-of-fold prediction of every labelled row."""
+    return MD.cross_validation(txn(spark, d), "decision_tree", 5)
 
 
 def _txn_model(spark, d, model="random_forest", top_merchants=0):
@@ -1032,17 +1033,132 @@ def _create_features(spark, d):
                       F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"))
 
 
+def _model_dir(spark, kind: str) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
 @register("training_run")
 def _training_run(spark, d):
-    """Split -> fit -> evaluate; one row of weighted metrics and sizes."""
+    """Split -> fit -> cross-validate -> evaluate -> save -> record; the row names the
+    saved model, which is loaded again for its class count."""
     t = C.add_merchant(txn(spark, d))
-    r = MD.run_training(t, "random_forest")
-    m = r["metrics"]
+    r = MD.run_training(t, "decision_tree", cv_folds=5, model_dir=_model_dir(spark, "training"))
+    m, cv = r["metrics"], r["cv"]
+    loaded = MD.load_model(r["model_path"])
     return rounded(spark.createDataFrame(
         [(r["model_type"], float(m["accuracy"]), float(m["precision"]), float(m["recall"]),
-          float(m["f1"]), r["num_train"], r["num_test"], r["num_features"])],
+          float(m["f1"]), float(cv["accuracy_mean"]), float(cv["accuracy_2std"]),
+          r["num_train"], r["num_test"], r["num_features"], len(MD.class_names(loaded)),
+          r["model_path"])],
         "model_type string, accuracy double, precision double, recall double, f1 double, "
-        "num_train long, num_test long, num_features long"))
+        "cv_accuracy_mean double, cv_accuracy_2std double, num_train long, num_test long, "
+        "num_features long, num_classes int, model_path string"))
+
+
+@register("latest_model", """SELECT 'naive_bayes' AS name, CAST(2 AS BIGINT) AS sequence,
+  CAST(2 AS BIGINT) AS committed, (SELECT count(DISTINCT category) FROM ({t}SELECT category FROM txn))
+  AS num_classes""".format(t=TXN_CTE))
+def _latest_model(spark, d):
+    """Of two saved models (and one whose save stops before its commit) the newest
+    committed one, loaded."""
+    from . import registry
+    t, folder = txn(spark, d), _model_dir(spark, "models")
+    for name in ("decision_tree", "naive_bayes"):
+        MD.save_model(MD.fit_transactions(t, name), folder, name)
+    MD.fit_transactions(t, "decision_tree").write().save(f"{folder}/stopped_half_way")
+    models = MD.model_registry(spark, folder)
+    newest = registry.latest(spark, folder).first()
+    classes = len(MD.class_names(MD.load_model(newest["path"])))
+    return spark.createDataFrame([(newest["name"], newest["sequence"], models.count(), classes)],
+                                 "name string, sequence long, committed long, num_classes long")
+
+
+@register("score_job", TXN_CTE + """SELECT txn_id, count(*) AS scored FROM txn GROUP BY txn_id""")
+def _score_job(spark, d):
+    """P5 as a job that was stopped after two units and run again: rows out per row in."""
+    from . import scoring_job as SJ
+    model, t = _txn_model(spark, d, "decision_tree")
+    folder = _model_dir(spark, "score-job")
+    t.repartition(8).write.parquet(f"{folder}/statement")
+    files = SJ.list_files(spark, f"{folder}/statement")
+    SJ.score_files(spark, model, files, f"{folder}/out", 2, stop_after=2)
+    SJ.score_files(spark, model, files, f"{folder}/out", 2)
+    return SJ.scored(spark, f"{folder}/out").where(F.col("predicted_category").isNotNull()).groupBy(
+        "txn_id").agg(F.count(F.lit(1)).alias("scored"))
+
+
+@register("top3_ranking", PRED_SQL + """, ranked AS (
+  SELECT txn_id, unnest(list_reverse_sort([{s}])) AS r,
+    unnest(range(1, {k} + 1)) AS rank FROM (SELECT pp.*, cn.txn_id FROM pp JOIN cn USING (txn_id)))
+SELECT txn_id, CAST(rank AS INT) AS rank, [{c}][r.i + 1] AS category, round(r.p, 6) AS probability
+FROM ranked WHERE rank <= 3""".format(
+    s=", ".join(f"{{'p': p_{c}, 'i': {i}}}" for i, c in enumerate(CLASSES)), k=len(CLASSES),
+    c=", ".join(S.q(c) for c in CLASSES)).replace(
+    "(SELECT pp.*, cn.txn_id FROM pp JOIN cn USING (txn_id))", "pp"))
+def _top3_ranking(spark, d):
+    """P4 on a fixed array of class probabilities: ties to the higher class index."""
+    ranked = MD.with_ranking(_rule_predictions(spark, d), F.col("probability"), CLASSES)
+    return rounded(ranked.select("txn_id", F.posexplode("top_3").alias("pos", "t")).select(
+        "txn_id", (F.col("pos") + 1).alias("rank"), F.col("t.category").alias("category"),
+        F.col("t.probability").alias("probability")))
+
+
+def _component_scores(spark, d) -> DataFrame:
+    """(class, label, score): component c of an embedding as the score of class c."""
+    e = table(spark, d, "embeddings").where("label is not null")
+    parts = F.slice("embedding", 1, 10)
+    return e.select("label", F.posexplode(parts).alias("class", "score")).select(
+        "class", (F.col("label") == F.col("class")).cast("int").alias("label"),
+        F.col("score").cast("double").alias("score"))
+
+
+_COMPONENTS_SQL = """WITH rows AS (
+  SELECT CAST(i AS INT) AS class, CAST(label = i AS INT) AS y, CAST(embedding[i + 1] AS DOUBLE) AS score
+  FROM embeddings, range(10) r(i) WHERE label IS NOT NULL),
+g AS (SELECT class, score, sum(y) AS pos, sum(1 - y) AS neg FROM rows GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY class) AS p,
+    sum(neg) OVER (PARTITION BY class) AS n FROM g
+  WINDOW w AS (PARTITION BY class ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+"""
+
+register("roc_points", _COMPONENTS_SQL + """SELECT class, round(score, 6) AS threshold,
+  round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM c
+UNION ALL SELECT DISTINCT class, CAST(1e9 AS DOUBLE), 0.0, 0.0 FROM c""")(
+    lambda spark, d: rounded(M.roc_points(_component_scores(spark, d)).withColumn(
+        "threshold", F.least("threshold", F.lit(1e9)))))
+
+register("roc_auc_continuous", _COMPONENTS_SQL + """SELECT class, round(sum(neg * (tp - pos / 2.0))
+  / (max(p) * max(n)), 6) AS auc, CAST(max(p) AS BIGINT) AS positives, CAST(max(n) AS BIGINT) AS negatives
+FROM c GROUP BY class""")(lambda spark, d: rounded(M.roc_auc(_component_scores(spark, d))))
+
+
+@register("quarantine", TXN_CTE + """SELECT CASE
+  WHEN txn_id % 50 = 0 THEN 'number of fields'
+  WHEN txn_id % 41 = 0 THEN 'amount: not of type double'
+  WHEN description IS NULL THEN 'description: missing' ELSE 'good' END AS reason, count(*) AS rows
+FROM txn GROUP BY 1""")
+def _quarantine(spark, d):
+    """The statement as CSV lines, some of them malformed, scanned with a quarantine."""
+    from ..sources.files import read_quarantined
+    t, path = txn(spark, d), _model_dir(spark, "lines") + "/statement.csv"
+    amount = F.when(F.col("txn_id") % 41 == 0, F.lit("12,5x")).otherwise(F.col("amount").cast("string"))
+    more = F.when(F.col("txn_id") % 50 == 0, F.lit(",extra")).otherwise(F.lit(""))
+    quoted = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
+    lines = t.select(F.concat(F.col("txn_id").cast("string"), F.lit(","), quoted(F.col("description")),
+                              F.lit(","), quoted(amount), F.lit(","), quoted(F.col("category")),
+                              more).alias("value"))
+    header = spark.createDataFrame([("txn_id,description,amount,category",)], "value string")
+    # each file of a folder has its header line
+    lines.coalesce(1).write.text(path + "/lines")
+    whole = header.union(spark.read.text(path + "/lines")).coalesce(1)
+    whole.write.text(path + "/whole.csv")
+    good, bad = read_quarantined(spark, path + "/whole.csv", "txn_id long, description string, "
+                                 "amount double, category string", ["description"])
+    return good.select(F.lit("good").alias("reason")).unionByName(bad.select("reason")).groupBy(
+        "reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("model_info")

@@ -165,10 +165,9 @@ class TfidfModel(Model, _TfidfParams, DefaultParamsReadable, DefaultParamsWritab
         if text not in df.columns:
             df = df.withColumn(text, F.lit(None).cast("string"))
         out = TF.with_terms(df, text, self.tfidf_params())
-        w = TF.row_weights(F.coalesce("__terms", F.array().cast("array<string>")),
-                           self.vocabulary(), list(self.getOrDefault("idf")),
-                           self.getOrDefault("sublinear"))
-        return out.withColumn(self.getOrDefault("outputCol"), array_to_vector(w)).drop("__terms")
+        w = TF.sparse_weights(F.col("__terms"), self.vocabulary(), list(self.getOrDefault("idf")),
+                              self.getOrDefault("sublinear"))
+        return out.withColumn(self.getOrDefault("outputCol"), w).drop("__terms")
 
 
 class NonNegative(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,

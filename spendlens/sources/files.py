@@ -14,7 +14,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import constants as K
 
@@ -70,6 +70,47 @@ def read_statement(spark: SparkSession, path: str, schema: StructType | str | No
     return na_to_null(reader.csv(path))
 
 
+RECORD, REASON = "record", "reason"
+
+
+def read_quarantined(spark: SparkSession, path: str, schema: StructType | str,
+                     required: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """S1 without silent NULLs: (good rows with ``schema``, bad rows (record, reason)) of a
+    header CSV; together they have as many rows as the files have data lines.
+
+    A row is bad if its line has another number of fields than the schema, if a
+    value is no value of its column's type, or if a ``required`` column is empty
+    (missing-value tokens count as empty).  The first cause in this order is the reason,
+    the columns from left to right.  The record is the line, or the row as JSON."""
+    if validate_path(spark, path) != "csv":
+        raise ValueError(f"{path}: only CSV lines can be malformed")
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    line = "__line"
+    text = StructType([StructField(f.name, StringType()) for f in schema]
+                      + [StructField(line, StringType())])
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", line).option("columnPruning", False).option(
+        "nullValue", "").schema(text).csv(path)
+    rows = raw.select(*(F.when(F.col(f"`{f.name}`").isin(K.NA_TOKENS), F.lit(None)).otherwise(
+        F.col(f"`{f.name}`")).alias(f.name) for f in schema), line)  # a line may read like a token
+    causes = [F.when(F.col(line).isNotNull(), F.lit("number of fields"))]
+    typed = []
+    for f in schema:
+        c = F.col(f"`{f.name}`")
+        value = c if isinstance(f.dataType, StringType) else F.trim(c).try_cast(f.dataType)
+        typed.append(value.alias(f.name))
+        causes.append(F.when(c.isNotNull() & value.isNull(),
+                             F.lit(f"{f.name}: not of type {f.dataType.simpleString()}")))
+    causes += [F.when(F.col(f"`{c}`").isNull(), F.lit(f"{c}: missing")) for c in required]
+    judged = rows.withColumn("__reason", F.coalesce(*causes))
+    record = F.coalesce(F.col(line), F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in schema))))
+    good = judged.where(F.col("__reason").isNull()).select(*typed)
+    bad = judged.where(F.col("__reason").isNotNull()).select(
+        record.alias(RECORD), F.col("__reason").alias(REASON))
+    return good, bad
+
+
 def require_columns(df: DataFrame, required: list[str] = K.REQUIRED_COLUMNS) -> DataFrame:
     """S3: ValueError listing the missing required columns."""
     missing = [c for c in required if c not in df.columns]

@@ -34,7 +34,7 @@ def statement(spark, classes, copies=12):
     ("decision_tree", 5), ("ensemble", 2), ("ensemble", 5), ("svm", 3), ("gradient_boosting", 2)])
 def test_models_fit_save_load_and_score(spark, tmp_path, monkeypatch, name, classes):
     small = {"random_forest": {"numTrees": 5, "maxDepth": 4}, "gradient_boosting": {"maxIter": 2},
-             "svm": {"maxIter": 5}, "logistic_regression": {"maxIter": 20}}
+             "svm": {"maxIter": 5, "numFeatures": 32}, "logistic_regression": {"maxIter": 20}}
     monkeypatch.setattr(MD.K, "VOTING_PARAMS", {
         "logistic_regression": {"maxIter": 20}, "random_forest": {"numTrees": 5}})
     monkeypatch.setitem(MD.REGISTRIES, "voting", MD.K.VOTING_PARAMS)
@@ -48,10 +48,9 @@ def test_models_fit_save_load_and_score(spark, tmp_path, monkeypatch, name, clas
         assert len(rows) == 12 * classes
         for r in rows:
             assert r["predicted_category"] in MD.class_names(model)
-            if name not in ("svm", "gradient_boosting"):
-                p = [t["probability"] for t in r["top_3"]]
-                assert len(p) == min(3, classes) and p == sorted(p, reverse=True)
-                assert r["confidence"] == p[0] and 0 < p[0] <= 1
+            p = [t["probability"] for t in r["top_3"]]
+            assert len(p) == min(3, classes) and p == sorted(p, reverse=True)
+            assert r["confidence"] == p[0] and 0 < p[0] <= 1
     assert MD.score(model, df.drop("amount", "category")).count() == 12 * classes
     assert MD.score(model, df.drop("description")).where("predicted_category is null").count() == 0
 
@@ -64,7 +63,7 @@ def test_registries_are_kept_apart():
     assert (single.getNumTrees(), single.getMaxDepth()) == (100, 10)
     lr = MD.make_estimator("logistic_regression", 200, "w", registry="bakeoff")
     assert lr.getMaxIter() == 2000 and lr.getRegParam() == pytest.approx(1 / 200)
-    assert MD.make_estimator("svm", 100, registry="bakeoff").getClassifier().getRegParam() == \
+    assert MD.make_estimator("svm", 100, registry="bakeoff").getRegParam() == \
         pytest.approx(2 / 100)
     # Given parameters replace the set's, they are not merged into it.
     assert MD.make_estimator("random_forest", 100, hyperparams={"maxDepth": 3}).getNumTrees() == 20
