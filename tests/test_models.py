@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spendlens.plans import catalog as cat
 from spendlens.plans import models as MD
+from statements import statement
 
 
 def test_score_keeps_every_row_and_top3(spark, sf_dir):
@@ -18,15 +19,6 @@ def test_score_keeps_every_row_and_top3(spark, sf_dir):
 
 NAMES = ["random_forest", "logistic_regression", "gradient_boosting", "naive_bayes", "svm",
          "decision_tree", "ensemble"]
-WORDS = ["food order", "bus ticket", "movie night", "fuel refill", "rent bill", "gym pass", "book",
-         "tax"]
-
-
-def statement(spark, classes, copies=12):
-    rows = [(i * classes + c, WORDS[c] + f" {i}", None if i == 1 else float(-50 + 40 * c + i),
-             None if i == 2 else f"class{c}") for i in range(copies) for c in range(classes)]
-    return spark.createDataFrame(rows, "txn_id long, description string, amount double, category string")
-
 
 @pytest.mark.parametrize("name,classes", [
     ("random_forest", 2), ("random_forest", 5), ("random_forest", 8), ("logistic_regression", 2),
