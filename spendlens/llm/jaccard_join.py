@@ -3,9 +3,11 @@
 Two documents link when their sets of 5-word shingles have a Jaccard similarity
 of at least 0.75.  The join works on distinct sets (copies share one):
 
-1. A count sketch of all words of the corpus orders shingles rare-first: a
-   shingle ranks by the count of its rarest word, which bounds its own, then by
-   its number.  The order is the same for all documents.
+1. A count sketch of all shingles of the corpus orders them rare-first: a shingle
+   ranks by the count of its slot, then by its number.  A slot holds the same share of
+   one-time shingles as any other, up to the square root of that share, so a shingle
+   that more documents share stands behind them however large the corpus is.  The
+   order is the same for all documents.
 2. Each set emits its first n - ceil(0.75 n) + 1 shingles; a pair that links
    shares one of them.  A task emits a set it has seen before only once.
 3. Sets that share a prefix shingle meet in its list.  Candidates must pass the
@@ -18,7 +20,8 @@ of at least 0.75.  The join works on distinct sets (copies share one):
    verified once on the whole sets.
 
 Lists of thousands of near copies are not expanded into all pairs: links are
-first sought between neighbours of a list, then between each set and one
+first sought between neighbours of a list (all lists run by size and set, so a group
+of near copies has the same neighbours in each of its lists), then between each set and one
 member of the list's main class; what these links connect is one class, and only
 pairs of different classes remain.  All of those are then tested, so classes
 are exact.  ``links(verifier, all_links=True)`` skips the shortcut and returns every
@@ -32,6 +35,7 @@ component; extra columns are ignored; an empty table gives no rows.  Numbers of
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,42 +44,70 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spendlens.llm.common import bound_batches, raw_texts, written
 from spendlens.llm.components import components
-from spendlens.llm.shingles import WordHashes, shingles, window_min
+from spendlens.llm.shingles import WIDTH, WordHashes, shingles
 
-SLOTS = 1 << 19
+#: Slots of the shingle sketch (4 MB as a broadcast), and slices it travels in.
+SLOT_BITS = 20
+SLICES = 16
 #: Parities of so many ranges, in words of 64, go with each list entry.
 WORDS = 4
 #: Ids of candidate documents are broadcast up to this number; beyond, the join
 #: that fetches their texts shuffles.
 MAX_BROADCAST_IDS = 2_000_000
 
-_SLOT = np.uint64(SLOTS - 1)
+_SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
 
 
 def _schema(*fields) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
-def word_levels(docs: DataFrame) -> np.ndarray:
-    """Rarity level of each word slot: four steps per doubling of its count."""
-    schema = _schema(("slot", T.IntegerType()), ("n", T.LongType()))
-    arrow = to_arrow_schema(schema)
+def slots(numbers: np.ndarray) -> np.ndarray:
+    return (numbers >> _SLOT_SHIFT).astype(np.int64)
+
+
+def batch_shingles(words: list[np.ndarray]) -> np.ndarray:
+    """Numbers of all shingles of a batch's documents, computed on all words at once."""
+    short = [shingles(w) for w in words if 0 < len(w) < WIDTH]
+    long = [w for w in words if len(w) >= WIDTH]
+    if long:
+        ends = np.cumsum([len(w) for w in long])
+        inside = np.ones(ends[-1], bool)  # windows that start in a document's last words cross its end
+        inside[(ends[:, None] - np.arange(1, WIDTH)).ravel()] = False
+        short.append(shingles(np.concatenate(long))[inside[:ends[-1] - WIDTH + 1]])
+    return np.concatenate(short) if short else np.empty(0, np.uint64)
+
+
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """Number of shingles in each slot, over all documents.  Each task counts into an
+    array, which travels in compressed slices; a slice is added up in one place."""
+    width = (1 << SLOT_BITS) // SLICES
 
     def count(batches):
-        hashes, total = WordHashes(), np.zeros(SLOTS, np.int64)
+        hashes, total = WordHashes(), np.zeros(1 << SLOT_BITS, np.uint32)
+        for b in batches:
+            found = batch_shingles([hashes.of(t) for t in raw_texts(b.column(0))])
+            total += np.bincount(slots(found), minlength=len(total)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(SLICES), pa.int32()),
+             pa.array([zlib.compress(x.tobytes(), 1) for x in total.reshape(SLICES, width)])],
+            ["slice", "counts"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            words = np.concatenate([hashes.of(t) for t in raw_texts(b.column(0))])
-            total += np.bincount((words & _SLOT).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])],
-                                         schema=arrow)
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x), np.uint32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()],
+                                                         pa.binary())], ["slice", "counts"])
 
-    level = F.floor(F.log2(F.sum("n")) * 4).cast("byte")
-    found = docs.select("text").mapInArrow(count, schema).groupBy("slot").agg(
-        level.alias("level")).toArrow()
-    levels = np.zeros(SLOTS, np.uint8)
-    levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
-    return levels
+    schema = "slice int, counts binary"
+    out = np.zeros((SLICES, width), np.uint32)
+    for r in docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(
+            add, schema).collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.ravel()
 
 
 def set_id(numbers: np.ndarray) -> int:
@@ -104,17 +136,16 @@ def document_sets(docs: DataFrame) -> DataFrame:
     """Per document: size and id of its set; prefix and range counts with the
     first document of each set that a task sees.  Rows without id carry none, as
     they do not join."""
-    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
     arrow = to_arrow_schema(SETS)
 
     def describe(batches):
-        hashes, seen, level = WordHashes(), set(), levels.value
+        hashes, seen, often = WordHashes(), set(), counts.value
         for b in batches:
             sizes, ids, prefixes, parity = [], [], [], []
             for named, text in zip(b.column(0).is_valid().to_pylist(), raw_texts(b.column(1)),
                                    strict=True):
-                words = hashes.of(text)
-                numbers, first = np.unique(shingles(words), return_index=True)
+                numbers = np.unique(shingles(hashes.of(text)))
                 n = len(numbers)
                 key = set_id(numbers) if n else None
                 sizes.append(n)
@@ -124,9 +155,8 @@ def document_sets(docs: DataFrame) -> DataFrame:
                     parity.append(None)
                     continue
                 seen.add(key)
-                rarity = window_min(level[(words & _SLOT).astype(np.int64)])[first]
                 keep = n - (3 * n + 3) // 4 + 1
-                order = np.lexsort((numbers, rarity))[:keep]
+                order = np.argsort(often[slots(numbers)], kind="stable")[:keep]  # ties by number
                 prefixes.append(numbers[order].view(np.int64))
                 parity.append(parities(numbers).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -158,7 +188,7 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
     entries = sets.where(F.col("prefix").isNotNull()).select(
         "set_id", "n", F.posexplode("prefix").alias("pos", "h")).select(
         "h", "set_id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    ordered = Window.partitionBy("h").orderBy("at", "set_id")
+    ordered = Window.partitionBy("h").orderBy(F.shiftright("at", 32), "set_id")
     once = entries.withColumn("before", F.lag("set_id").over(ordered)).where(
         F.col("before").isNull() | (F.col("before") != F.col("set_id"))).drop("before")
     # The sorted neighbours tell whether a list has two entries.
@@ -329,35 +359,79 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach), set_id and
+    class (a set of it) of every document."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(document_sets(docs), "join-documents")
     verifier = Verifier(docs.where(F.col("doc_id").isNotNull()),
                         sets.where(F.col("doc_id").isNotNull()))
     found = links(verifier)
-    classes = components(found.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")))
-    # A set stands for all its copies: its class is that of its first document.
-    by_set = written(verifier.meta.join(classes, F.col("doc") == F.col("node"), "left").select(
-        "set_id", F.coalesce("component", "doc").alias("component")), "join-classes")
+    # Classes are built on sets: rows that share an id but not a text stay apart.
+    linked = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    classes = verifier.meta.join(linked, F.col("set_id") == F.col("node"), "left").select(
+        "set_id", "doc", F.coalesce("component", "set_id").alias("class"))
+    first = classes.groupBy("class").agg(F.min("doc").alias("component"))
+    by_set = written(classes.join(first, "class").select("set_id", "component", "class"),
+                     "join-classes")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id").join(
-        by_set, "set_id", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+        by_set, "set_id", "left").select("doc_id", "n_shingles", own.alias("component_id"), "set_id", "class")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
+    return classified(docs).drop("set_id", "class")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The document of smallest id of each class, columns as they came; of rows
-    with equal ids one stays, documents without words or id all stay."""
-    classes = written(near_duplicates(docs), "join-result")
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
-    repeated = classes.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(
-        "doc_id").count().where("count > 1").select("doc_id")
+    """The document of smallest id of each class, columns as they came (whatever their
+    names).  Rows that share an id are judged each by its own text, and of a class's rows
+    with that id one stays; documents without words or id all stay."""
+    classes = written(classified(docs), "join-result")
+    known = classes.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
+    repeated = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    gone = known.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     if repeated.isEmpty():
-        return kept
+        return _matching(docs, _few(gone), "left_anti")
     repeated = _few(repeated)
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).withColumn(
-        "_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(
-        F.col("_copy") == 1).drop("_copy")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    single = _matching(_matching(docs, repeated, "left_anti"),
+                       _few(gone.join(repeated, "doc_id", "left_anti")), "left_anti")
+    # Of the rows with a class's smallest id those of one set stay.
+    stay = known.where(F.col("doc_id") == F.col("component_id")).join(
+        repeated, "doc_id", "left_semi").groupBy("doc_id", "class").agg(
+        F.min("set_id").alias("set_id"))
+    return single.unionByName(_one_of_each(_matching(docs, repeated, "left_semi"), stay))
+
+
+def quoted(df: DataFrame) -> list:
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+
+
+def _matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join by id; ``docs`` may have columns of any name."""
+    return docs.join(ids, docs["doc_id"].cast("long") == ids["doc_id"], how).select(*quoted(docs))
+
+
+def _one_of_each(rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """Of ``rows``, whose ids repeat, the first of each (doc_id, set_id) of ``stay``, and all
+    rows without words.  Rows are grouped by id, text and set only, so the other
+    columns may have any name."""
+    packed = rows.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"),
+                         F.struct(*quoted(rows)).alias("row"))
+    schema = T.StructType([*packed.schema.fields, T.StructField("s", T.LongType())])
+
+    def name(batches):
+        hashes = WordHashes()
+        for b in batches:
+            found = [np.unique(shingles(hashes.of(t))) for t in raw_texts(b.column(1))]
+            ids = pa.array([set_id(x) if len(x) else None for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=["id", "t", "row", "s"])
+
+    named = packed.mapInArrow(name, schema)
+    at = named.withColumn("place", F.row_number().over(
+        Window.partitionBy("id", "s").orderBy("t", F.xxhash64("row"))))
+    own = stay.select(F.col("doc_id").alias("id"), F.col("set_id").alias("s"))
+    first = at.where(F.col("place") == 1).join(own, ["id", "s"], "left_semi").select("row.*")
+    return at.where(F.col("s").isNull()).select("row.*").unionByName(first)

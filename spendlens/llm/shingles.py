@@ -52,13 +52,3 @@ def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
         for i in range(width):
             h = mixed(h * _ODD + words[i:i + n])
         return h
-
-
-def window_min(x: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Smallest value of each run of ``width`` (of all, if fewer)."""
-    width = min(width, len(x))
-    n = len(x) - width + 1
-    low = x[:n].copy()
-    for i in range(1, width):
-        np.minimum(low, x[i:i + n], out=low)
-    return low

@@ -192,3 +192,49 @@ def test_small_and_empty_tables(spark):
     assert as_rows(pivot_topk.search(df)) == plain_top(few)
     assert pivot_topk.search(df.limit(0)).count() == 0
     assert pivot_topk.search(df.where("vec_id = 0")).count() == 0
+
+
+def test_keep_first_judges_rows_of_one_id_by_their_texts(spark):
+    a, x = "alpha beta gamma delta epsilon zeta eta theta iota", "one two three four five six seven"
+    rows = [(1, a), (5, a), (5, x), (5, x), (7, a + " kappa"), (7, x + " eight nine ten"), (9, None),
+            (9, ""), (None, a), (None, None)]
+    docs = spark.createDataFrame([(*r, 1, "q", "s") for r in rows],
+                                 "doc_id long, text string, _copy int, `a.b` string, set_id string")
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (5, x), (7, x + " eight nine ten"), (9, None), (9, ""),
+                          (None, a), (None, None)], key=str)
+
+
+def test_one_id_with_several_texts_of_a_class_keeps_one_row(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, a), (1, a + " more"), (2, a), (1, "quite another text with words of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_join.keep_first(docs).collect()]
+    assert len(got) == 2 and all(r[0] == 1 for r in got) and rows[3] in got
+
+
+def test_shared_passages_stand_behind_one_time_shingles(spark):
+    """The order is by shingles: a passage of common words that many documents share
+    does not enter prefixes that hold one-time shingles of the same words."""
+    r = random.Random(8)
+    vocab = [f"c{i}" for i in range(30)]
+    passage = [r.choice(vocab) for _ in range(60)]
+    rows = [(i, " ".join([r.choice(vocab) for _ in range(150)] + passage)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = jaccard_join.document_sets(docs).where("prefix is not null").cache()
+    lists = jaccard_join.prefix_lists(sets)
+    assert lists.count() < 300  # a word order gave each passage shingle a list of 300
+    got = jaccard_join.near_duplicates(docs).collect()
+    assert all(x["component_id"] == x["doc_id"] for x in got)
+    sets.unpersist()
+
+
+def test_batch_shingles_equal_single_ones():
+    from spendlens.llm.shingles import WordHashes, shingles
+    h = WordHashes()
+    words = [h.of(t.encode()) for t in ("", "a", "a b c d", "a b c d e", "x " * 30, "p q r s t u v")]
+    want = np.sort(np.concatenate([shingles(w) for w in words]))
+    assert (np.sort(jaccard_join.batch_shingles(words)) == want).all()
+    assert not len(jaccard_join.batch_shingles([])) and len(jaccard_join.batch_shingles(words[1:2])) == 1
