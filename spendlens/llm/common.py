@@ -57,6 +57,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def under_plain_names(docs: DataFrame, used: tuple[str, ...], fn) -> DataFrame:
+    """``fn(docs)`` for an ``fn`` that keeps the columns of its input: columns other than
+    ``used`` bear plain names meanwhile, so they may have any name (dots, or names that
+    ``fn`` uses itself) and come back as they were."""
+    inner = [c if c in used else f"x{i}" for i, c in enumerate(docs.columns)]
+    return fn(docs.toDF(*inner)).select(*inner).toDF(*docs.columns)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Strings of a batch column; NULL counts as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spendlens.llm.common import bound_batches, raw_texts, written
+from spendlens.llm.common import bound_batches, raw_texts, under_plain_names, written
 
 WINDOW = 10
 MAX_BROADCAST_BYTES = 32 << 20
@@ -154,9 +154,8 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """Documents without a hit word, columns as they came."""
-    marked = scan(docs, benchmark, **kw)
-    return marked.where(F.col("_dc_hits").isNull()).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return under_plain_names(docs, (kw.get("text_col", "text"),), lambda rows: scan(
+        rows, benchmark, **kw).where(F.col("_dc_hits").isNull()))
 
 
 def cut_spans(text: str, hits: bytes | None) -> str:
@@ -180,8 +179,7 @@ def cut_spans(text: str, hits: bytes | None) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """All documents, hit spans cut out of their texts."""
-    marked = scan(docs, benchmark, text_col=text_col, **kw)
     cut = F.udf(cut_spans, "string", useArrow=False)
-    return marked.withColumn(
-        text_col, F.when(F.col("_dc_hits").isNull(), F.col(text_col)).otherwise(
-            cut(text_col, "_dc_hits"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return under_plain_names(docs, (text_col,), lambda rows: scan(
+        rows, benchmark, text_col=text_col, **kw).withColumn(text_col, F.when(
+            F.col("_dc_hits").isNull(), F.col(text_col)).otherwise(cut(text_col, "_dc_hits"))))

@@ -51,7 +51,7 @@ _FRAME = frozenset("html table tbody tfoot thead tr".split())
 CONTAINER = frozenset("article body center div main section td".split())
 RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
 SKIPPED = frozenset(
-    "aside audio button canvas dialog embed footer form head iframe input label menu nav noembed "
+    "aside audio button canvas dialog embed footer head iframe input label menu nav noembed "
     "noframes noscript object script search select style svg template textarea title video xmp"
     .split())
 SKIPPED_ROLES = frozenset(
@@ -64,6 +64,14 @@ BOILERPLATE = frozenset(
     "pagination paywall popup print promo promotion recommended related replies respond search "
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
     "topbar widget widgets".split())
+#: Words beside which a boilerplate word still names boilerplate ("comment-list",
+#: "site-header"); beside any other word it is a topic ("comment-on-law").
+STRUCTURE = frozenset(
+    "area article articles bar block bottom box btn button buttons col column container content "
+    "counter desktop entry feed fixed form frame global group holder icons inline inner item items "
+    "layer left link links list main mobile module more news outer page panel post posts primary "
+    "region right row secondary section side site slot sticky story tag teaser text this thread "
+    "title top tools unit user view wrap wrapper".split())
 #: An open paragraph or item ends where one of these begins.
 ENDS_P = BLOCK - frozenset("caption head html legend option summary tbody td tfoot th thead tr "
                            "body title".split())
@@ -79,6 +87,7 @@ _ATTRIBUTE = re.compile(
 _NAME = re.compile(r"[a-z]+")
 #: Names that say what a page's layout has or lacks.
 _LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S*")
+_OUTSIDE = BOILERPLATE | {"header"}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -95,12 +104,17 @@ def is_boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 def is_named_boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Boilerplate by class or id."""
+    """Boilerplate by class or id: a name of boilerplate words and at most words of
+    structure beside them.  A form counts as such a part, as it may hold the page."""
     if tag in ("html", "body", "article", "main"):
         return False
+    marks = BOILERPLATE if in_article else _OUTSIDE
     given = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    names = set(_NAME.findall(_LAYOUT.sub(" ", given)))
-    return not names.isdisjoint(BOILERPLATE) or "header" in names and not in_article
+    for name in _LAYOUT.sub(" ", given).split():
+        words = {w for w in _NAME.findall(name) if len(w) > 1}
+        if not words.isdisjoint(marks) and words <= marks | STRUCTURE:
+            return True
+    return tag == "form"
 
 
 def label(tag: str, attrs: dict[str, str]) -> str:
@@ -289,12 +303,13 @@ class Page:
         return self._widened(box)
 
     def _widened(self, box: int) -> int:
-        """The highest box around ``box`` that adds prose of its own, or other
-        boxes a quarter as long as the longest, so parts of one article."""
+        """The highest box around ``box`` that adds prose of its own, sections beside a
+        section, or other boxes a quarter as long as the longest: parts of one article."""
         best, inner, up = box, box, self.boxes[box].parent
         longest = self.boxes[box].text
         while up >= 0:
-            others = [b.text for i, b in enumerate(self.boxes) if b.parent == up and i != inner]
+            others = [longest if b.text and b.tag == self.boxes[inner].tag == "section" else b.text
+                      for i, b in enumerate(self.boxes) if b.parent == up and i != inner]
             if longest and (self.boxes[up].prose or 4 * max(others, default=0) >= longest):
                 best = up
             inner, up = up, self.boxes[up].parent

@@ -240,16 +240,20 @@ def share_ranks(spark, path: str, pattern: str):
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
                      ids_col: str = "token_ids", decoded_sha_col: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col`` binary (little-endian unsigned 32-bit ids) and,
-    if named, the digest of the bytes the ids decode to."""
+    if named, the digest of the bytes the ids decode to; columns of these names are
+    replaced."""
     spark = docs.sparkSession
+    docs = docs.select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns
+                         if c not in (ids_col, decoded_sha_col)))
     bound_batches(spark)
     shared, key = share_ranks(spark, rank_path, pattern)
-    extra = [T.StructField(ids_col, T.BinaryType())]
+    names, n, at = docs.columns, len(docs.columns), docs.columns.index(text_col)
+    extra = [T.StructField("ids", T.BinaryType())]
     if decoded_sha_col:
-        extra.append(T.StructField(decoded_sha_col, T.StringType()))
+        extra.append(T.StructField("sha", T.StringType()))
+    docs = docs.toDF(*(f"x{i}" for i in range(n)))  # the task finds columns by place
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields] + extra)
     arrow = to_arrow_schema(schema)
-    n, at = len(docs.columns), docs.columns.index(text_col)
 
     def encode(batches):
         codec = _codec(shared, key)
@@ -262,7 +266,8 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text_col: st
                                         arrow.field(n + 1).type))
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.mapInArrow(encode, schema)
+    return docs.mapInArrow(encode, schema).toDF(
+        *names, ids_col, *([decoded_sha_col] if decoded_sha_col else []))
 
 
 def decode_documents(encoded: DataFrame, rank_path: str, pattern: str,

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from spendlens.llm import fm
-from spendlens.llm.common import held_out
+from spendlens.llm.common import held_out, under_plain_names
 
 PARAMS = fm.FitParams()
 THRESHOLD = 0.3
@@ -68,8 +68,11 @@ def score(docs: DataFrame, model: fm.Model, score_col: str = "score") -> DataFra
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents the classifier keeps, columns as they came."""
-    kept = score(docs, fit(docs, labels), "_fm_quality").where(F.col("_fm_quality") >= threshold)
-    return kept.drop("_fm_quality")
+    def kept(rows: DataFrame) -> DataFrame:
+        return score(rows, fit(rows, labels), "_fm_quality").where(
+            F.col("_fm_quality") >= threshold)
+
+    return under_plain_names(docs, ("doc_id", "text", "n_chars"), kept)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -54,13 +54,14 @@ class ChunkEncoder:
 
     A byte-level tokenizer cuts before each single blank that follows and
     precedes a non-blank, so such texts can be encoded chunk by chunk; other
-    texts go to the library whole."""
+    texts, and those that hold the string of an added token, go to the library whole."""
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        #: Strings that the library takes out of a text before it splits the rest.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -74,7 +75,7 @@ class ChunkEncoder:
         out: list[bytes | None] = [None] * len(batch)
         chunked, whole = [], []
         for i, text in enumerate(batch):
-            if blank_separated(text):
+            if blank_separated(text) and not any(map(text.__contains__, self.added)):
                 first, *rest = text.split(" ")
                 chunked.append((i, first, rest))
             else:

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from spendlens.llm import fm
-from spendlens.llm.common import held_out
+from spendlens.llm.common import held_out, under_plain_names
 
 PARAMS = fm.FitParams()
 THRESHOLD = 0.7
@@ -56,8 +56,10 @@ def score(docs: DataFrame, model: fm.Model, score_col: str = "score") -> DataFra
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents the classifier does not call toxic, columns as they came."""
-    scored = score(docs, fit(docs, labels), "_fm_toxic")
-    return scored.where(F.col("_fm_toxic") < threshold).drop("_fm_toxic")
+    def kept(rows: DataFrame) -> DataFrame:
+        return score(rows, fit(rows, labels), "_fm_toxic").where(F.col("_fm_toxic") < threshold)
+
+    return under_plain_names(docs, ("doc_id", "text"), kept)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:

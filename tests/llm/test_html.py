@@ -42,6 +42,33 @@ def test_layout_names_do_not_drop_the_article(source, text):
     assert Page(source).extract([]) == text
 
 
+SIXTY = " ".join(f"w{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("source,text", [
+    (f"<article><h1>T</h1><div class='comment-on-law'>{SIXTY}</div><p>end</p></article>",
+     f"T {SIXTY} end"),
+    (f"<article><div id='social-history'>{SIXTY}</div></article>", SIXTY),
+    (f"<main><section id='search-history'><p>{SIXTY}</p></section></main>", SIXTY),
+    (f"<article><p>a</p><div class='notice-of-motion'>{SIXTY}</div><p>b</p></article>", f"a {SIXTY} b"),
+    (f"<body><form id=aspnetForm><nav>n</nav><article><p>{SIXTY}</p></article></form></body>", SIXTY),
+    (f"<body><form><div class=x><p>{SIXTY}</p></div></form></body>", SIXTY),
+    (f"<article><p>{SIXTY}</p><form><p>Your mail</p></form><div class='comment-list'>c</div>"
+     "<div id='ad-300x250'>buy</div><div class='post-comments'>d</div>"
+     "<div class='related-articles'>r</div></article>", SIXTY),
+    (f"<body><div class='site-header'>h</div><div><p>{SIXTY}</p></div></body>", SIXTY),
+    ("<body><div><section>" + f"<p>{SIXTY} {SIXTY}</p>" * 3 + "</section><section><p>short end</p>"
+     "</section></div></body>", " ".join([f"{SIXTY} {SIXTY}"] * 3) + " short end"),
+])
+def test_names_of_topics_and_forms_around_the_page_are_kept(source, text):
+    assert Page(source).extract([]) == text
+
+
+def test_a_very_long_page():
+    page = "<body><nav>n</nav><article>" + f"<p>{SIXTY}</p>" * 20_000 + "</article></body>"
+    assert Page(page).extract([]) == " ".join([SIXTY] * 20_000)
+
+
 BODY = "word " * 200
 
 

@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spendlens.llm import quality_fm, queries, toxicity_fm
@@ -66,3 +67,19 @@ def test_run_is_the_stages_in_order(spark, tmp_path):
     got = rows_of(corpus_pipeline.run(spark, f"file://{tmp_path}"))
     assert set(got) == {1, 3, 4}
     assert got[3]["token_ids"] == b"" and got[1]["token"] == 0
+
+
+def test_stages_take_columns_of_any_name(spark, sf_dir):
+    """Dots, and the names that the stages use themselves."""
+    odd = ["a.b", "_fm_toxic", "_fm_quality", "_copy", "set_id", "component_id", "class", "_dc_hits",
+           "_dc_words", "x0", "token_ids", "score"]
+    docs = table(spark, sf_dir, "documents").limit(60)
+    for name in odd:
+        docs = docs.withColumn(name, F.lit("kept"))
+    docs = written(docs.unionByName(docs.limit(3)), "test-odd")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, docs, sf_dir), "test-odd")
+        assert after.columns == docs.columns and 0 < after.count() <= docs.count()
+        assert after.where(" or ".join(f"`{n}` <> 'kept'" for n in odd)).count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.count() == docs.count() and last.columns.count("token_ids") == 1

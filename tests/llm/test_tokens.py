@@ -101,21 +101,25 @@ def test_encode_and_decode_edge_rows(spark):
     back = prefix_bpe.decode_documents(done, queries.MULTI_RANKS, P.PATTERN).collect()
     assert sorted(bytes(r["decoded"]).decode() for r in back) == sorted(t or "" for _, t in rows)
     assert {r["ids"] for r in back} == {"kept"}
+    twice = prefix_bpe.encode_documents(done.withColumn("a.b", F.lit(1)), queries.MULTI_RANKS, P.PATTERN,
+                                        decoded_sha_col="ids")  # both names are taken
+    assert sorted(twice.columns) == sorted(["doc_id", "text", "a.b", "token_ids", "ids"])
+    assert {bytes(r["token_ids"]) for r in twice.collect()} == {
+        bytes(r["token_ids"]) for r in done.collect()}
     assert prefix_bpe.digests(docs.limit(0), queries.MULTI_RANKS, P.PATTERN).count() == 0
 
 
 @pytest.fixture(scope="module")
 def byte_bpe():
-    t = Tokenizer.from_file(queries.BYTE_BPE_JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.BYTE_BPE_JSON)
 
 
 def test_chunk_encoder_equals_library(byte_bpe):
     with open(queries.BYTE_BPE_JSON, encoding="utf-8") as f:
         own = token_files.ChunkEncoder(f.read())
     for seed in (1, 2):
-        batch = made_up(seed) + ["", " ", "a b c", "a b c"]
+        batch = made_up(seed) + ["", " ", "a b c", "a b c", "<|endoftext|>", "a <|endoftext|> b",
+                                 "a b<|endoftext|>c d", "<|endoftext", "x <| endoftext |> y"]
         expected = [np.array(e.ids, "<u4").tobytes()
                     for e in byte_bpe.encode_batch(batch, add_special_tokens=False)]
         assert own.encode_all(batch) == expected
