@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from itertools import chain
@@ -49,12 +50,16 @@ FILE_SCHEMA = T.StructType([
     T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
 
+#: A blank between two characters that are no white space.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
 class ChunkEncoder:
     """The library's encoder with a bounded memory of blank-separated chunks.
 
     A byte-level tokenizer cuts before each single blank that follows and
-    precedes a non-blank, so such texts can be encoded chunk by chunk; other
-    texts, and those that hold the string of an added token, go to the library whole."""
+    precedes a non-blank, so texts can be encoded chunk by chunk (a chunk may hold other
+    white space); texts that hold the string of an added token go to the library whole."""
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,11 +80,11 @@ class ChunkEncoder:
         out: list[bytes | None] = [None] * len(batch)
         chunked, whole = [], []
         for i, text in enumerate(batch):
-            if blank_separated(text) and not any(map(text.__contains__, self.added)):
-                first, *rest = text.split(" ")
-                chunked.append((i, first, rest))
-            else:
+            if any(map(text.__contains__, self.added)):
                 whole.append(i)
+                continue
+            first, *rest = text.split(" ") if blank_separated(text) else _CUT.split(text)
+            chunked.append((i, first, rest))
         for i, ids in zip(whole, self._library([batch[i] for i in whole]), strict=True):
             out[i] = ids
         known = self.known
