@@ -313,8 +313,8 @@ def category_tips(df: DataFrame, expense_sign: int = 1, tips: dict = K.CATEGORY_
 
 def analyze_spending(df: DataFrame, monthly_income: float | None = None,
                      expense_sign: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(insights, summary).  The input is cached because five rules read it."""
-    df = df.cache()
+    """(insights, summary).  The rules read the input several times; a caller that gives a
+    costly plan persists it first, and releases it afterwards."""
     return all_insights(df, monthly_income, expense_sign), summary_stats(df, expense_sign)
 
 
