@@ -13,7 +13,7 @@ class_size / buckets of them, are shuffled and ranked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BUCKETS = 1 << 20   # rows per (class, bucket) stay small even for a hot class
@@ -65,11 +65,20 @@ def stratified_sizes(df: DataFrame, label: str = "category", test_size: float =
                     (F.col("n") - n_test).cast("long").alias("n_train"))
 
 
+def md5_draw(id_col: str, seed: int) -> Column:
+    """32 bits of the MD5 of ``id:seed``: an order that other engines can draw too,
+    for splits that have to be repeated outside Spark."""
+    digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def stratified_split(df: DataFrame, id_col: str, label: str = "category",
                      test_size: float = 0.2, seed: int = 42,
-                     buckets: int = HASH_BUCKETS) -> DataFrame:
-    """M2: adds boolean ``is_test``; exact per-class sizes of ``stratified_sizes``."""
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
+                     buckets: int = HASH_BUCKETS, draw: Column | None = None) -> DataFrame:
+    """M2: adds boolean ``is_test``; exact per-class sizes of ``stratified_sizes``.
+    Rows of a class go to test in the order (``draw`` modulo ``buckets``, ``draw``,
+    id); the default draw is a seeded hash of the id."""
+    h = F.xxhash64(F.col(id_col), F.lit(seed)) if draw is None else draw
     d = labelled(df, label).withColumns({"__h": h, "__b": F.pmod(h, F.lit(buckets))})
     # order inside a class: (bucket, hash, id) -- bucket-major so that bucket
     # counts give every row's rank offset
@@ -107,11 +116,11 @@ def with_class_weights(df: DataFrame, label: str = "category", out: str = "weigh
 
 
 def with_folds(df: DataFrame, id_col: str, label: str = "category", k: int = 5,
-               seed: int = 42) -> DataFrame:
+               seed: int = 42, draw: Column | None = None) -> DataFrame:
     """Stratified fold id in [0, k): per class, rows ordered by a seeded
-    hash are dealt round-robin.  The round-robin position is the rank, computed
-    with the same bucketed scheme as the split (no whole-class sort)."""
-    h = F.xxhash64(F.col(id_col), F.lit(seed + 1))
+    hash (or by ``draw``) are dealt round-robin.  The round-robin position is the
+    rank, computed with the same bucketed scheme as the split (no whole-class sort)."""
+    h = F.xxhash64(F.col(id_col), F.lit(seed + 1)) if draw is None else draw
     d = labelled(df, label).withColumns({"__h": h, "__b": F.pmod(h, F.lit(HASH_BUCKETS))})
     bc = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__bn"))
     wc = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -778,6 +778,29 @@ register("stratified_split", SIZES_SQL + """SELECT category, n_test AS test_rows
         F.count_if(F.col("is_test")).alias("test_rows"),
         F.count_if(~F.col("is_test")).alias("train_rows")))
 
+
+
+def _draw_sql(seed: int) -> str:
+    return f"CAST('0x' || substr(md5(concat(txn_id, ':{seed}')), 1, 8) AS BIGINT)"
+
+
+# Which rows, not only how many: the draw is one that SQL can repeat.
+register("stratified_split_rows", SIZES_SQL + f""", r AS (SELECT txn_id, category,
+  row_number() OVER (PARTITION BY category ORDER BY {_draw_sql(42)} % {SP.HASH_BUCKETS},
+    {_draw_sql(42)}, txn_id) AS rk FROM txn WHERE category IS NOT NULL)
+SELECT txn_id, r.category, r.rk <= s.n_test AS is_test
+FROM r JOIN sizes s ON r.category = s.category""")(
+    lambda spark, d: SP.stratified_split(
+        txn(spark, d), "txn_id", draw=SP.md5_draw("txn_id", 42)).select(
+        "txn_id", "category", "is_test"))
+
+register("cv_fold_rows", TXN_CTE + f"""SELECT txn_id, category, CAST((row_number() OVER (
+  PARTITION BY category ORDER BY {_draw_sql(43)} % {SP.HASH_BUCKETS}, {_draw_sql(43)}, txn_id) - 1)
+  % 5 AS INTEGER) AS fold FROM txn WHERE category IS NOT NULL""")(
+    lambda spark, d: SP.with_folds(
+        txn(spark, d), "txn_id", draw=SP.md5_draw("txn_id", 43)).select(
+        "txn_id", "category", "fold"))
+
 register("class_weights", TXN_CTE + """SELECT category, n, round(sum(n) OVER () / (count(*) OVER ()
   * n), 6) AS weight FROM (SELECT category, count(*) AS n FROM txn GROUP BY category)""")(
     lambda spark, d: rounded(SP.class_weights(txn(spark, d))))

@@ -37,6 +37,31 @@ def test_split_sizes_hold_with_few_and_many_buckets(spark, monkeypatch, limit):
         assert {tuple(r) for r in got.collect()} == {tuple(r) for r in again.collect()}
 
 
+def test_drawn_splits_can_be_repeated_outside_spark(spark):
+    import hashlib
+
+    df = labelled_rows(spark)
+
+    def order(i, seed):
+        h = int(hashlib.md5(f"{i}:{seed}".encode()).hexdigest()[:8], 16)
+        return h % 7, h, i
+
+    classes = {}
+    for r in df.where("category IS NOT NULL").collect():
+        classes.setdefault(r["category"], []).append(r["id"])
+    sizes = {r["category"]: r["n_test"] for r in SP.stratified_sizes(df).collect()}
+    want = {i for c, ids in classes.items()
+            for i in sorted(ids, key=lambda i: order(i, 42))[:sizes[c]]}
+    got = SP.stratified_split(df, "id", buckets=7, draw=SP.md5_draw("id", 42))
+    assert {r["id"] for r in got.where("is_test").collect()} == want
+    folds = SP.with_folds(df, "id", k=3, draw=SP.md5_draw("id", 43)).collect()
+    for c, ids in classes.items():
+        own = sorted((r["id"] for r in folds if r["category"] == c),
+                     key=lambda i: (order(i, 43)[1] % SP.HASH_BUCKETS, order(i, 43)[1], i))
+        assert [r["fold"] for i in own for r in folds if r["id"] == i] == [
+            k % 3 for k in range(len(ids))]
+
+
 def test_partial_repair_draws_rows_apart(spark):
     df = spark.range(1000).select("id", F.lit("swiggy food order").alias("description"),
                                   F.lit("x").alias("merchant"), F.lit("bills").alias("category"))
