@@ -8,7 +8,10 @@ are hashed words (presence; CRC-32 modulo ``slots``) and dense statistics.
 Fitting, all in Spark: a bounded sample of the labelled rows (``sample_rows``
 expected, chosen by a hash of the id) becomes a table of features; a slot's
 association with the label is counted over that table, and the ``max_words``
-slots of largest |z| of at least ``min_z`` are kept; then ``rounds`` of local
+slots of largest |z| of at least ``min_z`` are kept.  A slot whose effect shows
+only beside another one has no z of its own, so the ``pair_words`` slots that vary most and
+the ``pair_strong`` strongest ones are tested in pairs, and both members of a pair of |z| of at
+least ``min_pair_z`` are kept as well.  Then ``rounds`` of local
 Adagrad run on ``shards`` of the table in parallel, and the driver averages the
 shards' weights (some thousand numbers each).  Scoring is a row-local
 projection with the weights by broadcast: no shuffle of documents.
@@ -47,6 +50,9 @@ class FitParams:
     max_words: int = 4096
     min_z: float = 4.0
     min_rows: int = 3
+    pair_words: int = 384
+    pair_strong: int = 128
+    min_pair_z: float = 6.0
     rank: int = 4
     shards: int = 8
     rounds: int = 5
@@ -193,11 +199,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, featurise: Fea
     share = positive / n
     spread = max(share * (1 - share), 1e-9)
     z = (F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * spread)
-    kept = (table.select(F.explode("words").alias("slot"), "label").groupBy("slot")
-            .agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-            .where(F.col("n") >= p.min_rows).withColumn("z", F.abs(z))
-            .where(F.col("z") >= p.min_z).orderBy(F.desc("z"), "slot").limit(p.max_words))
-    slot_at = {r["slot"]: i for i, r in enumerate(sorted(kept.collect(), key=lambda r: r["slot"]))}
+    terms = written(table.select(F.explode("words").alias("slot"), "label").groupBy("slot").agg(
+        F.count("*").alias("n"), F.sum("label").alias("pos")).where(F.col("n") >= p.min_rows)
+        .withColumn("z", F.abs(z)), "fm")
+    strong = [r["slot"] for r in terms.where(F.col("z") >= p.min_z).orderBy(
+        F.desc("z"), "slot").limit(p.max_words).collect()]
+    varied = [r["slot"] for r in terms.where(F.col("n") < n).orderBy(
+        F.desc(F.col("n") * (n - F.col("n"))), "slot").limit(p.pair_words).collect()]
+    tested = sorted({*varied, *strong[:p.pair_strong]})
+    kept = {*strong, *_in_strong_pairs(table, tested, share, p)}
+    slot_at = {s: i for i, s in enumerate(sorted(kept))}
     moments = table.select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(
         F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
     mean, scale = np.zeros(n_stats), np.ones(n_stats)
@@ -226,6 +237,53 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, featurise: Fea
                  theta[1 + d:].reshape(d, p.rank), expand)
 
 
+def _in_strong_pairs(table: DataFrame, tested: list[int], share: float,
+                     p: FitParams) -> list[int]:
+    """Slots of a pair whose product of centred inputs goes with the label.  A
+    shard returns two matrices over the tested slots (``pair_words`` +
+    ``pair_strong`` rows at most)."""
+    if len(tested) < 2:
+        return []
+    size = len(tested)
+    rows = _compact(table, {s: i for i, s in enumerate(tested)})
+    present = np.zeros(size)
+    for r in rows.select(F.explode("words").alias("i")).groupBy("i").count().collect():
+        present[r["i"]] = r["count"]
+    mean = present / max(rows.count(), 1)
+    out = T.StructType([T.StructField("shard", T.IntegerType()),
+                        T.StructField("sums", T.BinaryType()),
+                        T.StructField("squares", T.BinaryType())])
+    arrow = to_arrow_schema(out)
+
+    def add(group):
+        group = group.combine_chunks()
+        sums, squares = np.zeros((size, size)), np.zeros((size, size))
+        y = group.column("label").to_numpy() - share
+        lists = group.column("words").to_pylist()
+        for at in range(0, len(lists), 4096):
+            x = np.zeros((len(lists[at:at + 4096]), size))
+            where = ragged(lists[at:at + 4096])
+            x[where] = 1
+            x -= mean
+            marked = x * y[at:at + 4096, None]
+            sums += x.T @ marked
+            squares += (x ** 2).T @ marked ** 2
+        return pa.table({"shard": group.column("shard")[:1],
+                         "sums": [sums.astype(np.float32).tobytes()],
+                         "squares": [squares.astype(np.float32).tobytes()]}, schema=arrow)
+
+    parts = sorted(rows.groupBy("shard").applyInArrow(add, out).collect(),
+                   key=lambda r: r["shard"])
+
+    def total(name):
+        return sum(np.frombuffer(r[name], np.float32).astype(float) for r in parts).reshape(
+            size, size)
+
+    z = np.abs(total("sums")) / np.sqrt(np.maximum(total("squares"), 1.0))
+    np.fill_diagonal(z, 0)
+    return [tested[i] for i in np.flatnonzero((z >= p.min_pair_z).any(1))]
+
+
 def _local_training(shared, p: FitParams, round_no: int, schema: pa.Schema):
     def step(group):
         state, mean, scale = shared.value

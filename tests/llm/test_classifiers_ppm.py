@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from spendlens.llm import fm, ppm, quality_fm, queries, toxicity_fm
 
@@ -68,6 +69,26 @@ def test_pairs_are_learned():
     assert ((margin > 0) == (y > 0)).mean() > 0.95
 
 
+def test_fit_learns_words_that_tell_nothing_alone(spark):
+    """Equal halves for each word alone and no statistics: only the pair tells."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(6000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        noise = " ".join(rng.choices([f"w{k}" for k in range(60)], k=12))
+        rows.append((i, f"{'alpha' if a else 'one'} {'bravo' if b else 'two'} {noise}", int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int").withColumn(
+        "meta", F.lit(None).cast("long"))
+    test = F.pmod("doc_id", F.lit(4)) == 0
+
+    def describe(text, _meta=None):
+        return set(text.encode().split()), [0.0]
+
+    model = fm.fit(docs, docs.select("doc_id", "y"), "y", test, describe, 1)
+    got = fm.score(docs.where(test), model, describe).select("y", "score").collect()
+    assert sum((r["score"] > 0.5) == r["y"] for r in got) / len(got) > 0.95
+
+
 @pytest.mark.parametrize("module,columns", [(quality_fm, "quality"), (toxicity_fm, "toxic")])
 def test_classifier_edge_rows(spark, module, columns):
     docs = spark.createDataFrame(
