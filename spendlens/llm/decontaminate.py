@@ -8,8 +8,10 @@ and each window of such a run is looked up by its exact word numbers, so a hit
 needs no further proof.  Word normalisation: A-Z lower-cased, words are runs of
 ASCII letters, digits and non-ASCII characters.
 
-Size: a broadcast holds at most ``max_broadcast_bytes`` of benchmark text.  A
-larger benchmark is dealt into blocks of that size by item id, and the
+Size: the bound is on the index in memory, ``max_index_bytes``, which
+``WORD_BYTES`` a word and the text itself never exceed (a test measures it).  A
+larger benchmark is dealt by a hash into fine buckets, buckets are packed into blocks
+within the bound (an item larger than it is a block of its own), and the
 documents pass the blocks one after another; hits add up, so the result does
 not depend on the number of blocks.  There is no shuffle of documents.
 
@@ -25,6 +27,7 @@ import re
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,12 +35,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from spendlens.llm.common import bound_batches, raw_texts, under_plain_names, written
 
 WINDOW = 10
-MAX_BROADCAST_BYTES = 32 << 20
+MAX_INDEX_BYTES = 256 << 20
+#: Memory of a word with its window: number, window key, dictionary places and, for
+#: a window of several items, its set.
+WORD_BYTES = 400
+FINE_BUCKETS = 1024
 
 #: Bytes that belong to words keep their (lower) value, all others become blanks.
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80
     else 0x20 for b in range(256))
+_WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -50,15 +58,22 @@ class WindowIndex:
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int):
         self.number: dict[bytes, int] = {}
-        self.by_length: dict[int, dict[bytes, set]] = {}
+        #: Items of a window: a tuple that an item's windows share, or a set.
+        self.by_length: dict[int, dict[bytes, tuple | set]] = {}
         for item_id, text in items:
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)],
                            np.int32)
             size = min(window, len(ids))
+            own = (item_id,)
             if size:
                 found = self.by_length.setdefault(size, {})
                 for i in range(len(ids) - size + 1):
-                    found.setdefault(ids[i:i + size].tobytes(), set()).add(item_id)
+                    key = ids[i:i + size].tobytes()
+                    had = found.setdefault(key, own)
+                    if item_id not in had:
+                        if isinstance(had, tuple):
+                            had = found[key] = set(had)
+                        had.add(item_id)
 
     def hits(self, doc_words: list[bytes]) -> tuple[np.ndarray, set]:
         """Mask of hit words and the ids of items with an occurring window."""
@@ -77,25 +92,33 @@ class WindowIndex:
                     got = windows.get(ids[i:i + size].tobytes())
                     if got:
                         mask[i:i + size] = True
-                        items |= got
+                        items.update(got)
         return mask, items
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[DataFrame]:
     items = benchmark.select(F.col(id_col).cast("long").alias("item"),
                              F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // limit) or 1
-    if n == 1:
+    memory = F.octet_length("text") + WORD_BYTES * F.regexp_count("text", F.lit(_WORD_PATTERN))
+    total = items.agg(F.sum(memory)).first()[0] or 0
+    if total <= limit:
         return [items]
-    # Twice as many blocks as needed, as hashing does not deal evenly.
-    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(2 * n)) == b)
-            for b in range(2 * n)]
+    n = FINE_BUCKETS * -(-total // (limit * FINE_BUCKETS // 8))
+    placed = items.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    # Ranges of buckets within the bound: at most n sums reach the driver.
+    cuts, size = [0], 0
+    for r in placed.groupBy("bucket").agg(F.sum(memory).alias("size")).orderBy("bucket").collect():
+        if size and size + r["size"] > limit:
+            cuts.append(r["bucket"])
+            size = 0
+        size += r["size"]
+    return [placed.where((F.col("bucket") >= low) & (F.col("bucket") < high)).drop("bucket")
+            for low, high in zip(cuts, [*cuts[1:], n], strict=True)]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
          item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-         max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+         max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """``docs`` with ``_dc_words`` (count), ``_dc_hits`` (a byte per word, 1 if
     hit) and ``_dc_items`` (ids of items with occurring windows)."""
     spark = docs.sparkSession
@@ -107,7 +130,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     arrow = to_arrow_schema(schema)
     at = arrow.get_field_index(text_col)
     n_state = len(schema.fields) - 3
-    blocks = _blocks(benchmark, item_id_col, item_text_col, max_broadcast_bytes)
+    blocks = _blocks(benchmark, item_id_col, item_text_col, max_index_bytes)
     for k, block in enumerate(blocks):
         rows = [(r["item"], r["text"].encode()) for r in block.toLocalIterator()]
         shared = spark.sparkContext.broadcast(WindowIndex(rows, window))
@@ -158,9 +181,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
         rows, benchmark, **kw).where(F.col("_dc_hits").isNull()))
 
 
-def cut_spans(text: str, hits: bytes | None) -> str:
+def cut_spans(text: str | None, hits: bytes | None) -> str | None:
     """``text`` without its hit words (and what stands between two hit words)."""
-    if not hits:
+    if text is None or not hits:
         return text
     raw, out, keep = text.encode(), [], 0
     spans = [m.span() for m in _WORD.finditer(raw)]
@@ -179,7 +202,10 @@ def cut_spans(text: str, hits: bytes | None) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """All documents, hit spans cut out of their texts."""
-    cut = F.udf(cut_spans, "string", useArrow=False)
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([cut_spans(t, h) for t, h in zip(text, hits, strict=True)], dtype=object)
+
     return under_plain_names(docs, (text_col,), lambda rows: scan(
         rows, benchmark, text_col=text_col, **kw).withColumn(text_col, F.when(
             F.col("_dc_hits").isNull(), F.col(text_col)).otherwise(cut(text_col, "_dc_hits"))))

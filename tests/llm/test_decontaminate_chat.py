@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 
 import pyarrow.dataset as ds
 import pytest
@@ -66,12 +67,45 @@ def tricky():
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 30])
+def memory(index):
+    """Bytes of everything an index holds."""
+    parts = [index.number, *index.number.keys(), *index.number.values()]
+    for windows in index.by_length.values():
+        parts += [windows, *windows.keys(), *windows.values()]
+    return sum(sys.getsizeof(x) for x in {id(x): x for x in parts}.values())
+
+
+@pytest.mark.parametrize("copies", [1, 2, 7])
+def test_index_stays_within_its_bound(copies):
+    rng = random.Random(4)
+    items = []
+    for i in range(3000):
+        text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randint(1, 40)))
+        items += [(i * copies + k, text.encode()) for k in range(copies)]
+    index = decontaminate.WindowIndex(items, 10)
+    bound = sum(len(t) + decontaminate.WORD_BYTES * len(decontaminate.words(t)) for _, t in items)
+    assert memory(index) <= bound
+
+
+def test_blocks_stay_within_the_bound(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 30))))
+            for i in range(300)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    limit = 60_000
+    blocks = [b.collect() for b in decontaminate._blocks(items, "item_id", "text", limit)]
+    assert sorted((r["item"], r["text"]) for b in blocks for r in b) == rows
+    sizes = [sum(len(r["text"]) + decontaminate.WORD_BYTES * len(r["text"].split()) for r in b)
+             for b in blocks]
+    assert max(sizes) <= limit and len(blocks) <= 1.5 * sum(sizes) / limit + 1
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 15_000, 30])
 def test_edge_rows_and_blocks(spark, tricky, limit):
     docs, items = tricky
     left = spark.createDataFrame(docs, "doc_id long, text string")
     right = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.report(left, right, max_broadcast_bytes=limit)
+    got = decontaminate.report(left, right, max_index_bytes=limit)
     assert as_tuples(got) == plain_report(docs, items)
 
 
