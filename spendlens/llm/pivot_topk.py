@@ -11,17 +11,18 @@ id (a vector with a third of all rows fills many blocks), a row of the index
 table each.  Pivots are centres fitted on a bounded sample of ``SAMPLE_ROWS``
 rows; they only steer the pruning, the result is exact for any pivots.
 
-Search, for query blocks of ``QUERY_ROWS`` sent by broadcast: first each query
+Search: queries are a table too, grouped by their nearest annuli.  First each query
 scans a block of its nearest annulus, which gives a first bound on its k-th
-score; then every task expands its annuli from the nearest outwards and stops
-for a query where |d(q', p) - d(x', p)| proves that nothing in the annulus
-reaches the bound.  A task returns at most k rows per query, merged by a window
-over k rows per task.
+score.  Then groups meet ranges of blocks by a join on the annuli that the bounds
+leave open; a task has one group and one range, expands its annuli from the nearest
+outwards and stops for a query where |d(q', p) - d(x', p)| proves that nothing in
+the annulus reaches the bound.  It returns at most k rows per query, merged by a
+window over k rows per task.  Plan and jobs are the same for any number of queries.
 
 Edge cases: vectors that are NULL, hold NULL or non-finite components, or have
 no id take no part; shorter vectors count as padded with zeros; ties go to the
-smaller id; rows with the query's own id are not candidates; a query without
-candidates gives no rows; extra columns are ignored.  Scores are exact while
+smaller id; rows with the query's own id are not candidates; of rows of one id the
+least vector asks, all are candidates; a query without candidates gives no rows; extra columns are ignored.  Scores are exact while
 products of integer components sum to less than 2^53.
 """
 
@@ -39,9 +40,13 @@ SCALE = 64
 EVERY = 20
 PIVOTS = 32
 SAMPLE_ROWS = 2048
-RINGS = 16
+RINGS = 16  # of a pivot at most, and one for each RING_ROWS of its rows at most
+RING_ROWS = 64
 BLOCK_ROWS = 1024
-QUERY_ROWS = 4096
+#: Queries are cut into ``GROUPS`` groups, vectors into ``CELLS`` ranges of blocks, of
+#: (least, most) so many rows; a task holds one group and one range.
+GROUPS, GROUP_ROWS = 4, (1024, 65536)
+CELLS, CELL_ROWS = 64, (1024, 65536)
 
 
 def _schema(*fields) -> T.StructType:
@@ -54,6 +59,11 @@ PLACED = _schema(("pivot", T.IntegerType()), ("d", T.DoubleType()), ("vec_id", T
 BLOCKS = _schema(("pivot", T.IntegerType()), ("ring", T.IntegerType()), ("sub", T.IntegerType()),
                  ("low", T.DoubleType()), ("high", T.DoubleType()),
                  ("ids", T.ArrayType(T.LongType())), ("vectors", T.BinaryType()))
+HOMES = _schema(("pivot", T.IntegerType()), ("ring", T.IntegerType()), ("vec_id", T.LongType()),
+                ("v", T.ArrayType(T.DoubleType())))
+QUERIES = _schema(("g", T.LongType()), ("vec_id", T.LongType()),
+                  ("v", T.ArrayType(T.DoubleType())), ("bound", T.DoubleType()))
+OPEN = _schema(("g", T.LongType()), ("pivot", T.IntegerType()), ("ring", T.IntegerType()))
 HITS = _schema(("query_id", T.LongType()), ("vec_id", T.LongType()), ("score", T.LongType()))
 
 
@@ -150,7 +160,7 @@ class Index:
         lift = lifted(matrix(sample.column("v").combine_chunks(), self.width), radius2)
         self.pivots = pivots = fit_pivots(lift, PIVOTS)
         width = self.width
-        shared = spark.sparkContext.broadcast(pivots)
+        self.shared = shared = spark.sparkContext.broadcast(pivots)
         placed_arrow = to_arrow_schema(PLACED)
 
         def place(batches):
@@ -168,12 +178,15 @@ class Index:
         placed = written(vectors.mapInArrow(place, PLACED), "pivot-placed")
         # Annuli of equal width between a pivot's nearest and farthest vector;
         # pivots times annuli rows at most come to the driver.
-        span = placed.groupBy("pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-        at = F.floor((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RINGS)
+        span = placed.groupBy("pivot").agg(
+            F.min("d").alias("lo"), F.max("d").alias("hi"),
+            F.least(F.ceil(F.count("*") / F.lit(RING_ROWS)), F.lit(RINGS)).alias("many"))
+        at = F.floor((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("many"))
         ringed = placed.join(F.broadcast(span), "pivot").withColumn("ring", F.when(
-            F.col("hi") > F.col("lo"), F.least(at, F.lit(RINGS - 1))).otherwise(0).cast("int"))
+            F.col("hi") > F.col("lo"), F.least(at, F.col("many") - 1)).otherwise(0).cast("int"))
         rings = ringed.groupBy("pivot", "ring").agg(
             F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+        self.ring_sizes = rings = written(rings, "pivot-rings")
         self.rings = rings.collect()
         cuts = F.ceil(F.col("n") / F.lit(BLOCK_ROWS))
         sizes = F.broadcast(rings.select("pivot", "ring", cuts.alias("cuts")))
@@ -194,59 +207,134 @@ class Index:
         self.blocks = written(blocks.select("pivot", "ring", "sub", "d", "vec_id", "v").groupBy(
             "pivot", "ring", "sub").applyInArrow(pack, BLOCKS), "pivot-blocks")
 
-    def _hits(self, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int,
-              home: np.ndarray | None) -> DataFrame:
-        """Best candidates per task of the queries; only in each query's home
-        (pivot, ring), first block, if given."""
-        far = distances(np.concatenate((queries, np.zeros((len(queries), 1))), 1), self.pivots)
-        norm2 = (queries ** 2).sum(1) + self.radius2
-        shared = self.spark.sparkContext.broadcast((ids, queries, bound, far, norm2, home))
-        arrow, width = to_arrow_schema(HITS), self.width
-
-        def seek(batches):
-            ids, queries, bound, far, norm2, home = shared.value
-            top = Top(bound, k)
+    def homes(self, queries: DataFrame, k: int) -> DataFrame:
+        """(g, pivot, ring, vec_id, v): each query's nearest annulus of more than 2 k rows
+        and its group, groups being ranges of annuli, so that their queries lie together."""
+        big = [r for r in self.rings if r["n"] > 2 * k] or self.rings
+        at = np.array([r["pivot"] for r in big]), np.array([r["ring"] for r in big])
+        low, high = (np.array([r[c] for r in big]) for c in ("low", "high"))
+        width, shared = self.width, self.shared
+        arrow = to_arrow_schema(HOMES)
+
+        def home(batches):
             for b in batches:
-                cols = [b.column(i).to_pylist() for i in range(5)]
-                packed = list(zip(*cols, list_slices(b.column(5)), b.column(6).to_pylist(),
-                                  strict=True))
-                # Best possible score of each query in each block.
-                reach = np.array([_reach(far[:, p], low, high, norm2)
-                                  for p, _, _, low, high, _, _ in packed])
-                order = np.argsort(-reach.mean(1)) if len(packed) else []
-                for i in order:
-                    pivot, ring, sub, _, _, block_ids, vectors = packed[i]
-                    open_ = reach[i] >= top.bound
-                    if home is not None:
-                        open_ &= (home[:, 0] == pivot) & (home[:, 1] == ring) & (sub == 0)
-                    active = np.flatnonzero(open_)
-                    if len(active):
-                        x = np.frombuffer(vectors).reshape(-1, width)
-                        scan_block(top, queries, ids, active, block_ids, x)
-            yield pa.RecordBatch.from_arrays(
+                if not len(b):
+                    continue
+                far = distances(_flat(matrix(b.column(1), width)), shared.value)
+                best = _gap(far[:, at[0]], low, high).argmin(1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[0][best], pa.int32()), pa.array(at[1][best], pa.int32()),
+                     b.column(0), b.column(1).cast(arrow.field(3).type)], schema=arrow)
+
+        placed = written(queries.mapInArrow(home, HOMES), "pivot-homes")
+        # A row per annulus at most, whatever the number of queries.
+        sizes = placed.groupBy("pivot", "ring").agg(F.count("*").alias("n"))
+        before = Window.orderBy("pivot", "ring").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        rows = _cut(placed.count(), GROUPS, *GROUP_ROWS)
+        place = F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("n"))
+        return placed.join(F.broadcast(sizes), ["pivot", "ring"]).select(
+            F.floor(place / F.lit(rows)).alias("g"), "pivot", "ring", "vec_id", "v")
+
+    def bounded(self, queries: DataFrame, k: int) -> DataFrame:
+        """(g, vec_id, v, bound): the k-th best score in the first block of each query's
+        home, below which nothing is among its k best (minus infinity: fewer than k)."""
+        at = ["g", "pivot", "ring"]
+        homes = self.homes(queries, k)
+        first = homes.select(*at).distinct().join(self.blocks.where("sub = 0"), ["pivot", "ring"])
+        arrow, width = to_arrow_schema(QUERIES), self.width
+
+        def seek(own, blocks):
+            ids, x = _rows(own, width)
+            top = Top(np.full(len(ids), -np.inf), k)
+            for block_ids, y in _blocks(blocks, width):
+                scan_block(top, x, ids, np.arange(len(ids)), block_ids, y)
+            return pa.Table.from_arrays(
+                [own.column("g"), own.column("vec_id"),
+                 own.column("v").cast(arrow.field(2).type), pa.array(top.bound)], schema=arrow)
+
+        first = first.toDF(*first.columns)  # columns of their own beside those of homes
+        return written(homes.groupBy(*at).cogroup(first.groupBy(*at)).applyInArrow(
+            seek, QUERIES), "pivot-queries")
+
+    def open_rings(self, queries: DataFrame) -> DataFrame:
+        """(g, pivot, ring): the annuli that a query of the group cannot rule out."""
+        arrow, width, radius2, shared = to_arrow_schema(OPEN), self.width, self.radius2, self.shared
+        at = np.array([[r["pivot"], r["ring"]] for r in self.rings], np.int32)
+        low, high = (np.array([r[c] for r in self.rings]) for c in ("low", "high"))
+
+        def test(batches):
+            for b in batches:
+                x, g = matrix(b.column(2), width), b.column(0).to_numpy()
+                far = distances(_flat(x), shared.value)
+                norm2 = (x ** 2).sum(1) + radius2
+                reach = _reach(far[:, at[:, 0]], low, high, norm2[:, None])
+                row, ring = np.nonzero(reach >= b.column(3).to_numpy()[:, None])
+                met = np.unique(np.stack((g[row], ring)), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(met[0]), pa.array(at[met[1], 0]), pa.array(at[met[1], 1])],
+                    schema=arrow)
+
+        return written(queries.mapInArrow(test, OPEN).distinct(), "pivot-open")
+
+    def cells(self) -> DataFrame:
+        """The blocks with their range ``h``: neighbouring annuli, equally many rows."""
+        rows = _cut(self.rows, CELLS, *CELL_ROWS)
+        before = Window.orderBy("pivot", "ring").rowsBetween(Window.unboundedPreceding, -1)
+        base = self.ring_sizes.select("pivot", "ring", F.coalesce(
+            F.sum("n").over(before), F.lit(0)).alias("base"))
+        place = F.col("base") + F.col("sub") * F.lit(BLOCK_ROWS)
+        return self.blocks.join(F.broadcast(base), ["pivot", "ring"]).withColumn(
+            "h", F.floor(place / F.lit(rows))).drop("base")
+
+    def top_k(self, queries: DataFrame, k: int = K) -> DataFrame:
+        """(query_id, rank, vec_id, score) of queries (vec_id, v)."""
+        queries = self.bounded(queries, k)
+        blocks = self.cells().join(self.open_rings(queries), ["pivot", "ring"])
+        asked = queries.join(blocks.select("g", "h").distinct(), "g")
+        arrow, width, radius2, shared = to_arrow_schema(HITS), self.width, self.radius2, self.shared
+
+        def seek(own, blocks):
+            ids, x = _rows(own, width)
+            far, norm2 = distances(_flat(x), shared.value), (x ** 2).sum(1) + radius2
+            top = Top(own.column("bound").to_numpy(), k)
+            # Best possible score of each query in each block.
+            reach = np.array([_reach(far[:, p], low, high, norm2) for p, low, high in zip(
+                *(blocks.column(c).to_pylist() for c in ("pivot", "low", "high")), strict=True)])
+            packed = list(_blocks(blocks, width))
+            for i in np.argsort(-reach.mean(1)):
+                active = np.flatnonzero(reach[i] >= top.bound)
+                if len(active):
+                    scan_block(top, x, ids, active, *packed[i])
+            return pa.Table.from_arrays(
                 [pa.array(ids[top.query]), pa.array(top.ids),
                  pa.array(top.scores.astype(np.int64))], schema=arrow)
 
-        return self.blocks.mapInArrow(seek, HITS)
-
-    def top_k(self, ids: np.ndarray, queries: np.ndarray, k: int = K) -> DataFrame:
-        """(query_id, rank, vec_id, score) for one block of queries."""
-        far = distances(np.concatenate((queries, np.zeros((len(queries), 1))), 1), self.pivots)
-        big = [r for r in self.rings if r["n"] > 2 * k] or self.rings
-        gap = np.stack([_gap(far[:, r["pivot"]], r["low"], r["high"]) for r in big])
-        best = gap.argmin(0)
-        home = np.array([(r["pivot"], r["ring"]) for r in big])[best]
-        none = np.full(len(ids), -np.inf)
-        first = self._hits(ids, queries, none, k, home).groupBy("query_id").agg(
-            F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).toArrow()
-        place = {q: i for i, q in enumerate(ids.tolist())}
-        bound = none.copy()
-        for q, s in zip(first.column("query_id").to_pylist(), first.column("s").to_pylist()):
-            bound[place[q]] = s
+        blocks = blocks.toDF(*blocks.columns)  # columns of their own beside those of asked
+        hits = asked.groupBy("g", "h").cogroup(blocks.groupBy("g", "h")).applyInArrow(seek, HITS)
         ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return self._hits(ids, queries, bound, k, None).withColumn(
-            "rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(
-            "query_id", "rank", "vec_id", "score")
+        return hits.withColumn("rank", F.row_number().over(ranked)).where(
+            F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _cut(rows: int, parts: int, least: int, most: int) -> int:
+    """Rows of each of ``parts`` equal parts, within the bounds."""
+    return min(max(-(-rows // parts), least), most)
+
+
+def _flat(queries: np.ndarray) -> np.ndarray:
+    return np.concatenate((queries, np.zeros((len(queries), 1))), 1)
+
+
+def _rows(own: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return own.column("vec_id").to_numpy(), matrix(own.column("v").combine_chunks(), width)
+
+
+def _blocks(blocks: pa.Table, width: int):
+    """Ids and vectors of each block."""
+    for ids, vectors in zip(list_slices(blocks.column("ids").combine_chunks()),
+                            blocks.column("vectors").to_pylist(), strict=True):
+        yield ids, np.frombuffer(vectors).reshape(len(ids), width)
 
 
 def _gap(far: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -269,14 +357,9 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     if vectors.isEmpty():
         return spark.createDataFrame([], result)
     index = Index(vectors)
-    wanted = index.vectors.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    n_blocks = -(-wanted.count() // QUERY_ROWS)
-    out = None
-    for block in range(n_blocks):
-        own = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).toArrow()
-        ids = own.column("vec_id").to_numpy()
-        found = index.top_k(ids, matrix(own.column("v").combine_chunks(), index.width), k)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], result)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    wanted = index.vectors.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(
+        F.min("v").alias("v"))
+    if wanted.isEmpty():
+        return spark.createDataFrame([], result)
+    return index.top_k(wanted, k).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from spendlens.llm import jaccard_join, pivot_topk, queries
 from spendlens.llm.components import components
@@ -175,7 +176,8 @@ def test_op7_equals_brute_force(spark):
 
 def test_ties_hot_vectors_and_bad_rows(spark, monkeypatch):
     monkeypatch.setattr(pivot_topk, "BLOCK_ROWS", 32)
-    monkeypatch.setattr(pivot_topk, "QUERY_ROWS", 10)
+    monkeypatch.setattr(pivot_topk, "GROUP_ROWS", (1, 10))
+    monkeypatch.setattr(pivot_topk, "CELL_ROWS", (1, 48))
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(0, 0.3, 6).astype(np.float32).tolist()) for i in range(400)]
     rows += [(1000 + i, [0.5] * 6) for i in range(200)]  # one vector in a third of the rows
@@ -194,6 +196,32 @@ def test_small_and_empty_tables(spark):
     assert pivot_topk.search(df.where("vec_id = 0")).count() == 0
 
 
+def test_closed_annuli_are_not_sent(spark, monkeypatch):
+    """Clusters on a sphere: the bounds close annuli of other clusters for a group of
+    queries; of rows of one id the least vector asks."""
+    monkeypatch.setattr(pivot_topk, "GROUP_ROWS", (1, 12))
+    rng = np.random.default_rng(5)
+    centres = 8 * np.concatenate((np.eye(3), -np.eye(3)))
+    rows = [(i, (centres[i % 6] + rng.normal(0, 0.05, 3)).tolist()) for i in range(3000)]
+    rows += [(0, [9.0, 9.0, 9.0]), (20, rows[20][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = pivot_topk.Index(pivot_topk.integer_vectors(df))
+    wanted = index.vectors.where("vec_id % 20 = 0").groupBy("vec_id").agg(F.min("v").alias("v"))
+    bounded = index.bounded(wanted, 20).toArrow()
+    assert len(bounded) == 150 and np.isfinite(bounded.column("bound").to_numpy()).all()
+    groups = len(set(bounded.column("g").to_pylist()))
+    opened = index.open_rings(index.bounded(wanted, 20)).count()
+    assert groups > 4 and opened < 0.7 * groups * len(index.rings)
+    fine = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    asks = {}
+    for i, v in fine:
+        if i % 20 == 0:
+            asks[i] = min(asks.get(i, v.tolist()), v.tolist())
+    want = [(q, rank + 1, i, -s) for q, v in asks.items() for rank, (s, i) in enumerate(
+        sorted((-int(np.array(v) @ x), i) for i, x in fine if i != q)[:20])]
+    assert as_rows(pivot_topk.search(df)) == sorted(want)
+
+
 def test_keep_first_judges_rows_of_one_id_by_their_texts(spark):
     a, x = "alpha beta gamma delta epsilon zeta eta theta iota", "one two three four five six seven"
     rows = [(1, a), (5, a), (5, x), (5, x), (7, a + " kappa"), (7, x + " eight nine ten"), (9, None),
