@@ -202,3 +202,17 @@ def test_scores_use_every_key_of_the_trie(spark, monkeypatch, chunk):
         best = max(logs)
         assert got[d] == pytest.approx(best + math.log10(sum(10 ** (x - best) for x in logs)),
                                        rel=1e-5)
+
+
+def test_head_of_very_frequent_words(spark):
+    """Counts are told apart at every height, so the most frequent words are the head."""
+    counts = [7 << 21] * 5 + [3 << 20] * 10 + [(1 << 53) - 1, 1 << 53, 5, 5, 1]
+    table = spark.createDataFrame([(c,) for c in counts], "c long")
+    for limit in range(len(counts) + 3):
+        least = ppm._at_most(table, "c", limit)
+        head = sum(c >= least for c in counts)
+        assert head <= limit or limit == 0 and least > max(counts)
+        left = [c for c in counts if c < least]
+        assert all(c * max(limit, 1) <= 1.002 * sum(counts) for c in left) or not left
+    assert ppm._at_most(table, "c", 8) == 7 << 21
+    assert ppm._at_most(table, "c", 100) == 1
