@@ -26,40 +26,84 @@ ignored; an empty table writes an empty file set.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
-import struct
 import zlib
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spendlens.llm.common import blank_separated, bound_batches, list_slices, texts
+from spendlens.llm.common import bound_batches, list_slices
 
 MAX_TOKENIZER_BYTES = 64 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+#: Chunks of a worker's memory, of new ones, and as many old ones; longer chunks are not kept.
 CACHE_ENTRIES = 400_000
+KEPT_BYTES = 100
+#: Chunks that go to the library as one text.
+JOINED_CHUNKS = 100
+#: Bytes of texts whose chunks are told apart at once.
+RUN_BYTES = 8 << 20
 FILE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()),
     T.StructField("pos", T.LongType()), T.StructField("n_tokens", T.IntegerType()),
     T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
 
-#: A blank between two characters that are no white space.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes by what they say of their character: ASCII that is no white space; first
+#: bytes of characters that are no white space; ASCII letters; other ASCII that ends
+#: a run of letters.  White space beyond ASCII begins with C2, E1, E2 or E3.
+_SOLID, _STARTS, _LETTER = (np.zeros(256, bool) for _ in range(3))
+_SOLID[0x21:0x7F] = True
+_STARTS[0x21:0x7F] = _STARTS[0xC3:0xE1] = _STARTS[0xE4:0xF5] = True
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_SIGN = _SOLID & ~_LETTER
+_SIGN[0x0A] = True
+_BLANK, _LINE_END = 0x20, 0x0A
+
+
+def _solid_before(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before byte ``at`` is surely no white space
+    (``padded`` has three more bytes in front)."""
+    last = padded[at + 2]
+    three = padded[at]
+    return _SOLID[last] | ((last >= 0x80) & (padded[at + 1] != 0xC2)
+                           & ((three < 0xE1) | (three > 0xE3)))
+
+
+def chunk_starts(data: np.ndarray) -> np.ndarray:
+    """Marks of bytes at which a byte-level tokenizer's pattern surely begins a piece, so
+    that what stands before and after can be encoded apart: a single blank between
+    characters that are no white space; what follows a single line end between such
+    characters; an ASCII sign, digit or line end after a letter (A-Z, a-z, or U+00C0 to
+    U+00FF without the signs in it).  Places it is not sure of stay unmarked."""
+    padded = np.concatenate((np.zeros(3, np.uint8), data, np.zeros(1, np.uint8)))
+    marks = np.zeros(len(data), bool)
+    at = np.flatnonzero(data == _BLANK)
+    marks[at[_solid_before(padded, at) & _STARTS[padded[at + 4]]]] = True
+    at = np.flatnonzero(_SIGN[data])
+    last = padded[at + 2]
+    latin = (padded[at + 1] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+    marks[at[_LETTER[last] | latin]] = True
+    at = at[data[at] == _LINE_END]
+    marks[at[_solid_before(padded, at) & _STARTS[padded[at + 4]]] + 1] = True
+    return marks
 
 
 class ChunkEncoder:
-    """The library's encoder with a bounded memory of blank-separated chunks.
+    """The library's encoder with a bounded memory of chunks.
 
-    A byte-level tokenizer cuts before each single blank that follows and
-    precedes a non-blank, so texts can be encoded chunk by chunk (a chunk may hold other
-    white space); texts that hold the string of an added token go to the library whole."""
+    Texts are cut where the tokenizer's pattern cuts in any case (``chunk_starts``) and
+    the chunks of many texts are told apart at once; only chunks not met before go to
+    the library, many joined into one text, whose ids are dealt to the chunks by the bytes
+    each id stands for.  Texts that hold the string of an added token go to the library
+    whole, as do all texts if the tokenizer is no plain byte-level one."""
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,36 +111,131 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         #: Strings that the library takes out of a text before it splits the rest.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: Bytes of each id: a byte-level vocabulary has one character a byte.
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+        self.cuts = self._is_plain(json.loads(tokenizer_json), vocab)
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _is_plain(self, spec: dict, vocab: dict) -> bool:
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        return (split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True)
+                and split.get("use_regex", True) and model.get("type") == "BPE"
+                and not any(map(spec.get, ("normalizer", "truncation", "padding")))
+                and not any(map(model.get, ("dropout", "continuing_subword_prefix",
+                                            "end_of_word_suffix")))
+                and sum(len(token) == 1 for token in vocab) == 256
+                and not any(c.isspace() for token in self.added for c in token))
+
+    def _library(self, parts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in parts],
+                                                 add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def _joined(self, chunks: list[bytes], between: bytes) -> list[bytes]:
+        """Ids of chunks that neither begin nor end with white space (but for the blank
+        that takes the place of ``between``): joined, each begins and ends with a piece."""
+        out = []
+        for i in range(0, len(chunks), JOINED_CHUNKS):
+            some = chunks[i:i + JOINED_CHUNKS]
+            ids = self._library([between.join(some)])[0]
+            size = np.fromiter(map(len, some), np.int64, len(some))
+            stop = np.cumsum(size + len(between)) - len(between)
+            ends = np.cumsum(self.width[ids])
+            first = 4 * np.searchsorted(ends, stop - size, "right")
+            last = 4 * np.searchsorted(ends, stop) + 4
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        return out
 
-    def _library(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+    def _encoded(self, chunks: list[bytes], special: bool) -> list[bytes]:
+        """Ids of each of some distinct chunks; ``special``: some hold added tokens."""
+        if not chunks:
+            return []
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        padded = np.frombuffer(b"\0\0\0" + b"".join(chunks) + b"\0", np.uint8)
+        stop = np.cumsum(size)
+        start = stop - size
+        blank = padded[start + 3] == _BLANK
+        fit = _STARTS[padded[start + 3 + blank]] & (size > blank) & _solid_before(padded, stop)
+        if not self.cuts:
+            fit[:] = False
+        elif special:
+            added = [token.encode() for token in self.added]
+            fit &= [not any(map(c.__contains__, added)) for c in chunks]
+        out: list[bytes] = [b""] * len(chunks)
+        for which, encode in ((fit & blank, lambda some: self._joined(some, b"")),
+                              (fit & ~blank, lambda some: self._joined(some, b"\n")),
+                              (~fit, lambda some: [x.tobytes() for x in self._library(some)])):
+            at = np.flatnonzero(which).tolist()
+            for i, ids in zip(at, encode([chunks[i] for i in at]), strict=True):
+                out[i] = ids
+        return out
 
-    def encode_all(self, batch: list[str]) -> list[bytes]:
+    def _of_chunks(self, chunks: list[bytes], special: bool) -> list[bytes]:
+        """Ids of distinct chunks, from memory or from the library."""
         if len(self.known) > CACHE_ENTRIES:
             self.known, self.old = {}, self.known
-        out: list[bytes | None] = [None] * len(batch)
-        chunked, whole = [], []
-        for i, text in enumerate(batch):
-            if any(map(text.__contains__, self.added)):
-                whole.append(i)
-                continue
-            first, *rest = text.split(" ") if blank_separated(text) else _CUT.split(text)
-            chunked.append((i, first, rest))
-        for i, ids in zip(whole, self._library([batch[i] for i in whole]), strict=True):
-            out[i] = ids
-        known = self.known
-        new = {*chain.from_iterable(rest for _, _, rest in chunked)}.difference(known)
-        seen = [c for c in new if c in self.old]
-        known.update(zip(seen, map(self.old.__getitem__, seen), strict=True))
-        new = list(new.difference(seen))
-        known.update(zip(new, self._library([" " + c for c in new]), strict=True))
-        firsts = self._library([first for _, first, _ in chunked])
-        for (i, _, rest), head in zip(chunked, firsts, strict=True):
-            out[i] = head + b"".join(map(known.__getitem__, rest))
-        return out
+        out = list(map(self.known.get, chunks))
+        lack = [c for c, ids in zip(chunks, out, strict=True) if ids is None]
+        found = list(map(self.old.get, lack))
+        new = [c for c, ids in zip(lack, found, strict=True) if ids is None]
+        encoded = iter(self._encoded(new, special))
+        found = [next(encoded) if ids is None else ids for ids in found]
+        self.known.update((c, ids) for c, ids in zip(lack, found, strict=True)
+                          if len(c) <= KEPT_BYTES)
+        rest = iter(found)
+        return [next(rest) if ids is None else ids for ids in out]
+
+    def _encode(self, column: pa.LargeBinaryArray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[
+            column.offset:column.offset + len(column) + 1]
+        if offsets[0] == offsets[-1]:
+            return np.zeros(0, "<u4"), np.zeros(len(column), np.int32)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+        bounds = offsets - offsets[0]
+        marks = chunk_starts(data) if self.cuts else np.zeros(len(data), bool)
+        for i in np.flatnonzero(special):
+            marks[bounds[i]:bounds[i + 1]] = False
+        marks[bounds[bounds < len(data)]] = True
+        cuts = np.append(np.flatnonzero(marks), len(data))
+        found = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(cuts) - 1,
+            [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        at = found.indices.to_numpy()
+        ids = self._of_chunks(found.dictionary.to_numpy(zero_copy_only=False).tolist(),
+                              bool(special.any()))
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        size_at = size[at]
+        ends = np.zeros(len(at) + 1, np.int32)
+        np.cumsum(size_at, out=ends[1:])
+        # Place in the pool of each id: its chunk's place there, counted on.
+        where = np.repeat((np.cumsum(size, dtype=np.int32) - size)[at] - ends[:-1], size_at)
+        where += np.arange(len(where), dtype=np.int32)
+        return pool[where], np.diff(ends[np.searchsorted(cuts, bounds)])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column, one after the other, and their number in
+        each text; NULL counts as the empty text."""
+        column = column.cast(pa.large_string()).fill_null("")
+        special = np.zeros(len(column), bool)
+        for token in self.added:
+            special |= np.asarray(pc.match_substring(column, token))
+        column = column.cast(pa.large_binary())
+        # Long batches are encoded in runs of texts, as a chunk takes more memory than its text.
+        size = np.asarray(pc.binary_length(column))
+        run = np.cumsum(size) // RUN_BYTES
+        bounds = [0, *(np.flatnonzero(np.diff(run)) + 1), len(column)]
+        done = [self._encode(column[a:b], special[a:b]) for a, b in pairwise(bounds)]
+        return tuple(map(np.concatenate, zip(*done, strict=True)))
+
+    def encode_all(self, batch: list[str]) -> list[bytes]:
+        ids, size = self.encode(pa.array(batch, pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(size)[:-1])] if batch else []
 
 
 _ENCODERS: dict = {}
@@ -125,21 +264,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     shared = spark.sparkContext.broadcast(content)
     digest = hashlib.sha256(content.encode()).hexdigest()
     arrow = to_arrow_schema(FILE_SCHEMA)
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         part, pos = TaskContext.get().partitionId(), 0
         for b in batches:
-            rows = [ids + end for ids in _encoder(shared, digest).encode_all(texts(b.column(1)))]
-            sizes = np.array([len(r) // 4 for r in rows], np.int32)
-            flat = pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32())
-            offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int32)))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+            ids, sizes = _encoder(shared, digest).encode(b.column(1))
+            flat = np.insert(ids, np.cumsum(sizes), end_id).view("<i4")
+            offsets = np.concatenate(([0], np.cumsum(sizes + 1))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(np.full(len(rows), part, np.int32)),
-                 pa.array(np.arange(pos, pos + len(rows))), pa.array(sizes),
-                 ids.cast(arrow.field(4).type)], schema=arrow)
-            pos += len(rows)
+                [b.column(0).cast(pa.int64()), pa.array(np.full(len(sizes), part, np.int32)),
+                 pa.array(np.arange(pos, pos + len(sizes))), pa.array(sizes + 1, pa.int32()),
+                 lists.cast(arrow.field(4).type)], schema=arrow)
+            pos += len(sizes)
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
         "doc_id").sortWithinPartitions("doc_id", "text")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -157,3 +158,59 @@ def test_no_documents_give_no_rows(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     token_files.write_token_files(docs, path, queries.BYTE_BPE_JSON)
     assert token_files.read_back(spark, path).count() == 0
+
+
+#: Characters around which the pattern's cuts differ: white space of all kinds, letters,
+#: marks, digits and signs of one to four bytes, contractions, added tokens.
+ODD = ["a", "The", "é", "ÿ", "×", "÷", "Ж", "ǅ", "º", "日本", "。", "ー", "\u093f", "क", "\U0001d11e", "\u0301", "'s", "'", "'re",
+       "l", "1", "²", "٣", ".", "...", "!", "“", "»", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c",
+       "\x00", "\x7f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u202f", "\u205f",
+       "\u3000", "\ufeff", "<|endoftext|>", "<|endof", "text|>"]
+
+
+def test_chunks_are_cut_where_the_library_cuts(byte_bpe, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(token_files, "KEPT_BYTES", 9)
+    with open(queries.BYTE_BPE_JSON, encoding="utf-8") as f:
+        own = token_files.ChunkEncoder(f.read())
+    r = random.Random(11)
+    for k in range(120):
+        monkeypatch.setattr(token_files, "JOINED_CHUNKS", r.choice([1, 2, 100]))
+        monkeypatch.setattr(token_files, "RUN_BYTES", r.choice([1, 40, 8 << 20]))
+        some = r.sample(ODD, r.randint(2, len(ODD)))
+        batch = ["".join(r.choice(some) for _ in range(r.randint(0, 25))) for _ in range(k)]
+        expected = [np.array(e.ids, "<u4").tobytes()
+                    for e in byte_bpe.encode_batch(batch, add_special_tokens=False)]
+        assert own.encode_all(batch) == expected
+
+
+def test_library_sees_each_word_once_and_many_in_one_text():
+    with open(queries.BYTE_BPE_JSON, encoding="utf-8") as f:
+        own = token_files.ChunkEncoder(f.read())
+    library, seen = own.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, parts, **options):
+            seen.extend(parts)
+            return library.encode_batch_fast(parts, **options)
+
+    own.tokenizer = Counted()
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijkléü") for _ in range(9)) for _ in range(2000)]
+    batch = [f"Of {w}. In {w}, as {w}\nto {w}" for w in words]
+    found = own.encode_all(batch)
+    # Words that differ in what follows them are one chunk, and chunks share a text.
+    assert sum(map(len, seen)) < 2 * sum(len(w) + 1 for w in words)
+    assert len(seen) < len(words) // 10
+    seen.clear()
+    assert own.encode_all(batch) == found and not seen
+
+
+def test_tokenizers_of_another_kind_take_whole_texts(byte_bpe):
+    spec = json.loads(byte_bpe.to_str())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    other = Tokenizer.from_str(json.dumps(spec))
+    own = token_files.ChunkEncoder(json.dumps(spec))
+    batch = ["a b. c", "x\ny z", "", " q"]
+    assert own.encode_all(batch) == [
+        np.array(e.ids, "<u4").tobytes() for e in other.encode_batch(batch, add_special_tokens=False)]
