@@ -43,7 +43,7 @@ from spendlens.llm.common import bound_batches, list_slices
 MAX_TOKENIZER_BYTES = 64 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-#: Chunks of a worker's memory, of new ones, and as many old ones; longer chunks are not kept.
+#: Chunks that a worker keeps from one run of texts to the next; longer chunks are not kept.
 CACHE_ENTRIES = 400_000
 KEPT_BYTES = 100
 #: Chunks that go to the library as one text.
@@ -96,14 +96,33 @@ def chunk_starts(data: np.ndarray) -> np.ndarray:
     return marks
 
 
+def _bytes_of(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column without NULLs, and where each row begins (and the last ends)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[
+        column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def _lists_at(pool: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The lists number ``at``, one after the other, of those that lie in ``pool`` one after
+    the other and have sizes ``size``."""
+    size_at = size[at]
+    shift = (np.cumsum(size) - size)[at] - (np.cumsum(size_at) - size_at)
+    where = np.repeat(shift.astype(np.int32), size_at)
+    where += np.arange(len(where), dtype=np.int32)
+    return pool[where]
+
+
 class ChunkEncoder:
     """The library's encoder with a bounded memory of chunks.
 
     Texts are cut where the tokenizer's pattern cuts in any case (``chunk_starts``) and
-    the chunks of many texts are told apart at once; only chunks not met before go to
+    the chunks of many texts are told apart at once; only chunks not in memory go to
     the library, many joined into one text, whose ids are dealt to the chunks by the bytes
     each id stands for.  Texts that hold the string of an added token go to the library
-    whole, as do all texts if the tokenizer is no plain byte-level one."""
+    whole, as do all texts if the tokenizer is no plain byte-level one.  A full memory
+    keeps the half that was met in the most runs of texts."""
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -117,8 +136,11 @@ class ChunkEncoder:
         for token, i in vocab.items():
             self.width[i] = len(token)
         self.cuts = self._is_plain(json.loads(tokenizer_json), vocab)
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        #: Chunks in memory, the sizes of their lists of ids, these lists one after the
+        #: other, and the number of runs of texts each chunk was met in.
+        self.chunks = pa.array([], pa.large_binary())
+        self.size, self.met = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, "<u4")
 
     def _is_plain(self, spec: dict, vocab: dict) -> bool:
         split, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -131,72 +153,82 @@ class ChunkEncoder:
                 and not any(c.isspace() for token in self.added for c in token))
 
     def _library(self, parts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in parts],
-                                                 add_special_tokens=False)
-        return [np.array(e.ids, "<u4") for e in found]
-
-    def _joined(self, chunks: list[bytes], between: bytes) -> list[bytes]:
-        """Ids of chunks that neither begin nor end with white space (but for the blank
-        that takes the place of ``between``): joined, each begins and ends with a piece."""
-        out = []
-        for i in range(0, len(chunks), JOINED_CHUNKS):
-            some = chunks[i:i + JOINED_CHUNKS]
-            ids = self._library([between.join(some)])[0]
-            size = np.fromiter(map(len, some), np.int64, len(some))
-            stop = np.cumsum(size + len(between)) - len(between)
-            ends = np.cumsum(self.width[ids])
-            first = 4 * np.searchsorted(ends, stop - size, "right")
-            last = 4 * np.searchsorted(ends, stop) + 4
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-        return out
-
-    def _encoded(self, chunks: list[bytes], special: bool) -> list[bytes]:
-        """Ids of each of some distinct chunks; ``special``: some hold added tokens."""
-        if not chunks:
-            return []
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        padded = np.frombuffer(b"\0\0\0" + b"".join(chunks) + b"\0", np.uint8)
-        stop = np.cumsum(size)
-        start = stop - size
+        encode = self.tokenizer.encode_batch_fast
+        return [np.array(encode([p.decode()], add_special_tokens=False)[0].ids, "<u4")
+                for p in parts]
+
+    def _alone(self, chunks: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        found = self._library(chunks.to_pylist())
+        return np.concatenate(found), np.fromiter(map(len, found), np.int32, len(found))
+
+    def _joined(self, chunks: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their numbers, of chunks of which each begins and ends with a piece when
+        they stand one after the other."""
+        data, bounds = _bytes_of(chunks)
+        stops = [*bounds[:-1:JOINED_CHUNKS].tolist(), len(data)]
+        ids = np.concatenate(self._library([data[a:b].tobytes() for a, b in pairwise(stops)]))
+        last = np.searchsorted(np.cumsum(self.width[ids]), bounds[1:])
+        return ids, np.diff(last, prepend=-1).astype(np.int32)
+
+    def _joined_by_lines(self, chunks: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with a line end after each, whose one id is taken out again."""
+        line_end = pa.scalar(b"\n", pa.large_binary())
+        ids, size = self._joined(
+            pc.binary_join_element_wise(chunks, line_end, pa.scalar(b"", pa.large_binary())))
+        return np.delete(ids, np.cumsum(size) - 1), size - 1
+
+    def _encoded(self, chunks: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct chunks' order of encoding, their ids and numbers of ids in that order."""
+        data, bounds = _bytes_of(chunks)
+        padded = np.concatenate((np.zeros(3, np.uint8), data, np.zeros(1, np.uint8)))
+        start, stop = bounds[:-1], bounds[1:]
         blank = padded[start + 3] == _BLANK
-        fit = _STARTS[padded[start + 3 + blank]] & (size > blank) & _solid_before(padded, stop)
-        if not self.cuts:
-            fit[:] = False
-        elif special:
-            added = [token.encode() for token in self.added]
-            fit &= [not any(map(c.__contains__, added)) for c in chunks]
-        out: list[bytes] = [b""] * len(chunks)
-        for which, encode in ((fit & blank, lambda some: self._joined(some, b"")),
-                              (fit & ~blank, lambda some: self._joined(some, b"\n")),
-                              (~fit, lambda some: [x.tobytes() for x in self._library(some)])):
-            at = np.flatnonzero(which).tolist()
-            for i, ids in zip(at, encode([chunks[i] for i in at]), strict=True):
-                out[i] = ids
-        return out
-
-    def _of_chunks(self, chunks: list[bytes], special: bool) -> list[bytes]:
-        """Ids of distinct chunks, from memory or from the library."""
-        if len(self.known) > CACHE_ENTRIES:
-            self.known, self.old = {}, self.known
-        out = list(map(self.known.get, chunks))
-        lack = [c for c, ids in zip(chunks, out, strict=True) if ids is None]
-        found = list(map(self.old.get, lack))
-        new = [c for c, ids in zip(lack, found, strict=True) if ids is None]
-        encoded = iter(self._encoded(new, special))
-        found = [next(encoded) if ids is None else ids for ids in found]
-        self.known.update((c, ids) for c, ids in zip(lack, found, strict=True)
-                          if len(c) <= KEPT_BYTES)
-        rest = iter(found)
-        return [next(rest) if ids is None else ids for ids in out]
+        # No white space at the ends, but for one blank in front.
+        fit = _STARTS[padded[start + 3 + blank]] & (stop - start > blank) & _solid_before(padded, stop)
+        fit &= self.cuts
+        for token in self.added:
+            fit &= ~np.asarray(pc.match_substring(chunks, token))
+        order, done = [], []
+        for which, encode in ((fit & blank, self._joined), (fit & ~blank, self._joined_by_lines),
+                              (~fit, self._alone)):
+            if which.any():
+                order.append(np.flatnonzero(which))
+                done.append(encode(chunks.take(pa.array(order[-1]))))
+        ids, size = zip(*done, strict=True)
+        return np.concatenate(order), np.concatenate(ids), np.concatenate(size)
+
+    def _remember(self, chunks: pa.LargeBinaryArray) -> np.ndarray:
+        """Places in memory of distinct chunks, of which the new ones are encoded."""
+        found = pc.index_in(chunks, value_set=self.chunks)
+        places = found.fill_null(-1).to_numpy().copy()
+        lack = np.flatnonzero(places < 0)
+        if len(lack):
+            new = chunks.take(pa.array(lack))
+            order, ids, size = self._encoded(new)
+            places[lack[order]] = np.arange(len(self.chunks), len(self.chunks) + len(lack))
+            self.chunks = pa.concat_arrays([self.chunks, new.take(pa.array(order))])
+            self.ids = np.concatenate((self.ids, ids))
+            self.size = np.concatenate((self.size, size))
+            self.met = np.concatenate((self.met, np.zeros(len(lack), np.int32)))
+        self.met[places] += 1
+        return places
+
+    def _forget(self) -> None:
+        """Drop long chunks, and half of the rest if there are too many."""
+        keep = np.flatnonzero(np.asarray(pc.binary_length(self.chunks)) <= KEPT_BYTES)
+        if len(keep) > CACHE_ENTRIES:
+            most = np.argsort(-self.met[keep], kind="stable")[:CACHE_ENTRIES // 2]
+            keep = keep[np.sort(most)]
+            self.met //= 2
+        if len(keep) < len(self.chunks):
+            self.chunks = self.chunks.take(pa.array(keep))
+            self.ids = _lists_at(self.ids, self.size, keep)
+            self.size, self.met = self.size[keep], self.met[keep]
 
     def _encode(self, column: pa.LargeBinaryArray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[
-            column.offset:column.offset + len(column) + 1]
-        if offsets[0] == offsets[-1]:
+        data, bounds = _bytes_of(column)
+        if not len(data):
             return np.zeros(0, "<u4"), np.zeros(len(column), np.int32)
-        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
-        bounds = offsets - offsets[0]
         marks = chunk_starts(data) if self.cuts else np.zeros(len(data), bool)
         for i in np.flatnonzero(special):
             marks[bounds[i]:bounds[i + 1]] = False
@@ -205,18 +237,11 @@ class ChunkEncoder:
         found = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(cuts) - 1,
             [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
-        at = found.indices.to_numpy()
-        ids = self._of_chunks(found.dictionary.to_numpy(zero_copy_only=False).tolist(),
-                              bool(special.any()))
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        size_at = size[at]
-        ends = np.zeros(len(at) + 1, np.int32)
-        np.cumsum(size_at, out=ends[1:])
-        # Place in the pool of each id: its chunk's place there, counted on.
-        where = np.repeat((np.cumsum(size, dtype=np.int32) - size)[at] - ends[:-1], size_at)
-        where += np.arange(len(where), dtype=np.int32)
-        return pool[where], np.diff(ends[np.searchsorted(cuts, bounds)])
+        at = self._remember(found.dictionary)[found.indices.to_numpy()]
+        ids = _lists_at(self.ids, self.size, at)
+        ends = np.concatenate(([0], np.cumsum(self.size[at])))
+        self._forget()
+        return ids, np.diff(ends[np.searchsorted(cuts, bounds)]).astype(np.int32)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column, one after the other, and their number in
