@@ -216,3 +216,52 @@ def test_head_of_very_frequent_words(spark):
         assert all(c * max(limit, 1) <= 1.002 * sum(counts) for c in left) or not left
     assert ppm._at_most(table, "c", 8) == 7 << 21
     assert ppm._at_most(table, "c", 100) == 1
+
+
+def plain_keys(text):
+    """Each coded byte of a text behind the five before it."""
+    line = b"     " + b" ".join(text.lower().split()) + b" " if text.split() else b""
+    return [(line[i - 5:i], line[i]) for i in range(5, len(line))]
+
+
+@pytest.mark.parametrize("size", [8, 1 << 20])
+def test_contexts_run_on_over_blanks(size):
+    texts = [b"The cat  sat\ton a mat", b"", b" a ", "\u00c9t\u00e9 b".encode(), b"x" * 40 + b" y zz"]
+    got = [(int(o), (int(k) >> 12).to_bytes(5, "big"), int(k) & 511)
+           for owner, keys in ppm.text_keys(list(map(ppm.words, texts)), size) for o, k in zip(owner, keys, strict=True)]
+    assert got == [(i, c, s) for i, t in enumerate(texts) for c, s in plain_keys(t)]
+
+
+@pytest.mark.parametrize("head", [3, 1 << 20])
+def test_a_score_depends_on_the_order_of_words(spark, monkeypatch, head):
+    monkeypatch.setattr(ppm, "HEAD_KEYS", head, raising=False)
+    docs = [(i, "red apple green pear") for i in range(40)] + [(100, "red pear green apple")]
+    rows = ppm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[0]["base_score"] == pytest.approx(by_id[100]["base_score"])
+    assert by_id[0]["score"] > by_id[100]["score"] + 0.5
+    train = [t.encode() for d, t in docs if zlib.crc32(str(d).encode()) % 10]
+    counts = Counter()
+    for t in train:
+        for c, s in plain_keys(t):
+            for order in range(ppm.ORDER + 1):
+                tail = int.from_bytes(c[5 - order:], "big")
+                counts[(tail << 3 | order) << 9 | s] += 1
+    for order in (0, 1):
+        counts[((0x20 if order else 0) << 3 | order) << 9 | ppm.END] += len(train)
+    trie = ppm.Trie.of(np.array(list(counts)), np.array(list(counts.values())))
+    for d, t in docs:
+        keys = plain_keys(t.encode())
+        want = trie.log10(np.array([s for _, s in keys]),
+                          np.array([int.from_bytes(c, "big") for c, _ in keys]),
+                          np.full(len(keys), 5)).sum() + trie.end_log10()
+        assert by_id[d]["score"] == pytest.approx(want, rel=1e-5)
+
+
+def test_places_of_keys_in_the_head():
+    r = np.random.default_rng(2)
+    some = np.unique(r.integers(0, 1 << 52, 2000))
+    for keys in (some[::2], some[:0]):
+        head = ppm.Head(keys, r.integers(1, 9, len(keys)))
+        known = {k: i for i, k in enumerate(keys.tolist())}
+        assert head.find(some).tolist() == [known.get(k, len(keys)) for k in some.tolist()]
