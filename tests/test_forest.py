@@ -85,7 +85,8 @@ def test_forest_is_scored_in_chunks_however_rows_were_dealt(spark, monkeypatch,
         assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1]) for i in want)
     whole.write().save(f"file://{tmp_path}/forest")
     again = forest.ForestModel.load(f"file://{tmp_path}/forest")
-    assert all(scores(again)[i][1] == pytest.approx(want[i][1]) for i in want)
+    got = scores(again)
+    assert all(got[i][1] == pytest.approx(want[i][1]) for i in want)
     importance = again.featureImportances.toArray()
     assert importance.sum() == pytest.approx(1) and set(importance.argsort()[-3:]) == {0, 1, 2}
 
